@@ -23,7 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT:
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
         return tuple(cell(v) for v in value)

@@ -51,4 +51,6 @@ def psi_from_bins(reference_bins: DataFrame, window_bins: DataFrame, edges: Data
     p = F.greatest(F.col("cr") / F.col("n_reference"), F.lit(FLOOR))
     q = F.greatest(F.col("cw") / F.col("n_window"), F.lit(FLOOR))
     term = F.when(F.col("bin") >= 0, (q - p) * F.log(q / p)).otherwise(F.lit(0.0))
-    return full.groupBy("feature", "k").agg(F.sum(term).alias("psi"))
+    return full.groupBy("feature", "k").agg(
+        F.sum(term).alias("psi"), F.first("n_reference").alias("n_reference"),
+        F.first("n_window").alias("n_window"))

@@ -14,7 +14,7 @@ from tidewatch.sources import views
 DAY = 24 * windows.HOUR
 FEATURES = ["flow_duration", "total_packets", "total_bytes", "packet_rate", "mean_packet_size", "bytes_log1p"]
 SETTINGS = dict(window=DAY, min_samples=20, features=FEATURES, cusum_block=5, cusum_warmup=10,
-                cusum_threshold=5.0, tiebreak=("event_id",))
+                cusum_threshold=2.5, tiebreak=("event_id",))
 
 
 def periods(spark, folder):
@@ -63,8 +63,8 @@ spread AS (SELECT qs.feature, CASE WHEN max(CASE WHEN p = 0.75 THEN q END) - max
 PSI = """
 edges AS (SELECT feature, list_sort(list_distinct(list(q))) AS e FROM qs WHERE p NOT IN (0.25, 0.75) GROUP BY feature),
 bins AS (SELECT feature, e[2:len(e) - 1] AS inner_edges, unnest(range(len(e) - 1)) AS bin FROM edges),
-rb AS (SELECT rm.feature, len(list_filter(e[2:len(e) - 1], x -> x <= value)) AS bin, count(*) AS c FROM rm JOIN edges ON rm.feature = edges.feature GROUP BY 1, 2),
-tb AS (SELECT tm.feature, k, len(list_filter(e[2:len(e) - 1], x -> x <= value)) AS bin, count(*) AS c FROM tm JOIN edges ON tm.feature = edges.feature GROUP BY 1, 2, 3),
+rb AS (SELECT rm.feature, len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) AS bin, count(*) AS c FROM rm JOIN edges ON rm.feature = edges.feature GROUP BY 1, 2),
+tb AS (SELECT tm.feature, k, len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) AS bin, count(*) AS c FROM tm JOIN edges ON tm.feature = edges.feature GROUP BY 1, 2, 3),
 ps AS (SELECT tt.feature, tt.k, greatest(coalesce(rb.c, 0) / CAST(nr AS DOUBLE), 1e-6) AS p, greatest(coalesce(tb.c, 0) / CAST(nw AS DOUBLE), 1e-6) AS q
   FROM tt JOIN rt ON tt.feature = rt.feature JOIN bins ON bins.feature = tt.feature
   LEFT JOIN rb ON rb.feature = tt.feature AND rb.bin = bins.bin LEFT JOIN tb ON tb.feature = tt.feature AND tb.k = tt.k AND tb.bin = bins.bin),
@@ -79,7 +79,7 @@ steps AS (SELECT seq.k, seq.feature, step, (x - mu) / CASE WHEN sd > 0 THEN sd E
 sums AS (SELECT *, sum(z - 0.5) OVER w AS cu, sum(-z - 0.5) OVER w AS cd FROM steps WINDOW w AS (PARTITION BY k, feature ORDER BY step)),
 lows AS (SELECT *, min(cu) OVER w AS lu, min(cd) OVER w AS ld FROM sums WINDOW w AS (PARTITION BY k, feature ORDER BY step)),
 path AS (SELECT *, greatest(cu - least(0, lu), cd - least(0, ld), 0) AS cusum FROM lows),
-peaks AS (SELECT k, feature, max(cusum) AS peak, min(CASE WHEN cusum > 5 THEN step END) AS first_alarm FROM path GROUP BY 1, 2)"""
+peaks AS (SELECT k, feature, max(cusum) AS peak, min(CASE WHEN cusum > 2.5 THEN step END) AS first_alarm FROM path GROUP BY 1, 2)"""
 
 _LAM = repr(kolmogorov_quantile(0.01))
 _N = "greatest(floor(nr * nw / CAST(nr + nw AS DOUBLE)), 1)"
@@ -91,9 +91,9 @@ SELECT {_BOUNDS}, feature, 'ks' AS method, round(ks, 6) AS statistic, round({_CR
   round(ks, 6) AS effect_size, nr AS n_reference, nw AS n_window FROM two, origin
 UNION ALL SELECT {_BOUNDS}, two.feature, 'wasserstein', round(w1, 6), 0.1, w1 / s > 0.1, round(w1 / s, 6), nr, nw
   FROM two JOIN spread ON two.feature = spread.feature, origin
-UNION ALL SELECT {_BOUNDS}, psi.feature, 'psi', round(psi, 6), 0.2, psi > 0.2, round(psi, 6), nr, nw
+UNION ALL SELECT {_BOUNDS.replace('k *', 'psi.k *').replace('(k +', '(psi.k +')}, psi.feature, 'psi', round(psi, 6), 0.2, psi > 0.2, round(psi, 6), nr, nw
   FROM psi JOIN rt ON psi.feature = rt.feature JOIN tt ON tt.feature = psi.feature AND tt.k = psi.k, origin
-UNION ALL SELECT {_BOUNDS.replace('k *', 'tt.k *').replace('(k +', '(tt.k +')}, tt.feature, 'cusum', round(coalesce(peak, 0), 6), 5.0, first_alarm IS NOT NULL,
+UNION ALL SELECT {_BOUNDS.replace('k *', 'tt.k *').replace('(k +', '(tt.k +')}, tt.feature, 'cusum', round(coalesce(peak, 0), 6), 2.5, first_alarm IS NOT NULL,
   round(abs(mw - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6), nr, nw
   FROM tt JOIN rt ON tt.feature = rt.feature LEFT JOIN peaks ON peaks.feature = tt.feature AND peaks.k = tt.k, origin)"""
 
@@ -108,7 +108,7 @@ def ks_windows(spark, folder):
 @query("ks_p_values", f"""WITH {BASE}, {TWO_SAMPLE}, l AS (SELECT feature, k, sqrt(n) * ks + 1 / (6 * sqrt(n)) + (sqrt(n) * ks - 1) / (4 * n) AS lam
 FROM (SELECT *, nr * nw / CAST(nr + nw AS DOUBLE) AS n FROM two))
 SELECT k, feature, round(CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1, 21),
-  i -> CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * lam * lam))), 0), 1) END, 9) AS p_value FROM l""")
+  lambda i: CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * lam * lam))), 0), 1) END, 9) AS p_value FROM l""")
 def ks_p_values(spark, folder):
     reference, target = periods(spark, folder)
     settings = drift.DriftSettings(**{**SETTINGS, "methods": ["ks"]})
