@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import from_micros, micros
 from tidewatch.operators.metrics import window_metrics
+from tidewatch.operators.running import cut_slices, last_seen
 from tidewatch.operators.summaries import strongest_features
 from tidewatch.operators.windows import HOUR, bucket
 
@@ -85,26 +86,27 @@ def drift_lead(events: DataFrame, windows: DataFrame, baseline_recall: float | N
 
 
 def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str],
-         by: Sequence[str] = (), tolerance_us: int | None = None) -> DataFrame:
+         by: Sequence[str] = (), tolerance_us: int | None = None, expected_rows: int = 0) -> DataFrame:
     """Each left row with the latest right row at or before it.
 
-    One union and one running "last value" replace the range join. Both sides are window
-    tables (one row per bucket) or keyed by ``by``.
+    One union and one running "last value" replace the range join. Tables of windows are
+    short and need no size; for fact tables pass ``expected_rows`` (both sides together),
+    and a large or lopsided group is cut along the time axis.
     """
-    keys = list(by)
+    keys = list(by) or ["_all"]
     payload = F.struct(F.col(right_ts).alias("_at"), *columns)
+    rest = [c for c in left.columns if c not in by]
+    if not by:
+        left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
     lows = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), payload.alias("_r"))
-    highs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-                        F.struct(*[c for c in left.columns if c not in keys]).alias("_l"))
-    both = lows.unionByName(highs, allowMissingColumns=True)
-    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_t", "_side").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where(F.col("_side") == 1)
+    highs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"))
+    both, slices = cut_slices(lows.unionByName(highs, allowMissingColumns=True), [*keys, "_t"], expected_rows)
+    found = last_seen(both, keys, ["_t", "_side"], F.col("_r"), "_m", slices).where(F.col("_side") == 1)
     if tolerance_us is not None:
-        near = micros(F.col("_t")) - micros(F.col("_r._at")) <= tolerance_us
-        found = found.withColumn("_r", F.when(near, F.col("_r")))
-    return found.select(*keys, "_l.*", F.col("_r._at").alias(f"matched_{right_ts}"),
-                        *[F.col(f"_r.{c}").alias(c) for c in columns])
+        near = micros(F.col("_t")) - micros(F.col("_m._at")) <= tolerance_us
+        found = found.withColumn("_m", F.when(near, F.col("_m")))
+    return found.select(*by, "_l.*", F.col("_m._at").alias(f"matched_{right_ts}"),
+                        *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
 def alert_midpoints(events: DataFrame) -> DataFrame:

@@ -270,7 +270,8 @@ def asof_orders(spark, folder):
         *views.LINEITEM_KEY, "l_shipdate", (F.col("l_suppkey") % 100).alias("grp"))
     orders = views.table(spark, folder, "orders").groupBy((F.col("o_custkey") % 100).alias("grp"), "o_orderdate").agg(
         F.max("o_totalprice").alias("o_totalprice"))
-    return failure.asof(items, orders, "l_shipdate", "o_orderdate", ["o_totalprice"], by=["grp"]).drop("grp")
+    return failure.asof(items, orders, "l_shipdate", "o_orderdate", ["o_totalprice"], by=["grp"],
+                        expected_rows=items.count() + orders.count()).drop("grp")
 
 
 @query("alerts_without_degradation", f"""WITH {_EV}, a AS (SELECT window_start, min(window_end) AS window_end FROM ev WHERE alert AND method <> 'cusum' GROUP BY 1),
