@@ -36,7 +36,7 @@ def cell(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, (int, float)):
-        return float(value)
+        return float(value) + 0.0
     return str(value) if type(value).__name__ == "Decimal" else value
 
 
@@ -46,12 +46,19 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=repr)
 
 
+def negative_zeros(frame: pd.DataFrame) -> int:
+    floats = frame.select_dtypes("float")
+    return int(((floats == 0) & (1.0 / floats.where(floats == 0) < 0)).sum().sum()) if len(floats.columns) else 0
+
+
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     a, b = rows_of(got), rows_of(want)
     if len(a) != len(b):
         return f"{len(a)} rows != {len(b)}"
+    if negative_zeros(got) != negative_zeros(want):
+        return f"{negative_zeros(got)} negative zeros != {negative_zeros(want)}"
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     return f"{len(bad)} of {len(a)} rows differ, first {bad[0]}" if bad else None
 

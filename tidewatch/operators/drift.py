@@ -184,16 +184,14 @@ def cusum_events(windows: DataFrame, features: Sequence[str], profile: DataFrame
     return full.select("*", F.col("first_alarm").alias("first_alarm_offset"))
 
 
-def drift_statistics(reference: DataFrame, target: DataFrame, settings: DriftSettings,
-                     ) -> tuple[DataFrame | None, DataFrame | None, WindowPlan, int] | None:
-    """Per (window, feature) statistics: sampled methods, CUSUM, the windows, reference rows."""
+def compare_windows(reference: DataFrame, windows: DataFrame, plan: WindowPlan, features: Sequence[str],
+                    settings: DriftSettings, copies: int = 1) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Statistics of already numbered windows: (sampled methods, CUSUM, reference rows).
+
+    ``copies`` says how many times the planned rows appear in ``windows``.
+    """
     methods = resolve_methods(settings.methods)
-    features = resolve_features(reference, target, settings.features)
-    tagged = windowed(target, settings)
-    if tagged is None or not features:
-        return None
-    windows, plan = tagged
-    copies = max(-(-plan.window // plan.stride), 1)
+    copies *= max(-(-plan.window // plan.stride), 1)
     sampled = [m for m in methods if m != "cusum"]
     ref_counts = ts2.reference_counts(reference, features) if sampled else None
     needs_quantiles = {"wasserstein", "psi"} & set(sampled)
@@ -205,16 +203,25 @@ def drift_statistics(reference: DataFrame, target: DataFrame, settings: DriftSet
         stats = sample_statistics(ref_counts, windows, features, profile, sampled, settings.psi_bins, expected)
     if "cusum" in methods:
         cusum = cusum_events(windows, features, profile, settings, plan.rows * copies)
-    return stats, cusum, plan, facts.rows
+    return stats, cusum, facts.rows
 
 
-def drift_events(reference: DataFrame, target: DataFrame, settings: DriftSettings) -> DataFrame:
-    """The drift table: one row per (window, feature, method)."""
+def drift_statistics(reference: DataFrame, target: DataFrame, settings: DriftSettings,
+                     ) -> tuple[DataFrame | None, DataFrame | None, WindowPlan, int] | None:
+    """Per (window, feature) statistics: sampled methods, CUSUM, the windows, reference rows."""
+    features = resolve_features(reference, target, settings.features)
+    tagged = windowed(target, settings)
+    if tagged is None or not features:
+        return None
+    windows, plan = tagged
+    stats, cusum, rows = compare_windows(reference, windows, plan, features, settings)
+    return stats, cusum, plan, rows
+
+
+def emit_events(stats: DataFrame | None, cusum: DataFrame | None, reference_rows: int,
+                settings: DriftSettings) -> DataFrame:
+    """Unrounded drift rows keyed by window number."""
     methods = resolve_methods(settings.methods)
-    found = drift_statistics(reference, target, settings)
-    if found is None:
-        return target.sparkSession.createDataFrame([], EVENT_SCHEMA)
-    stats, cusum, plan, n_ref = found
     events = None
     if stats is not None:
         events = _emit(stats, [_sampled_event(m, settings) for m in methods if m != "cusum"])
@@ -222,10 +229,21 @@ def drift_events(reference: DataFrame, target: DataFrame, settings: DriftSetting
         rows = _emit(cusum, [_event("cusum", F.col("cusum"), F.col("limit"),
                                     F.col("first_alarm").isNotNull(), F.col("effect"))])
         events = rows if events is None else events.unionByName(rows)
-    if n_ref < settings.min_samples:
+    if reference_rows < settings.min_samples:
         none = F.lit(None).cast("double")
         events = events.withColumns({"statistic": F.lit(0.0), "threshold": F.lit(float("nan")),
                                      "alert": F.lit(False), "p_value": none, "effect_size": none})
+    return events
+
+
+def drift_events(reference: DataFrame, target: DataFrame, settings: DriftSettings) -> DataFrame:
+    """The drift table: one row per (window, feature, method)."""
+    resolve_methods(settings.methods)
+    found = drift_statistics(reference, target, settings)
+    if found is None:
+        return target.sparkSession.createDataFrame([], EVENT_SCHEMA)
+    stats, cusum, plan, n_ref = found
+    events = emit_events(stats, cusum, n_ref, settings)
     return finish(events.withColumns(window_bounds(plan, F.col("k"))))
 
 

@@ -64,13 +64,14 @@ def plan_windows(df: DataFrame, window: int, stride: int | None = None, ts: str
     return WindowPlan(low, window, stride, rows)
 
 
-def assign_windows(df: DataFrame, plan: WindowPlan, out: str = "k", ts: str = TIME) -> DataFrame:
+def assign_windows(df: DataFrame, plan: WindowPlan, out: str = "k", ts: str = TIME,
+                   origin: Column | None = None) -> DataFrame:
     """Tag each row with the number of every window that holds it.
 
     Pure arithmetic: tumbling windows add a column, sliding ones explode a short
-    sequence, and no join is involved.
+    sequence, and no join is involved. ``origin`` replaces the common anchor by a column.
     """
-    offset = micros(F.col(ts)) - F.lit(plan.origin)
+    offset = micros(F.col(ts)) - (F.lit(plan.origin) if origin is None else origin)
     latest = F.floor(offset / F.lit(plan.stride)).cast("long")
     if plan.window == plan.stride:
         return df.withColumn(out, latest)

@@ -1 +1,64 @@
+"""Writers for result tables and documents; a run is written once."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ONCE = "errorifexists"
+
+
+def write_table(df: DataFrame, root: str, run: str, name: str, partition_by: Sequence[str] = (),
+                form: str = "parquet") -> str:
+    """A result table under its run; refuses to replace an earlier one."""
+    path = f"{root}/{run}/{name}"
+    writer = df.write.mode(ONCE)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if form == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.format(form).save(path)
+    return path
+
+
+def write_predictions(df: DataFrame, root: str, run: str) -> str:
+    """Predictions split by period and model, so a report reads only what it needs."""
+    return write_table(df, root, run, "predictions", [c for c in ("period", "model") if c in df.columns])
+
+
+def write_document(df: DataFrame, root: str, run: str, name: str) -> str:
+    """A nested one-row result as JSON."""
+    path = f"{root}/{run}/{name}"
+    public(df).coalesce(1).write.mode(ONCE).json(path)
+    return path
+
+
+def public(df: DataFrame) -> DataFrame:
+    """Without internal columns (``_x`` or ``x_object``)."""
+    return df.select(*[c for c in df.columns if not (c.startswith("_") or c.endswith("_object"))])
+
+
+def public_map(column: str):
+    """A string-keyed map without internal keys."""
+    return F.map_filter(column, lambda k, v: ~(k.startswith("_") | k.endswith("_object")))
+
+
+def write_features(df: DataFrame, path: str, features: str = "features") -> str:
+    """A prepared feature matrix; names travel in the column metadata."""
+    meta = df.schema[features].metadata
+    out = df.withColumn(features, vector_to_array(features))
+    out.withMetadata(features, {"feature_names": meta.get("feature_names", [])}).write.mode(ONCE).parquet(path)
+    return path
+
+
+def save_model(model: Transformer, path: str) -> None:
+    PipelineModel(stages=[model]).write().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
