@@ -23,10 +23,9 @@ def sequence_means(windows: DataFrame, features: Sequence[str], tiebreak: Sequen
     are numbered once per window, and all features share the numbering.
     """
     narrow = windows.select("k", ts, *tiebreak, *[F.col(f).cast("double").alias(f"_{f}") for f in features])
-    numbered = number_rows(narrow, ["k"], [ts, *tiebreak], "_rn", expected_rows)
-    sizes = windows.groupBy("k").agg(F.count("*").alias("n_window"))
+    numbered = number_rows(narrow, ["k"], [ts, *tiebreak], "_rn", expected_rows, size="n_window")
     size = F.when(F.col("n_window") >= 2 * block, F.lit(block)).otherwise(F.lit(1)) if block > 1 else F.lit(1)
-    tagged = (numbered.join(sizes, "k").withColumn("_size", size)
+    tagged = (numbered.withColumn("_size", size)
               .withColumn("step", F.floor(F.col("_rn") / F.col("_size")))
               .where(F.col("step") < F.floor(F.col("n_window") / F.col("_size"))))
     means = tagged.groupBy("k", "step", "n_window").agg(*[F.avg(f"_{f}").alias(f) for f in features])

@@ -14,7 +14,8 @@ from tidewatch.functions.stats import kolmogorov_quantile, ks_critical, ks_p_val
 from tidewatch.operators import cusum as cu
 from tidewatch.operators import psi as ps
 from tidewatch.operators import twosample as ts2
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import pick_quantiles
+from tidewatch.operators.running import cut_slices
 from tidewatch.operators.windows import HOUR, WindowPlan, assign_windows, plan_windows, window_bounds
 
 # Detector names and their accepted spellings.
@@ -76,13 +77,14 @@ def resolve_features(reference: DataFrame, target: DataFrame, wanted: Sequence[s
 
 
 def windowed(target: DataFrame, settings: DriftSettings) -> tuple[DataFrame, WindowPlan] | None:
-    """Target rows tagged with window numbers, windows under ``min_samples`` dropped."""
+    """Target rows tagged with the number of every window that holds them."""
     plan = plan_windows(target, settings.window, settings.stride)
-    if plan is None:
-        return None
-    tagged = assign_windows(target, plan)
-    sizes = tagged.groupBy("k").agg(F.count("*").alias("_n")).where(F.col("_n") >= settings.min_samples)
-    return tagged.join(sizes.select("k"), "k", "left_semi"), plan
+    return None if plan is None else (assign_windows(target, plan), plan)
+
+
+def large_enough(windows: DataFrame, min_samples: int) -> DataFrame:
+    """Numbers of the windows with enough rows."""
+    return windows.groupBy("k").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).select("k")
 
 
 def _event(method: str, statistic: Column, threshold: Column, alert: Column, effect: Column,
@@ -104,60 +106,65 @@ class ReferenceProfile:
     """What the windows are compared with: a few numbers per feature, kept on the driver."""
 
     rows: int
-    moments: dict[str, tuple[float, float]]
+    moments: dict[str, tuple[float, float, int]]
     spread: dict[str, float]
     edges: dict[str, list[float] | None]
 
 
-def profile_reference(reference: DataFrame, features: Sequence[str], ref_counts: DataFrame | None,
-                      bins: int) -> ReferenceProfile:
-    """Mean, deviation, quartile range and quantile bin edges of each reference feature."""
-    rows = ts2.reference_moments(reference, features).collect()
-    moments = {r.feature: (r.mu, r.sigma) for r in rows}
-    n = max((r.n_reference for r in rows), default=0)
+def profile_reference(reference: DataFrame, features: Sequence[str], ranked: DataFrame | None, bins: int,
+                      moments: dict[str, tuple[float, float, int]] | None = None) -> ReferenceProfile:
+    """Mean, deviation, quartile range and quantile bin edges of each reference feature.
+
+    ``ranked`` holds the reference values with running counts; without it only the moments
+    are known.
+    """
+    moments = reference_facts(reference, features) if moments is None else moments
     spread, edges = {}, {}
-    if ref_counts is not None:
+    if ranked is not None:
         grid = [i / bins for i in range(bins + 1)]
         picked: dict[str, dict[float, float]] = {f: {} for f in features}
-        for r in exact_quantiles(ref_counts, ["feature"], "value", sorted({*grid, 0.25, 0.75}),
-                                 n * len(features), counted=True).collect():
+        for r in pick_quantiles(ranked, ["feature"], "value", sorted({*grid, 0.25, 0.75})).collect():
             picked[r.feature][r.p] = r.q
         for f in features:
             q = picked[f]
             iqr = q[0.75] - q[0.25] if q else 0.0
             spread[f] = iqr if iqr > 0 else (moments[f][1] or 1.0)
             edges[f] = ps.inner_edges([q[p] for p in grid]) if q else None
-    return ReferenceProfile(n, moments, spread, edges)
+    return ReferenceProfile(max((m[2] for m in moments.values()), default=0), moments, spread, edges)
+
+
+def reference_facts(reference: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, int]]:
+    """feature -> (mean, population deviation, rows)."""
+    return {r.feature: (r.mu, r.sigma, r.n_reference)
+            for r in ts2.reference_moments(reference, features).collect()}
 
 
 def profile_table(reference: DataFrame, profile: ReferenceProfile) -> DataFrame:
     """The profile as a table with one short row per feature."""
-    rows = [(f, mu, sigma, profile.rows, profile.spread.get(f), profile.edges.get(f))
-            for f, (mu, sigma) in profile.moments.items()]
+    rows = [(f, m[0], m[1], profile.rows, profile.spread.get(f), profile.edges.get(f))
+            for f, m in profile.moments.items()]
     return reference.sparkSession.createDataFrame(
         rows, "feature string, mu double, sigma double, n_reference long, spread double, edges array<double>")
 
 
-def sample_statistics(ref_counts: DataFrame, windows: DataFrame, features: Sequence[str],
-                      profile: DataFrame, methods: Sequence[str], bins: int, expected_rows: int) -> DataFrame:
+def sample_statistics(pool: DataFrame, slices: str | None, profile: DataFrame, methods: Sequence[str], bins: int,
+                      expected_rows: int) -> DataFrame:
     """(feature, k) -> ks, wasserstein and its scaled form, psi: each computed once."""
-    pool = ts2.pooled_counts(ref_counts, windows, features)
     out = None
     if "ks" in methods or "wasserstein" in methods:
-        axis, slices = ts2.sorted_axis(pool, expected_rows)
-        looked_up = ts2.reference_lookup(axis, slices)
+        looked_up = ts2.reference_lookup(ts2.sorted_axis(pool, slices), slices)
         if "wasserstein" in methods:
             out = ts2.sample_distances(looked_up, expected_rows).join(
-                profile.select("feature", "spread"), "feature").withColumn(
+                F.broadcast(profile.select("feature", "spread")), "feature").withColumn(
                 "scaled", F.col("wasserstein") / F.col("spread"))
         else:
             out = ts2.ks_distance(looked_up)
     if "psi" in methods:
-        counted = pool.withColumn("n", F.col("nr") + F.col("nw"))
         edges = profile.select("feature", "edges")
-        binned = ps.bin_counts(counted, edges, ["feature", "k"], bins, weight="n")
-        psi = ps.psi_from_bins(binned.where(F.col("k") == ts2.REFERENCE).drop("k"),
-                               binned.where(F.col("k") != ts2.REFERENCE), edges)
+        counted = pool.withColumn("n", F.col("nr") + F.col("nw"))
+        binned = ps.bin_table(counted, edges, ["feature", "k"], bins, weight="n")
+        psi = ps.psi(binned.where(F.col("k") == ts2.REFERENCE), binned.where(F.col("k") != ts2.REFERENCE),
+                     edges, ["k"], bins)
         out = psi if out is None else out.join(psi.select("feature", "k", "psi"), ["feature", "k"])
     return out
 
@@ -193,17 +200,27 @@ def compare_windows(reference: DataFrame, windows: DataFrame, plan: WindowPlan,
     methods = resolve_methods(settings.methods)
     copies *= max(-(-plan.window // plan.stride), 1)
     sampled = [m for m in methods if m != "cusum"]
-    ref_counts = ts2.reference_counts(reference, features) if sampled else None
-    needs_quantiles = {"wasserstein", "psi"} & set(sampled)
-    facts = profile_reference(reference, features, ref_counts if needs_quantiles else None, settings.psi_bins)
-    profile = profile_table(reference, facts)
+    moments = reference_facts(reference, features)
+    n_ref = max((m[2] for m in moments.values()), default=0)
+    expected = (n_ref + plan.rows * copies) * len(features)
+    pool = slices = ranked = None
+    if sampled:
+        ref_counts = ts2.reference_counts(reference, features)
+        pool, slices = cut_slices(ts2.pooled_counts(ref_counts, windows, features), ["feature", "value"], expected)
+        if {"wasserstein", "psi"} & set(sampled):
+            # A sliced pool is already stored; a small one is cheaper to count without the windows.
+            source = pool if slices else ref_counts.select("feature", "value", F.col("n").alias("nr"),
+                                                           F.lit(ts2.REFERENCE).alias("k"))
+            ranked = ts2.ranked_reference(source, slices)
+    profile = profile_table(reference, profile_reference(reference, features, ranked, settings.psi_bins, moments))
+    enough = large_enough(windows, settings.min_samples)
     stats = cusum = None
     if sampled:
-        expected = (facts.rows + plan.rows * copies) * len(features)
-        stats = sample_statistics(ref_counts, windows, features, profile, sampled, settings.psi_bins, expected)
+        stats = sample_statistics(pool, slices, profile, sampled, settings.psi_bins, expected).join(
+            enough, "k", "left_semi")
     if "cusum" in methods:
-        cusum = cusum_events(windows, features, profile, settings, plan.rows * copies)
-    return stats, cusum, facts.rows
+        cusum = cusum_events(windows, features, profile, settings, plan.rows * copies).join(enough, "k", "left_semi")
+    return stats, cusum, n_ref
 
 
 def drift_statistics(reference: DataFrame, target: DataFrame, settings: DriftSettings,

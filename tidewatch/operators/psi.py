@@ -28,29 +28,31 @@ def bin_of(bins: int):
     return number
 
 
-def bin_counts(long: DataFrame, edges: DataFrame, ids: Sequence[str], bins: int = 10,
-               weight: str | None = None) -> DataFrame:
-    """(ids, bin, c): rows per bin. ``edges`` has one short array per feature, so it is broadcast."""
-    amount = F.count("*") if weight is None else F.sum(weight)
-    return (long.join(F.broadcast(edges), "feature")
-            .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_of(bins)))
-            .groupBy(*ids, "bin").agg(amount.alias("c")))
-
-
-def psi_from_bins(reference_bins: DataFrame, window_bins: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature, k) -> psi. Bins without rows on one side are floored, not skipped."""
-    sizes = edges.select("feature", F.explode(
-        F.when(F.col("edges").isNotNull(), F.sequence(F.lit(0), F.size("edges")))
-        .otherwise(F.array(F.lit(-1)))).alias("bin"))
-    ref_total = reference_bins.groupBy("feature").agg(F.sum("c").alias("n_reference"))
-    windows = window_bins.groupBy("feature", "k").agg(F.sum("c").alias("n_window"))
-    grid = windows.join(sizes, "feature").join(ref_total, "feature")
-    full = (grid.join(reference_bins.select("feature", "bin", F.col("c").alias("cr")), ["feature", "bin"], "left")
-            .join(window_bins.select("feature", "k", "bin", F.col("c").alias("cw")),
-                  ["feature", "k", "bin"], "left").na.fill(0, ["cr", "cw"]))
-    p = F.greatest(F.col("cr") / F.col("n_reference"), F.lit(FLOOR))
-    q = F.greatest(F.col("cw") / F.col("n_window"), F.lit(FLOOR))
-    term = F.when(F.col("bin") >= 0, (q - p) * F.log(q / p)).otherwise(F.lit(0.0))
-    return full.groupBy("feature", "k").agg(
-        F.sum(term).alias("psi"), F.first("n_reference").alias("n_reference"),
-        F.first("n_window").alias("n_window"))
+def bin_table(long: DataFrame, edges: DataFrame, ids: Sequence[str], bins: int = 10,
+              weight: str | None = None) -> DataFrame:
+    """(ids) with one count per bin (b0..) and their total ``n``.
+
+    Bins are counted before the shuffle, so a row per group and task is exchanged. The
+    edges are one short array per feature and are broadcast.
+    """
+    amount = F.lit(1) if weight is None else F.col(weight)
+    placed = long.join(F.broadcast(edges), "feature").withColumn("_bin", bin_of(bins))
+    return placed.groupBy(*ids).agg(
+        *[F.sum(F.when(F.col("_bin") == i, amount).otherwise(0)).alias(f"b{i}") for i in range(bins)],
+        F.sum(amount).alias("n"))
+
+
+def psi(reference: DataFrame, windows: DataFrame, edges: DataFrame, ids: Sequence[str], bins: int = 10) -> DataFrame:
+    """(feature, ids) -> psi and sample sizes from bin tables.
+
+    Empty bins are floored, not skipped. The reference has one row per feature.
+    """
+    old = reference.select("feature", F.col("n").alias("n_reference"), *[F.col(f"b{i}").alias(f"r{i}") for i in range(bins)])
+    joined = windows.join(F.broadcast(old.join(edges, "feature")), "feature")
+    total = F.lit(0.0)
+    for i in range(bins):
+        p = F.greatest(F.col(f"r{i}") / F.col("n_reference"), F.lit(FLOOR))
+        q = F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(FLOOR))
+        total = total + F.when(F.size("edges") >= i, (q - p) * F.log(q / p)).otherwise(F.lit(0.0))
+    value = F.when(F.col("edges").isNull(), F.lit(0.0)).otherwise(total)
+    return joined.select("feature", *ids, value.alias("psi"), "n_reference", F.col("n").alias("n_window"))

@@ -112,24 +112,29 @@ def last_seen(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Col
     return local.join(carried, keys).withColumn(out, F.coalesce(out, "_b")).drop("_b")
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str,
-                expected_rows: int) -> DataFrame:
-    """Number the rows of each group from 0 in ``order``.
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, expected_rows: int,
+                size: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 in ``order``; ``size`` adds the group's row count.
 
     Large inputs are globally sorted once (the row key inside ``order`` keeps one hot
     timestamp from filling a partition) and numbered from the counts per partition.
     """
+    whole = Window.partitionBy(*by)
     if expected_rows <= rows_per_slice(df.sparkSession):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+        made = {out: F.row_number().over(whole.orderBy(*order)) - 1}
+        if size:
+            made[size] = F.count("*").over(whole)
+        return df.withColumns(made)
     parts = -(-expected_rows // rows_per_slice(df.sparkSession))
     placed = materialize(
         df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
         .withColumn(_POSITION, F.monotonically_increasing_id()))
     placed = placed.withColumn(SLICE, F.shiftright(_POSITION, 33))
     per_slice = placed.groupBy(*by, SLICE).agg(F.count("*").alias("_n"), F.min(_POSITION).alias("_first"))
-    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(*by, SLICE, "_first",
-                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                               *([F.sum("_n").over(whole).alias(size)] if size else []))
     return (placed.join(carried, [*by, SLICE])
             .withColumn(out, F.col("_before") + F.col(_POSITION) - F.col("_first"))
             .drop(_POSITION, SLICE, "_first", "_before"))

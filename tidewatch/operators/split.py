@@ -65,40 +65,43 @@ def find_cuts(df: DataFrame, train: float = 0.50, validation: float = 0.15, back
         raise ValueError(f"period fractions must sum to 1, got {sum(fractions)}")
     names = PERIODS[: len(fractions)]
 
+    kind = df.schema[ts].dataType
     us = micros(F.col(ts))
     minute = (us - F.pmod(us, F.lit(MINUTE))).alias("minute")
     per_minute = df.groupBy(minute).agg(F.count("*").alias("n"), F.max(ts).alias("latest"))
-    axis = per_minute.withColumn(
-        "cum", F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)))
-
     # One row per minute: a decade is five million short rows.
-    total, last = axis.agg(F.max("cum"), F.max("latest").cast("string")).first()
-    if not total:
-        raise ValueError("the table has no usable rows")
-    wanted, running = [], 0.0
-    for fraction in fractions[:-1]:
+    whole = Window.partitionBy(F.lit(0))
+    axis = per_minute.withColumns({
+        "cum": F.sum("n").over(whole.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)),
+        "total": F.sum("n").over(whole)})
+    first, running = F.col("cum") - F.col("n"), 0.0
+    hits = [F.max("total").alias("total"), F.max("latest").cast("string").alias("latest")]
+    for i, fraction in enumerate(fractions[:-1]):
         running += fraction
-        wanted.append(max(min(round(total * running), total), 1))
-
-    first = F.col("cum") - F.col("n")
-    hits = {}
-    for i, position in enumerate(wanted):
-        inside = (F.lit(position) > first) & (F.lit(position) <= F.col("cum"))
-        hits[f"m{i}"] = F.max(F.when(inside, F.col("minute")))
-        hits[f"b{i}"] = F.max(F.when(inside, first))
-    found = axis.agg(*[c.alias(n) for n, c in hits.items()]).first()
-
-    ends = []
-    for i, position in enumerate(wanted):
-        low = found[f"m{i}"]
-        kind = df.schema[ts].dataType
-        inside = df.where(
-            (F.col(ts) >= F.timestamp_micros(F.lit(low)).cast(kind))
-            & (F.col(ts) < F.timestamp_micros(F.lit(low + MINUTE)).cast(kind)))
-        instants = inside.groupBy(ts).agg(F.count("*").alias("n")).withColumn(
-            "cum", F.sum("n").over(Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
-        reached = instants.where(F.col("cum") >= position - found[f"b{i}"])
-        ends.append(reached.agg(F.min(ts).cast("string")).first()[0])
+        position = F.least(F.greatest(F.bround(F.col("total") * F.lit(running), 0).cast("long"), F.lit(1)), F.col("total"))
+        inside = (position > first) & (position <= F.col("cum"))
+        hits += [F.max(F.when(inside, F.col("minute"))).alias(f"m{i}"),
+                 F.max(F.when(inside, position - first)).alias(f"r{i}")]
+    found = axis.agg(*hits).first()
+    if not found.total:
+        raise ValueError("the table has no usable rows")
+    last, count = found.latest, len(fractions) - 1
+
+    # The exact timestamps: only rows of the minutes that hold a cut are read again.
+    def at(moment):
+        return F.timestamp_micros(F.lit(moment)).cast(kind)
+
+    lows = sorted({found[f"m{i}"] for i in range(count)})
+    near = None
+    for low in lows:
+        test = (F.col(ts) >= at(low)) & (F.col(ts) < at(low + MINUTE))
+        near = test if near is None else near | test
+    instants = df.where(near).groupBy(ts).agg(F.count("*").alias("n")).withColumn(
+        "minute", micros(F.col(ts)) - F.pmod(micros(F.col(ts)), F.lit(MINUTE))).withColumn(
+        "cum", F.sum("n").over(Window.partitionBy("minute").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    reached = [F.min(F.when((F.col("minute") == found[f"m{i}"]) & (F.col("cum") >= found[f"r{i}"]), F.col(ts))
+                     ).cast("string").alias(f"e{i}") for i in range(count)]
+    ends = list(instants.agg(*reached).first())
     ends.append(last)
 
     for earlier, later in zip(ends, ends[1:]):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import finite
-from tidewatch.operators.running import cut_slices, last_seen, running_sums
+from tidewatch.operators.running import last_seen, running_sums
 from tidewatch.session import rows_per_slice
 
 REFERENCE = -1
@@ -43,18 +43,23 @@ def pooled_counts(ref_counts: DataFrame, windows: DataFrame, features: Sequence[
     return ref.unionByName(tgt)
 
 
-def sorted_axis(pool: DataFrame, expected_rows: int) -> tuple[DataFrame, str | None]:
+def sorted_axis(pool: DataFrame, slices: str | None) -> DataFrame:
     """Running sums along each feature of the pooled counts.
 
     Adds cum_r and cum_rv (reference rows and their sum up to here, ties included), cum_w
     (window rows up to here), n_reference and n_window.
     """
-    pool, slices = cut_slices(pool, ["feature", "value"], expected_rows)
     pool = pool.withColumn("nrv", F.col("nr") * F.col("value"))
     by_feature = running_sums(pool, ["feature"], ["value", "k"],
                               {"cum_r": "nr", "cum_rv": "nrv"}, {"n_reference": "nr"}, slices)
     return running_sums(by_feature, ["feature", "k"], ["value"],
-                        {"cum_w": "nw"}, {"n_window": "nw"}, slices), slices
+                        {"cum_w": "nw"}, {"n_window": "nw"}, slices)
+
+
+def ranked_reference(pool: DataFrame, slices: str | None) -> DataFrame:
+    """Reference values with their running counts, as ``pick_quantiles`` reads them."""
+    ref = pool.where(F.col("k") == REFERENCE).withColumn("n", F.col("nr"))
+    return running_sums(ref, ["feature"], ["value"], {"cum": "n"}, {"total": "n"}, slices)
 
 
 def reference_lookup(axis: DataFrame, slices: str | None) -> DataFrame:

@@ -188,7 +188,7 @@ def cusum_blocks(spark, folder):
     _, target = periods(spark, folder)
     rows, _ = drift.windowed(target, drift.DriftSettings(**SETTINGS))
     seq = cu.sequence_means(rows, FEATURES, ["event_id"], 5, target.count())
-    return seq.select("k", "feature", "step", F.round("x", 6).alias("x"))
+    return seq.where(F.col("n_window") >= 20).select("k", "feature", "step", F.round("x", 6).alias("x"))
 
 
 @query("cusum_first_alarm", f"WITH {BASE}, {CUSUM} SELECT tt.k, tt.feature, first_alarm FROM tt LEFT JOIN peaks ON tt.k = peaks.k AND tt.feature = peaks.feature")
@@ -204,7 +204,7 @@ def cusum_null_thresholds(spark, folder):
     """Calibrated thresholds for the window lengths that occur; simulated, so no SQL."""
     _, target = periods(spark, folder)
     rows, _ = drift.windowed(target, drift.DriftSettings(**SETTINGS))
-    lengths = rows.groupBy("k").agg(F.floor(F.count("*") / 5).alias("n_sequence"))
+    lengths = rows.groupBy("k").agg(F.floor(F.count("*") / 5).alias("n_sequence")).where("n_sequence >= 4")
     return cu.null_thresholds(lengths.select("n_sequence"), warmup=10)
 
 

@@ -8,6 +8,7 @@ from tidewatch.operators import psi as ps
 from tidewatch.operators import twosample
 from tidewatch.operators.drift import profile_reference
 from tidewatch.operators.flows import with_derived
+from tidewatch.operators.running import cut_slices
 from tidewatch.operators.sequential import sequential_cusum
 from tidewatch.operators.windows import between
 from tidewatch.queries.base import FE, query
@@ -65,9 +66,11 @@ SELECT window_start, feature, round(sum((q - p) * ln(q / p)), 6) AS psi, CAST(an
 def _monitor(spark, folder, window, slide=None):
     reference = _reference(spark, folder)
     counts = twosample.reference_counts(reference, FEATURES)
-    facts = profile_reference(reference, FEATURES, counts, 10)
+    source = counts.select("feature", "value", F.col("n").alias("nr"), F.lit(twosample.REFERENCE).alias("k"))
+    sliced, slices = cut_slices(source, ["feature", "value"], reference.count() * len(FEATURES))
+    facts = profile_reference(reference, FEATURES, twosample.ranked_reference(sliced, slices), 10)
     table = spark.createDataFrame(list(facts.edges.items()), "feature string, edges array<double>")
-    reference_bins = ps.bin_counts(counts, table, ["feature"], 10, weight="n")
+    reference_bins = ps.bin_table(counts, table, ["feature"], 10, weight="n")
     out = monitor.scratch(spark, "psi")
     monitor.psi_stream(flow_stream(spark, folder), reference_bins, facts.edges, out, out + "-progress", window, slide,
                        delay="1 hour").awaitTermination()

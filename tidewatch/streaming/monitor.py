@@ -52,7 +52,7 @@ def run_to_end(stream: DataFrame, sink: str, progress: str, partition_by: Sequen
 
 def window_bins(stream: DataFrame, edges: dict[str, list[float]], bins: int, window: str, slide: str | None = None,
                 delay: str = "10 minutes") -> DataFrame:
-    """Rows per (window, feature, quantile bin); each window appears once, complete.
+    """Rows per (window, feature) and quantile bin; each window appears once, complete.
 
     State is a few counters per window and feature, however many rows arrive.
     """
@@ -60,13 +60,13 @@ def window_bins(stream: DataFrame, edges: dict[str, list[float]], bins: int, win
     table = spark.createDataFrame(list(edges.items()), "feature string, edges array<double>")
     long = melt(timed(stream, delay), list(edges), [TIME])
     frame = F.window(TIME, window, slide) if slide else F.window(TIME, window)
-    return (long.join(F.broadcast(table), "feature")
-            .groupBy(frame.alias("w"), "feature", ps.bin_of(bins).alias("bin")).agg(F.count("*").alias("c"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature", "bin", "c"))
+    counted = ps.bin_table(long.withColumn("w", frame), table, ["w", "feature"], bins)
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature",
+                          *[f"b{i}" for i in range(bins)], "n")
 
 
 def psi_writer(reference_bins: DataFrame, edges: dict[str, list[float]], sink: str, threshold: float = 0.2,
-               min_samples: int = 0) -> Callable[[DataFrame, int], None]:
+               min_samples: int = 0, bins: int = 10) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: PSI of every window that closed in the batch.
 
     A batch replaces its own output folder, so a replayed batch leaves no second copy.
@@ -74,10 +74,9 @@ def psi_writer(reference_bins: DataFrame, edges: dict[str, list[float]], sink: s
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         table = spark.createDataFrame(list(edges.items()), "feature string, edges array<double>")
-        keyed = batch.withColumn("k", F.struct("window_start", "window_end"))
-        psi = ps.psi_from_bins(reference_bins, keyed.select("feature", "k", "bin", "c"), table)
+        psi = ps.psi(reference_bins, batch, table, ["window_start", "window_end"], bins)
         (psi.where(F.col("n_window") >= min_samples)
-         .select("k.window_start", "k.window_end", "feature", "psi", (F.col("psi") > threshold).alias("alert"),
+         .select("window_start", "window_end", "feature", "psi", (F.col("psi") > threshold).alias("alert"),
                  "n_reference", "n_window")
          .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
     return write
@@ -89,7 +88,7 @@ def psi_stream(stream: DataFrame, reference_bins: DataFrame, edges: dict[str, li
     """Start a PSI monitor over the available input and return the query."""
     counts = window_bins(stream, edges, bins, window, slide, delay)
     return (counts.writeStream.outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True)
-            .foreachBatch(psi_writer(reference_bins, edges, sink, threshold, min_samples)).start())
+            .foreachBatch(psi_writer(reference_bins, edges, sink, threshold, min_samples, bins)).start())
 
 
 def window_quality(scored: DataFrame, threshold: float, window: str, min_rows: int = 0,
