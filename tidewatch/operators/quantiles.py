@@ -19,12 +19,21 @@ def pick_quantiles(ranked: DataFrame, by: Sequence[str], value: str, probs: Sequ
     """(by, p, q) by linear interpolation between neighbouring ranks.
 
     ``ranked`` holds ``value``, its count ``n``, the running count ``cum`` and the group
-    size ``total``. Each row is compared with a handful of wanted ranks.
+    size ``total``.
     """
-    frame = ranked.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    first = F.col("cum") - F.col("n")
+
+    def near(p):
+        position = (F.col("total") - 1) * p
+        return (F.ceil(position) >= first) & (F.floor(position) < F.col("cum"))
+
+    # Keep the few rows that hold a wanted rank, then repeat only those per probability.
+    some = near(F.lit(float(probs[0])))
+    for p in probs[1:]:
+        some = some | near(F.lit(float(p)))
+    frame = ranked.where(some).withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     position = (F.col("total") - 1) * F.col("_p")
     low, high = F.floor(position), F.ceil(position)
-    first = F.col("cum") - F.col("n")
     holds_low = (low >= first) & (low < F.col("cum"))
     holds_high = (high >= first) & (high < F.col("cum"))
     picked = (frame.where(holds_low | holds_high)

@@ -20,24 +20,29 @@ def shares(df: DataFrame, category: str, by: Sequence[str], out: str) -> DataFra
 def mixture_distance(before: DataFrame, after: DataFrame, category: str, by: Sequence[str] = ()) -> DataFrame:
     """Total variation distance of a category between one table and each group of another.
 
-    Levels present on one side only count with their full share.
+    Levels a group lacks add the share they had before, which is whatever its own levels
+    leave over; so one left join is enough, however many levels there are.
     """
-    p = shares(before, category, [], "p")
-    q = shares(after, category, by, "q")
-    if by:
-        p = q.select(*by).distinct().crossJoin(F.broadcast(p))
-    both = p.join(q, [*by, category], "full").na.fill(0.0, ["p", "q"])
-    return both.groupBy(*by).agg(
-        (0.5 * F.sum(F.abs(F.col("p") - F.col("q")))).alias("tvd"),
-        F.count_if(F.col("p") > 0).alias("levels_before"), F.count_if(F.col("q") > 0).alias("levels_after"),
-        _top(category, "p").alias("top_before"), _top(category, "q").alias("top_after"))
-
-
-def _top(category: str, column: str, k: int = 5):
-    """The k most frequent levels as a map; a category has few levels by definition."""
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col(column)).alias("s"), F.col(category).alias("level"))))
-    return F.map_from_entries(F.transform(
-        F.slice(pairs, 1, k), lambda x: F.struct(x["level"], F.round(-x["s"], 6))))
+    keys = list(by) or ["_all"]
+    if not by:
+        after = after.withColumn("_all", F.lit(0))
+    p, q = shares(before, category, [], "p"), shares(after, category, keys, "q")
+    both = q.join(p, category, "left").na.fill(0.0, ["p"])
+    gaps = both.groupBy(*keys).agg(
+        (0.5 * (F.sum(F.abs(F.col("p") - F.col("q"))) + 1.0 - F.sum("p"))).alias("tvd"),
+        F.count("*").alias("levels_after"))
+    old = p.agg(F.count("*").alias("levels_before")).crossJoin(_top(p.withColumn("_o", F.lit(0)), ["_o"], category, "p", "top_before"))
+    out = gaps.join(_top(q, keys, category, "q", "top_after"), keys).crossJoin(F.broadcast(old.drop("_o")))
+    return out if by else out.drop("_all")
+
+
+def _top(levels: DataFrame, by: Sequence[str], category: str, column: str, out: str, k: int = 5) -> DataFrame:
+    """The k most frequent levels of each group as a map."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(column).desc(), category))
+    top = levels.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    pairs = F.array_sort(F.collect_list(F.struct("_rank", category, F.round(column, 6).alias("share"))))
+    entries = F.transform(pairs, lambda x: F.struct(x[category], x["share"]))
+    return top.groupBy(*by).agg(F.map_from_entries(entries).alias(out))
 
 
 def numeric_moves(before: DataFrame, after: DataFrame, features: Sequence[str], by: Sequence[str] = (),

@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialize, rows_per_slice
 
 SLICE = "_slice"
+# Range boundaries are sampled on the driver; past this many slices they grow instead.
+MAX_SLICES = 20_000
 _POSITION = "_position"
 
 
+def slice_count(rows: int, per_slice: int) -> int:
+    return min(-(-rows // per_slice), MAX_SLICES)
+
+
 def cut_slices(df: DataFrame, order: Sequence[str], expected_rows: int) -> tuple[DataFrame, str | None]:
     """Give rows a slice number that grows with ``order``; equal keys share a slice.
 
@@ -27,7 +33,7 @@ def cut_slices(df: DataFrame, order: Sequence[str], expected_rows: int) -> tuple
     limit = rows_per_slice(df.sparkSession)
     if expected_rows <= limit:
         return df, None
-    parts = -(-expected_rows // limit)
+    parts = slice_count(expected_rows, limit)
     ranged = df.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id())
     return materialize(ranged), SLICE
 
@@ -125,7 +131,7 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
         if size:
             made[size] = F.count("*").over(whole)
         return df.withColumns(made)
-    parts = -(-expected_rows // rows_per_slice(df.sparkSession))
+    parts = slice_count(expected_rows, rows_per_slice(df.sparkSession))
     placed = materialize(
         df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
         .withColumn(_POSITION, F.monotonically_increasing_id()))

@@ -90,7 +90,7 @@ def settle(placed: DataFrame, threshold: float, drift: float, parts: int) -> dic
     while pending:
         todo = spark.createDataFrame([(f, p, *starts.get((f, p), (0.0, 0.0))) for f, p in sorted(pending)],
                                      "feature string, part int, pos double, neg double")
-        found = placed.join(F.broadcast(todo), ["feature", "part"]).select(
+        found = placed.join(todo, ["feature", "part"]).select(
             "feature", "part", "position", "z", "usable", "pos", "neg").groupBy("feature", "part").applyInPandas(
             run, "feature string, part int, pos double, neg double")
         for r in found.collect():

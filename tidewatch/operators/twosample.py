@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import finite
-from tidewatch.operators.running import last_seen, running_sums
+from tidewatch.operators.running import last_seen, running_sums, slice_count
 from tidewatch.session import rows_per_slice
 
 REFERENCE = -1
@@ -102,7 +102,7 @@ def sample_distances(looked_up: DataFrame, expected_rows: int) -> DataFrame:
     rank = F.when(is_ref, (F.col("cum_r") - F.col("nr")).cast("double")).otherwise(
         F.col("cum_w") * n_r / n_w)
     rows = looked_up.withColumn("r1", rank)
-    parts = -(-expected_rows // rows_per_slice(looked_up.sparkSession))
+    parts = slice_count(expected_rows, rows_per_slice(looked_up.sparkSession))
     slices = None
     if parts > 1:
         slices = RANK_SLICE
