@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.combine import with_each
 from tidewatch.operators.shifts import KINDS
 from tidewatch.operators.split import period_rank
 
@@ -27,14 +28,10 @@ REGISTRY = ["majority", "logistic_regression", "random_forest", "gradient_boosti
 BAD_TEXT = ["nan", "inf", "-inf", "+inf", "infinity", "-infinity"]
 
 
-def expected_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
-
-
 def missing_values(actual: DataFrame, by: Sequence[str], column: str, expected: Sequence[str]) -> DataFrame:
-    """Expected values that a group lacks (anti join against the groups present)."""
+    """Expected values that a group lacks (anti join of every group's wanted values)."""
     groups = actual.select(*by).distinct()
-    wanted = groups.crossJoin(F.broadcast(expected_values(actual, column, expected)))
+    wanted = with_each(groups, column, expected)
     return wanted.join(actual.select(*by, column).distinct(), [*by, column], "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import from_micros, micros
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.metrics import window_metrics
 from tidewatch.operators.running import cut_slices, last_seen
 from tidewatch.operators.summaries import strongest_features
@@ -79,7 +80,7 @@ def drift_lead(events: DataFrame, windows: DataFrame, baseline_recall: float | N
     if baseline_recall is not None:
         bad = bad & (F.col("recall") < F.lit(baseline_recall - margin))
     first_bad = windows.agg(F.min(F.when(bad, F.col("bucket"))).alias("first_degraded_window"))
-    both = first_alert.crossJoin(first_bad)
+    both = with_row(first_alert, first_bad)
     return both.withColumns({
         "drift_precedes_degradation": F.col("first_alert") <= F.col("first_degraded_window"),
         "lag_seconds": (micros(F.col("first_degraded_window")) - micros(F.col("first_alert"))) / 1e6})
@@ -127,7 +128,7 @@ def alerts_without_degradation(events: DataFrame, windows: DataFrame) -> DataFra
         F.count_if(F.col("recall").isNull()).alias("unmatched_alerts"))
     sizes = usable.agg(F.count("*").alias("model_windows"),
                        F.count_if(F.col("recall") < 0.5).alias("degraded_windows"))
-    return counts.crossJoin(sizes).withColumn("matched", F.col("unmatched_alerts") < F.col("alerts"))
+    return with_row(counts, sizes).withColumn("matched", F.col("unmatched_alerts") < F.col("alerts"))
 
 
 def failure_bundle(predicted: DataFrame, events: DataFrame, baseline_recall: float, baseline_fpr: float,
@@ -149,5 +150,5 @@ def failure_bundle(predicted: DataFrame, events: DataFrame, baseline_recall: flo
                  one(confident_errors(predicted), "high_confidence_errors"),
                  one(drift_lead(events, windows, baseline_recall), "drift_vs_degradation"),
                  one(alerts_without_degradation(events, windows), "alerts_without_degradation")):
-        out = out.crossJoin(F.broadcast(part))
+        out = with_row(out, part)
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import ratio
+from tidewatch.operators.combine import fixed_rows, with_each, with_row
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.running import cut_slices, running_sums
 from tidewatch.operators.windows import HOUR, bucket
@@ -106,9 +107,8 @@ def budget_thresholds(scores: DataFrame, budgets: Sequence[float], by: Sequence[
     frame = scores if by else scores.withColumn("_all", F.lit(0))
     negatives = frame.where(F.col(label) == 0)
     found = exact_quantiles(negatives, keys, score, [1.0 - float(b) for b in budgets], expected_rows)
-    wanted = frame.sparkSession.createDataFrame(
-        [(float(b), 1.0 - float(b)) for b in budgets], "target_fpr double, p double")
-    groups = frame.select(*keys).distinct().crossJoin(F.broadcast(wanted))
+    wanted = fixed_rows(["target_fpr", "p"], [(float(b), 1.0 - float(b)) for b in budgets])
+    groups = frame.select(*keys).distinct().select(*keys, F.inline(wanted))
     out = groups.join(found, [*keys, "p"], "left").select(
         *keys, "target_fpr", F.coalesce("q", F.lit(0.5)).alias("threshold"))
     return out if by else out.drop("_all")
@@ -127,11 +127,19 @@ def budget_sweep(scores: DataFrame, budgets: Sequence[float] = (0.01, 0.02, 0.05
     Thresholds come from ``fit_on``; by default from the evaluated rows themselves, which
     is an oracle threshold.
     """
-    limits = budget_thresholds(scores if fit_on is None else fit_on, budgets)
-    spread = scores.crossJoin(F.broadcast(limits)).withColumn(
-        "y_pred", (F.col("y_score") >= F.col("threshold")).cast("int"))
-    return confusion(spread, ["target_fpr", "threshold"]).withColumnRenamed(
-        "false_positive_rate", "achieved_fpr")
+    limits = budget_thresholds(scores if fit_on is None else fit_on, budgets).collect()
+    y = F.col("y_true")
+    counts = {}
+    for i, r in enumerate(limits):
+        hit = F.col("y_score") >= F.lit(r.threshold)
+        counts.update({f"tp{i}": F.count_if((y == 1) & hit), f"fp{i}": F.count_if((y == 0) & hit),
+                       f"tn{i}": F.count_if((y == 0) & ~hit), f"fn{i}": F.count_if((y == 1) & ~hit)})
+    one = scores.agg(*[c.alias(n) for n, c in counts.items()])
+    rows = [F.struct(F.lit(r.target_fpr).alias("target_fpr"), F.lit(r.threshold).alias("threshold"),
+                     F.col(f"tp{i}").alias("true_positives"), F.col(f"fp{i}").alias("false_positives"),
+                     F.col(f"tn{i}").alias("true_negatives"), F.col(f"fn{i}").alias("false_negatives"))
+            for i, r in enumerate(limits)]
+    return with_rates(one.select(F.inline(F.array(*rows)))).withColumnRenamed("false_positive_rate", "achieved_fpr")
 
 
 def score_bin(score: str, bins: int):
@@ -144,7 +152,7 @@ def reliability(scores: DataFrame, by: Sequence[str] = (), bins: int = 10) -> Da
         F.count("*").alias("n"), F.avg("y_score").alias("mean_pred"), F.avg("y_true").alias("observed"))
     grid = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     if by:
-        grid = filled.select(*by).distinct().crossJoin(F.broadcast(grid))
+        grid = with_each(filled.select(*by).distinct(), "bin", range(bins), "int")
     return grid.join(filled, [*by, "bin"], "left").na.fill(0, ["n"])
 
 
@@ -174,7 +182,7 @@ def calibration_change(before: DataFrame, after: DataFrame, by: Sequence[str]) -
     keys = list(by)
     old = before.select(*keys, F.col("brier").alias("brier_backtest"), F.col("ece").alias("ece_backtest"))
     new = after.select(*keys, F.col("brier").alias("brier_forward"), F.col("ece").alias("ece_forward"))
-    joined = old.join(new, keys) if keys else old.crossJoin(new)
+    joined = old.join(new, keys) if keys else with_row(old, new)
     return joined.withColumns({"brier_change": F.col("brier_forward") - F.col("brier_backtest"),
                                "ece_change": F.col("ece_forward") - F.col("ece_backtest")})
 

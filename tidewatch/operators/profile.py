@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.twosample import melt
 
 
@@ -122,4 +123,4 @@ def feature_policy(names: DataFrame, column: str) -> DataFrame:
         F.array_except(full, "seen").alias("full_missing"),
         F.array_intersect(restricted, "seen").alias("restricted_available"),
         F.array_except(restricted, "seen").alias("restricted_missing"))
-    return total.crossJoin(report).withColumn("policy_compliant", F.size("excluded_present") == 0)
+    return with_row(total, report).withColumn("policy_compliant", F.size("excluded_present") == 0)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.twosample import melt
 
@@ -31,8 +32,9 @@ def mixture_distance(before: DataFrame, after: DataFrame, category: str, by: Seq
     gaps = both.groupBy(*keys).agg(
         (0.5 * (F.sum(F.abs(F.col("p") - F.col("q"))) + 1.0 - F.sum("p"))).alias("tvd"),
         F.count("*").alias("levels_after"))
-    old = p.agg(F.count("*").alias("levels_before")).crossJoin(_top(p.withColumn("_o", F.lit(0)), ["_o"], category, "p", "top_before"))
-    out = gaps.join(_top(q, keys, category, "q", "top_after"), keys).crossJoin(F.broadcast(old.drop("_o")))
+    old = with_row(p.agg(F.count("*").alias("levels_before")),
+                   _top(p.withColumn("_o", F.lit(0)), ["_o"], category, "p", "top_before").drop("_o"))
+    out = with_row(gaps.join(_top(q, keys, category, "q", "top_after"), keys), old)
     return out if by else out.drop("_all")
 
 
@@ -78,12 +80,12 @@ def verdict(moves: DataFrame, mixtures: DataFrame | None, rates: DataFrame, by:
     keys = list(by)
     out = rates
     effects = moves.groupBy(*keys).agg(F.max(size).alias("max_abs_cohens_d"), F.avg(size).alias("mean_abs_cohens_d"))
-    out = out.join(effects, keys, "left") if keys else out.crossJoin(effects)
+    out = out.join(effects, keys, "left") if keys else with_row(out, effects)
     if mixtures is None:
         out = out.withColumn("max_categorical_tvd", F.lit(0.0))
     else:
         tvd = mixtures.groupBy(*keys).agg(F.max("tvd").alias("max_categorical_tvd"))
-        out = out.join(tvd, keys, "left") if keys else out.crossJoin(tvd)
+        out = out.join(tvd, keys, "left") if keys else with_row(out, tvd)
     out = out.na.fill(0.0, ["max_abs_cohens_d", "mean_abs_cohens_d", "max_categorical_tvd"])
     before, after = F.col("attack_rate_before"), F.col("attack_rate_after")
     moved = ((F.col("max_abs_cohens_d") >= 0.05) | (F.col("max_categorical_tvd") >= 0.05)
@@ -97,4 +99,4 @@ def verdict(moves: DataFrame, mixtures: DataFrame | None, rates: DataFrame, by:
 def class_rates(before: DataFrame, after: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
     old = before.agg(F.count("*").alias("rows_before"), F.avg(label).alias("attack_rate_before"))
     new = after.groupBy(*by).agg(F.count("*").alias("rows_after"), F.avg(label).alias("attack_rate_after"))
-    return new.crossJoin(F.broadcast(old))
+    return with_row(new, old)

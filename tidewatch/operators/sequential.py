@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import finite
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.profile import first_per_group
 from tidewatch.operators.running import number_rows
 from tidewatch.schema import TIME
@@ -118,7 +119,7 @@ def emit(placed: DataFrame, starts: dict, threshold: float, drift: float, ts: st
         return pdf[columns].assign(statistic=statistic, alert=alarm)
 
     out = placed.groupBy("feature", "part").applyInPandas(run, schema)
-    return out.crossJoin(F.broadcast(first)).select(
+    return with_row(out, first).select(
         "feature", F.col("first_ts").alias("window_start"), F.col(ts).alias("window_end"), *tiebreak,
         "statistic", F.lit(float(threshold)).alias("threshold"), "alert",
         F.when(F.col("usable"), F.col("z")).alias("effect_size"), (F.col("position") + 1).alias("n_window"))

@@ -44,8 +44,8 @@ def effect_by_alert(events: DataFrame) -> DataFrame:
 def detector_agreement(events: DataFrame) -> DataFrame:
     """How many (window, feature) pairs all, some or none of the detectors flag."""
     pairs = events.groupBy("window_start", "feature").agg(F.count_if("alert").alias("hits"))
-    methods = events.agg(F.count_distinct("method").alias("m"))
-    return pairs.crossJoin(F.broadcast(methods)).agg(
+    methods = events.agg(F.count_distinct("method")).scalar()
+    return pairs.withColumn("m", methods).agg(
         F.count("*").alias("pairs"), F.count_if(F.col("hits") == F.col("m")).alias("all_agree"),
         F.count_if((F.col("hits") > 0) & (F.col("hits") < F.col("m"))).alias("split"),
         F.count_if(F.col("hits") == 0).alias("none_alerted"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.operators import metrics
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.preprocess import FittedFeatures, fit_features
 from tidewatch.operators.split import TimeCuts, find_cuts
 from tidewatch.plans.models import FittedModel, fit_model
@@ -57,7 +58,7 @@ def metric_rows(scored: DataFrame, by: list[str], expected_rows: int | None = No
     """Confusion metrics and ranking areas per group of a prediction table."""
     base = metrics.confusion(scored, by)
     areas = metrics.ranking(scored, by, expected_rows=expected_rows)
-    joined = base.join(areas, by) if by else base.crossJoin(areas)
+    joined = base.join(areas, by) if by else with_row(base, areas)
     return joined.select(*by, *METRIC_NAMES)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.operators import metrics, profile
+from tidewatch.operators.combine import with_row
 from tidewatch.operators.flows import require_binary, trimmed
 from tidewatch.operators.preprocess import FittedFeatures, fit_features
 from tidewatch.plans.models import fit_model
@@ -46,7 +47,7 @@ def evaluate_grid(train: DataFrame, test: DataFrame, models: Sequence[str], sets
 
             accuracy = judged(rows).agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("int"))).first()[0]
             predicted = judged(held)
-            part = metrics.static_metrics(predicted).crossJoin(metrics.ranking(predicted)).withColumns({
+            part = with_row(metrics.static_metrics(predicted), metrics.ranking(predicted)).withColumns({
                 "feature_set": F.lit(name), "model": F.lit(model), "train_accuracy": F.lit(accuracy)})
             out = part if out is None else out.unionByName(part)
     return out

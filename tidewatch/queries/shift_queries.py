@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import preprocess, realized, sampling, shifts, split
+from tidewatch.operators.combine import fixed_rows
 from tidewatch.queries.base import FE, FL, cuts_sql, query
 from tidewatch.queries.metric_queries import quantile_sql
 from tidewatch.sources import views
@@ -234,6 +235,5 @@ _GRID = ", ".join(f"('{k}', CAST({m} AS DOUBLE))" for k, m in shifts.catalogue()
 SELECT model, kind, magnitude FROM p CROSS JOIN g""")
 def shift_catalogue(spark, folder):
     """Every model with every shift setting."""
-    grid = spark.createDataFrame(shifts.catalogue(), "kind string, magnitude double")
     models = views.table(spark, folder, "lineitem").select(F.col("l_linestatus").alias("model")).distinct()
-    return models.crossJoin(F.broadcast(grid))
+    return models.select("model", F.inline(fixed_rows(["kind", "magnitude"], shifts.catalogue())))

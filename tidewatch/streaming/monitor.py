@@ -129,9 +129,8 @@ class RollingRefit:
             rows.write.mode("overwrite").parquet(f"{self.history}/batch_id={batch_id}")
             seen = batch.sparkSession.read.parquet(self.history).drop("batch_id")
             if self.window_seconds is not None:
-                latest = rows.agg(F.max(TIME).alias("_latest"))
-                low = F.col("_latest") - F.make_dt_interval(secs=F.lit(float(self.window_seconds)))
-                seen = seen.crossJoin(F.broadcast(latest)).where(F.col(TIME) >= low).drop("_latest")
+                latest = rows.agg(F.max(TIME)).scalar()
+                seen = seen.where(F.col(TIME) >= latest - F.make_dt_interval(secs=F.lit(float(self.window_seconds))))
             self.model = self.fit(self.train.unionByName(seen.select(*self.train.columns)))
             self.refits += 1
         finally:
