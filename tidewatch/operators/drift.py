@@ -17,6 +17,7 @@ from tidewatch.operators import twosample as ts2
 from tidewatch.operators.quantiles import pick_quantiles
 from tidewatch.operators.running import cut_slices
 from tidewatch.operators.windows import HOUR, WindowPlan, assign_windows, plan_windows, window_bounds
+from tidewatch.session import materialize
 
 # Detector names and their accepted spellings.
 METHODS = ("ks", "wasserstein", "psi", "cusum")
@@ -154,6 +155,9 @@ def sample_statistics(pool: DataFrame, slices: str | None, profile: DataFrame, m
     if "ks" in methods or "wasserstein" in methods:
         looked_up = ts2.reference_lookup(ts2.sorted_axis(pool, slices), slices)
         if "wasserstein" in methods:
+            if slices:
+                # The rank stage reads the looked-up axis several times.
+                looked_up = materialize(looked_up)
             out = ts2.sample_distances(looked_up, expected_rows).join(
                 F.broadcast(profile.select("feature", "spread")), "feature").withColumn(
                 "scaled", F.col("wasserstein") / F.col("spread"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import kolmogorov_quantile
@@ -28,18 +30,35 @@ def events(spark, folder, **changes):
     return drift.drift_events(reference, target, drift.DriftSettings(**{**SETTINGS, **changes}))
 
 
-LIST = ", ".join(FEATURES)
-BASE = f"""{FE}, {cuts_sql('fe')},
-tw0 AS (SELECT *, CAST(floor((epoch_us(timestamp) - (SELECT min(epoch_us(timestamp)) FROM sp WHERE period = 'forward')) / 86400000000) AS BIGINT) AS k
+@dataclass(frozen=True)
+class DriftSql:
+    """The SQL of one windowed drift analysis, in reusable pieces."""
+
+    base: str
+    two_sample: str
+    quantiles: str
+    psi: str
+    cusum: str
+    events: str
+
+    @property
+    def full(self) -> str:
+        return f"WITH {self.base}, {self.two_sample}, {self.quantiles}, {self.psi}, {self.cusum}, {self.events} "
+
+
+def drift_sql(cte: str, source: str, features: list[str], width: int, key: str) -> DriftSql:
+    names = ", ".join(features)
+    base = f"""{cte}, {cuts_sql(source)},
+tw0 AS (SELECT *, CAST(floor((epoch_us(timestamp) - (SELECT min(epoch_us(timestamp)) FROM sp WHERE period = 'forward')) / {width}) AS BIGINT) AS k
   FROM sp WHERE period = 'forward'),
 origin AS (SELECT min(timestamp) AS o FROM tw0),
 tw AS (SELECT * FROM tw0 WHERE k IN (SELECT k FROM tw0 GROUP BY k HAVING count(*) >= 20)),
-rm AS (UNPIVOT (SELECT {LIST} FROM sp WHERE period = 'train') ON {LIST} INTO NAME feature VALUE value),
-tm AS (UNPIVOT (SELECT k, {LIST} FROM tw) ON {LIST} INTO NAME feature VALUE value),
+rm AS (UNPIVOT (SELECT {names} FROM sp WHERE period = 'train') ON {names} INTO NAME feature VALUE value),
+tm AS (UNPIVOT (SELECT k, {names} FROM tw) ON {names} INTO NAME feature VALUE value),
 rt AS (SELECT feature, count(*) AS nr, stddev_pop(value) AS sd, avg(value) AS mu FROM rm GROUP BY feature),
 tt AS (SELECT feature, k, count(*) AS nw, avg(value) AS mw FROM tm GROUP BY feature, k)"""
 
-TWO_SAMPLE = """
+    two_sample = """
 pool AS (SELECT feature, k, value, sum(r) AS r, sum(w) AS w FROM (
     SELECT rm.feature, tt.k, value, 1 AS r, 0 AS w FROM rm JOIN tt ON rm.feature = tt.feature
     UNION ALL SELECT feature, k, value, 0, 1 FROM tm) GROUP BY ALL),
@@ -49,7 +68,7 @@ two AS (SELECT cdf.feature, cdf.k, max(abs(CAST(cr AS DOUBLE) / nr - CAST(cw AS
     sum(abs(CAST(cr AS DOUBLE) / nr - CAST(cw AS DOUBLE) / nw) * (nv - value)) AS w1, any_value(nr) AS nr, any_value(nw) AS nw
   FROM cdf JOIN rt ON cdf.feature = rt.feature JOIN tt ON cdf.feature = tt.feature AND cdf.k = tt.k GROUP BY 1, 2)"""
 
-QUANTILES = """
+    quantiles = """
 ranked AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS i,
     count(*) OVER (PARTITION BY feature) AS n FROM rm),
 probs AS (SELECT CAST(unnest(range(11)) AS DOUBLE) / 10 AS p UNION ALL SELECT 0.25 UNION ALL SELECT 0.75),
@@ -60,7 +79,7 @@ spread AS (SELECT qs.feature, CASE WHEN max(CASE WHEN p = 0.75 THEN q END) - max
     THEN max(CASE WHEN p = 0.75 THEN q END) - max(CASE WHEN p = 0.25 THEN q END) WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1 END AS s
   FROM qs JOIN rt ON qs.feature = rt.feature GROUP BY qs.feature)"""
 
-PSI = """
+    psi = """
 edges AS (SELECT feature, list_sort(list_distinct(list(q))) AS e FROM qs WHERE p NOT IN (0.25, 0.75) GROUP BY feature),
 bins AS (SELECT feature, e[2:len(e) - 1] AS inner_edges, unnest(range(len(e) - 1)) AS bin FROM edges),
 rb AS (SELECT rm.feature, len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) AS bin, count(*) AS c FROM rm JOIN edges ON rm.feature = edges.feature GROUP BY 1, 2),
@@ -70,34 +89,40 @@ ps AS (SELECT tt.feature, tt.k, greatest(coalesce(rb.c, 0) / CAST(nr AS DOUBLE),
   LEFT JOIN rb ON rb.feature = tt.feature AND rb.bin = bins.bin LEFT JOIN tb ON tb.feature = tt.feature AND tb.k = tt.k AND tb.bin = bins.bin),
 psi AS (SELECT feature, k, sum((q - p) * ln(q / p)) AS psi FROM ps GROUP BY 1, 2)"""
 
-CUSUM = f"""
-numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY timestamp, event_id) - 1 AS rn, count(*) OVER (PARTITION BY k) AS nw FROM tw),
-blocks AS (SELECT k, CAST(floor(rn / 5) AS BIGINT) AS step, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM numbered
+    cusum = f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY timestamp, {key}) - 1 AS rn, count(*) OVER (PARTITION BY k) AS nw FROM tw),
+blocks AS (SELECT k, CAST(floor(rn / 5) AS BIGINT) AS step, {', '.join(f'avg({f}) AS {f}' for f in features)} FROM numbered
   WHERE floor(rn / 5) < floor(nw / 5) GROUP BY 1, 2),
-seq AS (UNPIVOT blocks ON {LIST} INTO NAME feature VALUE x),
+seq AS (UNPIVOT blocks ON {names} INTO NAME feature VALUE x),
 steps AS (SELECT seq.k, seq.feature, step, (x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z FROM seq JOIN rt ON rt.feature = seq.feature WHERE step >= 10),
 sums AS (SELECT *, sum(z - 0.5) OVER w AS cu, sum(-z - 0.5) OVER w AS cd FROM steps WINDOW w AS (PARTITION BY k, feature ORDER BY step)),
 lows AS (SELECT *, min(cu) OVER w AS lu, min(cd) OVER w AS ld FROM sums WINDOW w AS (PARTITION BY k, feature ORDER BY step)),
 path AS (SELECT *, greatest(cu - least(0, lu), cd - least(0, ld), 0) AS cusum FROM lows),
 peaks AS (SELECT k, feature, max(cusum) AS peak, min(CASE WHEN cusum > 2.5 THEN step END) AS first_alarm FROM path GROUP BY 1, 2)"""
 
-_LAM = repr(kolmogorov_quantile(0.01))
-_N = "greatest(floor(nr * nw / CAST(nr + nw AS DOUBLE)), 1)"
-_CRIT = f"(({_LAM} - 1 / (6 * sqrt({_N})) + 1 / (4 * {_N})) / (sqrt({_N}) * (1 + 1 / (4 * {_N}))))"
-_BOUNDS = "o + to_microseconds(k * 86400000000) AS window_start, o + to_microseconds((k + 1) * 86400000000) AS window_end"
+    lam = repr(kolmogorov_quantile(0.01))
+    n = "greatest(floor(nr * nw / CAST(nr + nw AS DOUBLE)), 1)"
+    crit = f"(({lam} - 1 / (6 * sqrt({n})) + 1 / (4 * {n})) / (sqrt({n}) * (1 + 1 / (4 * {n}))))"
+    bounds = f"o + to_microseconds(k * {width}) AS window_start, o + to_microseconds((k + 1) * {width}) AS window_end"
 
-EVENTS = f"""ev AS (
-SELECT {_BOUNDS}, feature, 'ks' AS method, round(ks, 6) AS statistic, round({_CRIT}, 6) AS threshold, ks > {_CRIT} AS alert,
+    events = f"""ev AS (
+SELECT {bounds}, feature, 'ks' AS method, round(ks, 6) AS statistic, round({crit}, 6) AS threshold, ks > {crit} AS alert,
   round(ks, 6) AS effect_size, nr AS n_reference, nw AS n_window FROM two, origin
-UNION ALL SELECT {_BOUNDS}, two.feature, 'wasserstein', round(w1, 6), 0.1, w1 / s > 0.1, round(w1 / s, 6), nr, nw
+UNION ALL SELECT {bounds}, two.feature, 'wasserstein', round(w1, 6), 0.1, w1 / s > 0.1, round(w1 / s, 6), nr, nw
   FROM two JOIN spread ON two.feature = spread.feature, origin
-UNION ALL SELECT {_BOUNDS.replace('k *', 'psi.k *').replace('(k +', '(psi.k +')}, psi.feature, 'psi', round(psi, 6), 0.2, psi > 0.2, round(psi, 6), nr, nw
+UNION ALL SELECT {bounds.replace('k *', 'psi.k *').replace('(k +', '(psi.k +')}, psi.feature, 'psi', round(psi, 6), 0.2, psi > 0.2, round(psi, 6), nr, nw
   FROM psi JOIN rt ON psi.feature = rt.feature JOIN tt ON tt.feature = psi.feature AND tt.k = psi.k, origin
-UNION ALL SELECT {_BOUNDS.replace('k *', 'tt.k *').replace('(k +', '(tt.k +')}, tt.feature, 'cusum', round(coalesce(peak, 0), 6), 2.5, first_alarm IS NOT NULL,
+UNION ALL SELECT {bounds.replace('k *', 'tt.k *').replace('(k +', '(tt.k +')}, tt.feature, 'cusum', round(coalesce(peak, 0), 6), 2.5, first_alarm IS NOT NULL,
   round(abs(mw - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6), nr, nw
   FROM tt JOIN rt ON tt.feature = rt.feature LEFT JOIN peaks ON peaks.feature = tt.feature AND peaks.k = tt.k, origin)"""
+    return DriftSql(base, two_sample, quantiles, psi, cusum, events)
 
-FULL = f"WITH {BASE}, {TWO_SAMPLE}, {QUANTILES}, {PSI}, {CUSUM}, {EVENTS} "
+
+_LAM = repr(kolmogorov_quantile(0.01))
+_N = "greatest(floor(nr * nw / CAST(nr + nw AS DOUBLE)), 1)"
+_SQL = drift_sql(FE, "fe", FEATURES, DAY, "event_id")
+BASE, TWO_SAMPLE, QUANTILES, PSI, CUSUM, EVENTS, FULL = (
+    _SQL.base, _SQL.two_sample, _SQL.quantiles, _SQL.psi, _SQL.cusum, _SQL.events, _SQL.full)
 
 
 @query("ks_windows", FULL + "SELECT window_start, window_end, feature, statistic, threshold, alert, effect_size, n_reference, n_window FROM ev WHERE method = 'ks'")
@@ -314,3 +339,22 @@ def row_to_window(spark, folder):
     plan = windows.plan_windows(df, 30 * DAY)
     return windows.assign_windows(df, plan).select(*views.LINEITEM_KEY, "k")
 
+
+ALL_FEATURES = ["flow_duration", "total_packets", "total_bytes", "forward_packets", "backward_packets", "forward_bytes",
+                "backward_bytes", "packet_rate", "byte_rate", "mean_packet_size", "bytes_per_packet", "bytes_ratio",
+                "packets_ratio", "duration_log1p", "packets_log1p", "bytes_log1p"]
+
+
+@query("drift_events_lineitem")
+def drift_events_lineitem(spark, folder):
+    """Sixteen features, all four detectors, windows of 120 days on whole dates.
+
+    The SQL form replicates the reference per window and is too large here; the detectors
+    are tested against brute force instead.
+    """
+    df = views.lineitem_common(spark, folder)
+    cuts = split.find_cuts(views.lineitem_flows(spark, folder))
+    settings = drift.DriftSettings(**{**SETTINGS, "window": 120 * DAY, "features": ALL_FEATURES,
+                                      "methods": drift.METHODS, "tiebreak": tuple(views.LINEITEM_KEY)})
+    out = drift.drift_events(cuts.period(df, "train"), cuts.period(df, "forward"), settings).drop("p_value")
+    return out.withColumns({c: F.round(c, 5) for c in ("statistic", "effect_size")})
