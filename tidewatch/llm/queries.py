@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import quality
+from tidewatch.llm import line_dedup, mixing, ngram_join, passages, quality, shards
 from tidewatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,36 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.judged(docs, read(spark, folder, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        "base_failed", "kept", *(F.col(f"cut_{r.name}") for r in quality.DEFAULT_RULES))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its place in 24 contiguous shards of nearly equal bytes."""
+    rows = shards.placed(read(spark, folder, "documents").select("doc_id", "text"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in a mix in which no source comes more than twice as often as another."""
+    rows = mixing.mixed(read(spark, folder, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "source", "tokens", "copy", "passes", "mix_order")
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line that a near copy elsewhere makes redundant, with the line that stays."""
+    return line_dedup.removals(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its near-duplicate class and its number of links."""
+    return ngram_join.joined(read(spark, folder, "documents").select("doc_id", "text")).drop("h")
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of 50 words or more that repeats across documents."""
+    return passages.repeats(read(spark, folder, "documents").select("doc_id", "text"))
