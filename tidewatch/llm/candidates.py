@@ -107,7 +107,7 @@ def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
 def verify(threshold: float, shingler) -> Callable:
     """Rows (key, left, right, side, uid, text) -> (uid, root, links): exact similarity in each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = shingler.begin()
+        windows = shingler.begin()
         for table, group in in_groups(batches):
             uid, side = table.column("uid").to_numpy(), table.column("side").to_numpy()
             texts = table.column("text").to_pylist()
@@ -118,7 +118,8 @@ def verify(threshold: float, shingler) -> Callable:
                 if len(ids) < 2:
                     continue
                 s = side[a:b][at]
-                own = [sets(texts[a + i] or "") for i in at]
+                hashes, first = windows([texts[a + i] for i in at])
+                own = [np.unique(x) for x in np.split(hashes, first[1:])]
                 both = sh.shared(own)
                 size = both.diagonal()
                 alike = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (both > 0)

@@ -32,9 +32,8 @@ BANDS = shingles.Bands(14, 4, one_pass=True)
 def lines(text: str) -> Iterator[tuple[int, int, int, int, str]]:
     at = 0
     for number, line in enumerate(text.split("\n")):
-        parts = line.lower().split()
-        if parts:
-            yield at, number, at + len(line), len(parts), " ".join(parts)
+        if line and not line.isspace():
+            yield at, number, at + len(line), 0, line
         at += len(line) + 1
 
 

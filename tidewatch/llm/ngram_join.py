@@ -3,15 +3,15 @@
 Documents are sets of five-word shingles; a link is a pair with similarity of 0.8 or more.
 
 1. Every document gets 150 MinHash values, banded 30 x 5: a pair at 0.8 shares a band with
-   probability 1 - 7e-6. Documents with equal sets are one text from here on.
+   probability 1 - 7e-6. Documents with equal words are one text from here on.
 2. Texts of a bucket are compared value by value: after 30, 60, ... values the posterior
    probability that the similarity reaches the threshold follows from the matches (uniform
    prior: a Beta tail); pairs under 1e-6 are dropped. What is left joins texts to groups.
 3. Inside groups all pairs are verified exactly. A group is cut into blocks, a task holds two blocks,
    and rows out of a task are counts of links and stars, never pairs.
 
-Results: class_id (smallest document id connected by links), text_id (smallest document id of
-the equal sets), n_links (other texts linked), n_copies (documents with this text).
+Results: class_id (smallest document id connected by links), text_id (smallest document id with
+the same words), n_links (other texts linked), n_copies (documents with this text).
 
 Defined results: a null or empty text, or one without words, matches nothing and is a class of its
 own (class_id = doc_id); under five words a text is one shingle; repeated rows are documents
@@ -54,18 +54,27 @@ def least_matches(threshold: float, tolerance: float, of: int) -> int:
 
 def _signed(shingler, bands: shingles.Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, (signature, keys) = shingler.begin(), bands.begin()
+        windows, (signatures, keys) = shingler.begin(), bands.begin()
         for batch in batches:
-            uid, sig = [], []
-            for text in batch.column(2).to_pylist():
-                s = sets(text)
-                uid.append(shingles.fingerprint(s) if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
-            some = [x for x in sig if x is not None]
-            key = iter(keys(np.stack(some)).tolist() if some else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(uid, pa.int64()), pa.array([x if x is None else x.tobytes() for x in sig], pa.binary()),
-                 pa.array([None if x is None else next(key) for x in sig], pa.list_(pa.int64()))], ["doc_id", "h", "uid", "sig", "bands"])
+            texts = [shingler.normal(t) for t in batch.column(2).to_pylist()]
+            for a, b in shingles.chunks(texts):
+                part = texts[a:b]
+                full = [i for i, t in enumerate(part) if t]
+                uid, sig, band = [None] * len(part), [None] * len(part), [None] * len(part)
+                if full:
+                    values = signatures(*windows([part[i] for i in full]))
+                    for i, v, k in zip(full, values, keys(values).tolist()):
+                        uid[i], sig[i], band[i] = shingles.fingerprint(part[i]), v.tobytes(), k
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(uid, pa.int64()), pa.array(sig, pa.binary()),
+                     pa.array(band, pa.list_(pa.int64()))], ["doc_id", "h", "uid", "sig", "bands"])
+    return run
+
+
+def _normal(shingler):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.normal(t) for t in batch.column(1).to_pylist()], pa.string())], ["uid", "text"])
     return run
 
 
@@ -116,7 +125,8 @@ def joined(docs: DataFrame, threshold: float = 0.8, shingler=SHINGLER, bands: sh
     spots = candidates.small(texts.join(grouped.select(F.col("node").alias("uid")), "uid", "left_semi").select(
         "uid", F.col("text_id").alias("doc_id"), F.col("text_h").alias("h")))
     same = (rows["h"] == spots["h"]) & rows["doc_id"].eqNullSafe(spots["doc_id"])
-    whole_texts = rows.join(spots, same).select("uid", "text").dropDuplicates(["uid"])
+    whole_texts = rows.join(spots, same).select("uid", "text").dropDuplicates(["uid"]).mapInArrow(
+        _normal(shingler), "uid long, text string")
     links = materialize(candidates.linked(candidates.block_pairs(materialize(numbered), TEXT_BLOCK), whole_texts, threshold, shingler))
     counts = links.groupBy("uid").agg(F.sum("links").alias("n_links"))
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")

@@ -8,6 +8,9 @@ probability is divided by the number of tests, so all chosen cutoffs hold at onc
 probability ``1 - delta``, and ``max_rejection`` is divided by the number of rules, so that the
 union of the rules keeps the promise as well. The strictest safe cutoff of each rule is used.
 
+Labels are a holdout of at most ``max_labels`` good documents, drawn by a hash of the id; the bound
+also bounds the only broadcast.
+
 Everything is column expressions: one scan for the measures, one join of measures and labels,
 and a table of cutoffs with one row for each stratum.
 
@@ -52,6 +55,7 @@ DEFAULT_RULES = (
 class Risk:
     max_rejection: float = 0.02
     delta: float = 0.05
+    max_labels: int = 50_000
     rules: tuple[Rule, ...] = field(default=DEFAULT_RULES)
 
 
@@ -142,8 +146,8 @@ def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str
     """
     key = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", key.alias("stratum"))
-    good_ids = labels.where("quality = 1").select("doc_id")
-    good = measured(rows.drop("row").join(good_ids, "doc_id")).where(~base_failed())
+    good_ids = labels.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(risk.max_labels)
+    good = measured(rows.drop("row").join(F.broadcast(good_ids), "doc_id")).where(~base_failed())
     # A row for each stratum: small for a closed set such as languages, never forced into a broadcast.
     cuts = cutoff_table(good, "stratum", risk).withColumnsRenamed({r.name: f"cut_{r.name}" for r in risk.rules})
     rows = measured(rows).withColumn("base_failed", base_failed()).join(cuts, "stratum", "left")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -32,59 +34,68 @@ class WordHashes(dict):
         return value
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.array([pow(base, k, 1 << 64) for k in range(n)], dtype=U64)
+def _windows(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` values inside each text, and where each text's begin.
+
+    ``values`` are the values of all texts, one after the other, each followed by size - 1 zeros; a shorter
+    text is one window. Lengths are positive.
+    """
+    powers = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(size)], dtype=U64)
+    n = len(values) - size + 1
+    total = np.zeros(n, U64)
+    for k in range(size):
+        total += values[k:k + n] * powers[k]
+    windows = np.maximum(lengths - size + 1, 1)
+    starts = np.cumsum(windows) - windows
+    first = np.cumsum(lengths + size - 1) - (lengths + size - 1)
+    at = np.repeat(first - starts, windows) + np.arange(windows.sum())
+    return mix(total[at]), starts
 
 
 @dataclass(frozen=True)
 class WordShingles:
-    """Sets of runs of ``size`` words, lower case and without punctuation.
-
-    A text with fewer words is one shingle of all its words; a text without words has none.
-    """
+    """Runs of ``size`` words, lower case and without punctuation; a shorter text is one shingle."""
     size: int = 5
 
+    def normal(self, text: str) -> str:
+        return " ".join(WORD.findall(text.lower()))
+
     def begin(self):
-        hashes, powers = WordHashes(), _powers(0x100000001B3, self.size)
+        hashes = WordHashes()
 
-        def sets(text: str) -> np.ndarray:
-            found = WORD.findall(text.lower())
-            if not found:
-                return np.empty(0, U64)
-            h = np.fromiter(map(hashes.__getitem__, found), U64, len(found))
-            n = max(len(h) - self.size + 1, 1)
-            total = np.zeros(n, U64)
-            for k in range(min(self.size, len(h))):
-                total += h[k:k + n] * powers[k]
-            return np.unique(mix(total))
-        return sets
+        def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Shingle hashes of normal, non-empty texts and where each text's begin."""
+            words = [t.split(" ") for t in texts]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), U64, int(lengths.sum()))
+            values = np.zeros(len(flat) + len(words) * (self.size - 1), U64)
+            values[np.arange(len(flat)) + np.repeat(np.arange(len(words)) * (self.size - 1), lengths)] = flat
+            return _windows(values, lengths, self.size)
+        return windows
 
 
 @dataclass(frozen=True)
 class CharShingles:
-    """Sets of runs of ``size`` characters; a shorter text is one shingle, an empty one has none."""
+    """Runs of ``size`` characters, lower case, white space runs as one space; a shorter text is one shingle."""
     size: int = 7
 
+    def normal(self, text: str) -> str:
+        return " ".join(text.lower().split())
+
     def begin(self):
-        powers = _powers(0x100000001B3, self.size)
+        gap = "\0" * (self.size - 1)
 
-        def sets(text: str) -> np.ndarray:
-            h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-            if not len(h):
-                return np.empty(0, U64)
-            n = max(len(h) - self.size + 1, 1)
-            total = np.zeros(n, U64)
-            for k in range(min(self.size, len(h))):
-                total += h[k:k + n] * powers[k]
-            return np.unique(mix(total))
-        return sets
+        def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            joined = gap.join(texts) + gap
+            values = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+            return _windows(values, np.fromiter(map(len, texts), np.int64, len(texts)), self.size)
+        return windows
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """A signed 64-bit value that stands for the set."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([shingles.sum(dtype=U64) + U64(len(shingles)) * U64(0x9E3779B97F4A7C15)], dtype=U64))
-    return int(x.astype(np.int64)[0])
+def fingerprint(normal: str) -> int:
+    """A signed 64-bit value that stands for a normal text."""
+    value = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
 
 
 @dataclass(frozen=True)
@@ -108,34 +119,58 @@ class Bands:
         odd = rng.integers(1, 1 << 63, self.values, dtype=U64) | U64(1)
         weights = rng.integers(1, 1 << 63, (self.bands, self.rows), dtype=U64) | U64(1)
         salt = rng.integers(1, 1 << 63, self.bands, dtype=U64)
-        step = 1024
-
-        def signature(s: np.ndarray) -> np.ndarray:
-            """uint32 values of one non-empty set."""
-            if self.one_pass:
-                n = self.values
-                value, at = (s >> U64(32)).astype(np.uint32), ((s & U64(0xFFFFFFFF)) * U64(n) >> U64(32)).astype(np.int64)
-                out, full = np.full(n, 0xFFFFFFFF, np.uint32), np.zeros(n, bool)
-                np.minimum.at(out, at, value)
-                full[at] = True
-                if not full.all():
-                    here = np.flatnonzero(full)
-                    empty = np.flatnonzero(~full)
-                    nxt = here[np.searchsorted(here, empty) % len(here)]
-                    away = (nxt - empty) % n
-                    out[empty] = out[nxt] + (away * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)
-                return out
-            best = None
-            for a in range(0, len(s), step):
-                low = np.multiply.outer(s[a:a + step], odd).min(axis=0)
-                best = low if best is None else np.minimum(best, low)
-            return (best >> U64(32)).astype(np.uint32)
-
-        def keys(signatures: np.ndarray) -> np.ndarray:
-            """Signed 64-bit band keys, (texts, bands), of stacked signatures."""
-            x = signatures.reshape(-1, self.bands, self.rows).astype(U64)
+        n = self.values
+
+        def dealt(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            row = np.zeros(len(hashes), np.int64)
+            row[starts[1:]] = 1
+            row = np.cumsum(row)
+            at = row * n + ((hashes & U64(0xFFFFFFFF)) * U64(n) >> U64(32)).astype(np.int64)
+            none = np.uint64(1 << 63)
+            out = np.full(len(starts) * n, none, U64)
+            np.minimum.at(out, at, hashes >> U64(32))
+            out = out.reshape(-1, n)
+            # Empty bins take the next full one round the circle, marked by the distance.
+            spot = np.where(out != none, np.arange(n), 2 * n)
+            twice = np.concatenate([spot, spot + n], axis=1)
+            nxt = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :n]
+            away = nxt - np.arange(n)
+            values = np.take_along_axis(out, nxt % n, axis=1) + (away * 0x9E3779B1 & 0xFFFFFFFF).astype(U64)
+            return (values & U64(0xFFFFFFFF)).astype(np.uint32)
+
+        def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            """uint32 values, (texts, values), from the shingle hashes of non-empty texts."""
+            out = np.empty((len(starts), n), np.uint32)
+            ends = np.r_[starts[1:], len(hashes)]
+            a = 0
+            while a < len(starts):  # slices that fit the cache
+                b = max(a + 1, int(np.searchsorted(ends, starts[a] + 50_000, "right")))
+                part, first = hashes[starts[a]:ends[b - 1]], starts[a:b] - starts[a]
+                if self.one_pass:
+                    out[a:b] = dealt(part, first)
+                else:
+                    for k in range(n):
+                        out[a:b, k] = (np.minimum.reduceat(part * odd[k], first) >> U64(32)).astype(np.uint32)
+                a = b
+            return out
+
+        def keys(values: np.ndarray) -> np.ndarray:
+            """Signed 64-bit band keys, (texts, bands), of signatures."""
+            x = values.reshape(-1, self.bands, self.rows).astype(U64)
             return mix((mix(x + U64(1)) * weights).sum(axis=2) + salt).astype(np.int64)
-        return signature, keys
+        return signatures, keys
+
+
+def chunks(texts: list[str], letters: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters in all."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) + 8
+        if size >= letters:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def pairs_within(groups: np.ndarray, sides: np.ndarray | None = None, most: int = 400_000):

@@ -16,55 +16,57 @@ BLOCK = 256
 REMEMBERED = 500_000
 PLACES = "doc_id long, start long, number long, stop long, words long, uid long"
 
-# A piece: (start, number, end, words, normalised text); start and end are code points.
+# A piece: (start, number, end, words, text); start and end are code points.
 Split = Callable[[str], Iterator[tuple[int, int, int, int, str]]]
 
 
 def _keyed(split: Split, shingler, bands: shingles.Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        sets = shingler.begin()
-        signature, keys = bands.begin()
+        windows = shingler.begin()
+        signatures, keys = bands.begin()
         seen: set[int] = set()
+
+        def out(places, fresh):
+            band = [None] * len(places)
+            for a, b in shingles.chunks([norm for _, norm in fresh]):
+                rows = keys(signatures(*windows([norm for _, norm in fresh[a:b]]))).tolist()
+                for (i, _), row in zip(fresh[a:b], rows):
+                    band[i] = row
+            cols = [pa.array(c, pa.int64()) for c in zip(*places)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(band, pa.list_(pa.int64()))],
+                                              ["doc_id", "start", "number", "stop", "words", "uid", "bands"])
+
         for batch in batches:
-            places, fresh, marks = [], [], []
+            places, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for start, number, stop, words, norm in split(text or ""):
-                    s = sets(norm)
-                    if not len(s):
+                for start, number, stop, words, piece in split(text or ""):
+                    norm = shingler.normal(piece)
+                    if not norm:
                         continue
-                    uid = shingles.fingerprint(s)
+                    uid = shingles.fingerprint(norm)
                     if uid not in seen:  # a copy has the same bands; another task may send them again
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(uid)
-                        fresh.append(len(places))
-                        marks.append(signature(s))
+                        fresh.append((len(places), norm))
                     places.append((doc_id, start, number, stop, words, uid))
-            if not places:
-                continue
-            band = [None] * len(places)
-            if marks:
-                for i, row in zip(fresh, keys(np.stack(marks)).tolist()):
-                    band[i] = row
-            cols = [pa.array(c, pa.int64()) for c in zip(*places)]
-            table = pa.Table.from_arrays([*cols, pa.array(band, pa.list_(pa.int64()))],
-                                         ["doc_id", "start", "number", "stop", "words", "uid", "bands"])
-            yield from table.to_batches(max_chunksize=10_000)
+                if len(places) > 10_000:
+                    yield out(places, fresh)
+                    places, fresh = [], []
+            if places:
+                yield out(places, fresh)
     return run
 
 
 def _texts(split: Split, shingler):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = shingler.begin()
         for batch in batches:
             uid, texts, size = [], [], 0
             for text in batch.column(0).to_pylist():
-                for *_, norm in split(text or ""):
-                    s = sets(norm)
-                    if len(s):
-                        uid.append(shingles.fingerprint(s))
+                for *_, piece in split(text or ""):
+                    norm = shingler.normal(piece)
+                    if norm:
+                        uid.append(shingles.fingerprint(norm))
                         texts.append(norm)
                         size += len(norm)
                 if size > 4_000_000:
@@ -77,7 +79,7 @@ def _texts(split: Split, shingler):
 def classes(docs: DataFrame, split: Split, shingler, bands: shingles.Bands, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(places, roots): where every piece stands, and (uid, root) of pieces that have near copies.
 
-    Pieces with equal shingle sets share a uid. Candidates share a band key; each is verified by
+    Pieces that are equal in normal form share a uid. Candidates share a band key; each is verified by
     exact Jaccard similarity; classes are the connected components of the verified links.
     """
     text = docs.select(F.col("doc_id").cast("long"), "text")
