@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import line_dedup, mixing, ngram_join, passages, quality, shards
+from tidewatch.llm import decontaminate, html_extract, licences, line_dedup, mixing, ngram_join, passages, quality, secret_scan, shards
 from tidewatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,27 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage of 50 words or more that repeats across documents."""
     return passages.repeats(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and values that are costly to guess."""
+    return secret_scan.scanned(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item that leaked into a document, verbatim or with other numbers and names."""
+    return decontaminate.leaks(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark")).drop("h")
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extracted(read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The licences that every document's paragraphs grant."""
+    return licences.document_licences(read(spark, folder, "documents").select("doc_id", "text"))
