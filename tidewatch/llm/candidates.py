@@ -104,6 +104,15 @@ def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
         yield rest, np.zeros(rest.num_rows, np.int64)
 
 
+def _shares(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges with sums of about ``most``, one at least each."""
+    total, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def verify(threshold: float, shingler) -> Callable:
     """Rows (key, left, right, side, uid, text) -> (uid, root, links): exact similarity in each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,23 +121,39 @@ def verify(threshold: float, shingler) -> Callable:
             uid, side = table.column("uid").to_numpy(), table.column("side").to_numpy()
             texts = table.column("text").to_pylist()
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            bounds = np.r_[starts, len(group)]
+            letters = np.add.reduceat(np.fromiter(map(len, texts), np.int64, len(texts)), starts)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b in zip(starts, np.r_[starts[1:], len(group)]):
-                ids, at = np.unique(uid[a:b], return_index=True)
-                if len(ids) < 2:
-                    continue
-                s = side[a:b][at]
-                hashes, first = windows([texts[a + i] for i in at])
-                own = [np.unique(x) for x in np.split(hashes, first[1:])]
-                both = sh.shared(own)
-                size = both.diagonal()
-                alike = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (both > 0)
-                np.fill_diagonal(alike, False)
-                alike &= (s[:, None] != s[None, :]) | (s[:, None] < 0)
-                links = alike.sum(axis=1)
-                root = sh.roots(len(ids), *np.nonzero(np.triu(alike)))
-                some = links > 0
-                out.append((ids[some], ids[root[some]], links[some]))
+            # Shingles of many groups at once, as groups of two or three are the rule.
+            for g, stop in _shares(letters, 2_000_000):
+                low = bounds[g]
+                hashes, first = windows(texts[low:bounds[stop]])
+                sets = np.split(hashes, first[1:])
+                for a, b in zip(bounds[g:stop], bounds[g + 1:stop + 1]):
+                    if b - a == 2:
+                        if uid[a] == uid[a + 1] or (side[a] == side[a + 1] and side[a] >= 0):
+                            continue
+                        x, y = np.unique(sets[a - low]), np.unique(sets[a + 1 - low])
+                        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                            continue
+                        both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                        if both and both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                            pair = uid[a:b]
+                            out.append((pair, np.full(2, pair.min()), np.ones(2, np.int64)))
+                        continue
+                    ids, at = np.unique(uid[a:b], return_index=True)
+                    if len(ids) < 2:
+                        continue
+                    sd = side[a:b][at]
+                    both = sh.shared([np.unique(sets[a - low + i]) for i in at])
+                    size = both.diagonal()
+                    alike = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (both > 0)
+                    np.fill_diagonal(alike, False)
+                    alike &= (sd[:, None] != sd[None, :]) | (sd[:, None] < 0)
+                    links = alike.sum(axis=1)
+                    root = sh.roots(len(ids), *np.nonzero(np.triu(alike)))
+                    some = links > 0
+                    out.append((ids[some], ids[root[some]], links[some]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["uid", "root", "links"])
     return run
