@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -19,14 +19,8 @@ from tidewatch.operators.running import cut_slices
 from tidewatch.operators.windows import HOUR, WindowPlan, assign_windows, plan_windows, window_bounds
 from tidewatch.session import materialize
 
-# Detector names and their accepted spellings.
+# Detector names.
 METHODS = ("ks", "wasserstein", "psi", "cusum")
-ALIASES = {
-    "ks": "ks", "kolmogorov": "ks", "kolmogorov_smirnov": "ks", "kolmogorov-smirnov": "ks",
-    "wasserstein": "wasserstein", "wd": "wasserstein",
-    "psi": "psi", "population_stability_index": "psi",
-    "cusum": "cusum", "cu_sum": "cusum",
-}
 
 
 @dataclass(frozen=True)
@@ -51,20 +45,12 @@ class DriftSettings:
     tiebreak: Sequence[str] = field(default_factory=tuple)
 
 
-def resolve_methods(names: Sequence[str]) -> list[str]:
-    """Detector names in the given order, spellings unified, repeats removed."""
-    out: list[str] = []
-    for name in names:
-        if not isinstance(name, str):
-            raise TypeError(f"a drift method is a string, got {type(name).__name__}")
-        found = ALIASES.get(name.strip().lower().replace(" ", "_"))
-        if found is None:
-            raise ValueError(f"unknown drift method {name!r}; choose from {METHODS}")
-        if found not in out:
-            out.append(found)
-    if not out:
-        raise ValueError("no drift methods given")
-    return out
+def known_methods(names: Sequence[str]) -> list[str]:
+    """``names`` without repeats; anything but the four detector names is an error."""
+    wrong = [n for n in names if n not in METHODS]
+    if wrong or not names:
+        raise ValueError(f"drift methods must come from {METHODS}, got {list(names)!r}")
+    return list(dict.fromkeys(names))
 
 
 def resolve_features(reference: DataFrame, target: DataFrame, wanted: Sequence[str] | None) -> list[str]:
@@ -84,8 +70,29 @@ def windowed(target: DataFrame, settings: DriftSettings) -> tuple[DataFrame, Win
 
 
 def large_enough(windows: DataFrame, min_samples: int) -> DataFrame:
-    """Numbers of the windows with enough rows."""
-    return windows.groupBy("k").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).select("k")
+    """(k, rows) of the windows with enough rows, whatever their features hold."""
+    return windows.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_samples)
+
+
+def on_grid(stats: DataFrame, enough: DataFrame, features: Sequence[str], reference_rows: int) -> DataFrame:
+    """A row for every large-enough window and feature; no distance below two finite values on either side.
+
+    ``finite_reference`` and ``finite_window`` are what the distances were computed from, n_reference and
+    n_window the rows of the samples.
+    """
+    grid = enough.select("k", F.col("rows").alias("n_window"), F.explode(F.array(*map(F.lit, features))).alias("feature"))
+    found = stats.withColumnsRenamed({"n_reference": "finite_reference", "n_window": "finite_window"})
+    full = grid.join(found, ["k", "feature"], "left").withColumn("n_reference", F.lit(reference_rows).cast("long"))
+    usable = F.coalesce((F.col("finite_reference") >= 2) & (F.col("finite_window") >= 2), F.lit(False))
+    distances = [c for c in ("ks", "wasserstein", "scaled", "psi") if c in stats.columns]
+    return full.withColumn("usable", usable).withColumns(
+        {c: F.when(F.col("usable"), F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in distances})
+
+
+def effective_size() -> Column:
+    """n * m / (n + m) of the finite values, in doubles."""
+    n, m = F.col("finite_reference").cast("double"), F.col("finite_window").cast("double")
+    return n * m / (n + m)
 
 
 def _event(method: str, statistic: Column, threshold: Column, alert: Column, effect: Column,
@@ -128,14 +135,14 @@ def profile_reference(reference: DataFrame, features: Sequence[str], ranked: Dat
             picked[r.feature][r.p] = r.q
         for f in features:
             q = picked[f]
-            iqr = q[0.75] - q[0.25] if q else 0.0
+            iqr = q[0.75] - q[0.25] if q else 0.0  # a feature without finite values has no quantiles
             spread[f] = iqr if iqr > 0 else (moments[f][1] or 1.0)
             edges[f] = ps.inner_edges([q[p] for p in grid]) if q else None
-    return ReferenceProfile(max((m[2] for m in moments.values()), default=0), moments, spread, edges)
+    return ReferenceProfile(next((m[2] for m in moments.values()), 0), moments, spread, edges)
 
 
 def reference_facts(reference: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, int]]:
-    """feature -> (mean, population deviation, rows)."""
+    """feature -> (mean, population deviation, rows of the sample)."""
     return {r.feature: (r.mu, r.sigma, r.n_reference)
             for r in ts2.reference_moments(reference, features).collect()}
 
@@ -149,11 +156,11 @@ def profile_table(reference: DataFrame, profile: ReferenceProfile) -> DataFrame:
 
 
 def sample_statistics(pool: DataFrame, slices: str | None, profile: DataFrame, methods: Sequence[str], bins: int,
-                      expected_rows: int) -> DataFrame:
+                      expected_rows: int, centres: Mapping[str, float] | None = None) -> DataFrame:
     """(feature, k) -> ks, wasserstein and its scaled form, psi: each computed once."""
     out = None
     if "ks" in methods or "wasserstein" in methods:
-        looked_up = ts2.reference_lookup(ts2.sorted_axis(pool, slices), slices)
+        looked_up = ts2.reference_lookup(ts2.sorted_axis(pool, slices, centres), slices)
         if "wasserstein" in methods:
             if slices:
                 # The rank stage reads the looked-up axis several times.
@@ -201,11 +208,11 @@ def compare_windows(reference: DataFrame, windows: DataFrame, plan: WindowPlan,
 
     ``copies`` says how many times the planned rows appear in ``windows``.
     """
-    methods = resolve_methods(settings.methods)
+    methods = known_methods(settings.methods)
     copies *= max(-(-plan.window // plan.stride), 1)
     sampled = [m for m in methods if m != "cusum"]
     moments = reference_facts(reference, features)
-    n_ref = max((m[2] for m in moments.values()), default=0)
+    n_ref = next((m[2] for m in moments.values()), 0)
     expected = (n_ref + plan.rows * copies) * len(features)
     pool = slices = ranked = None
     if sampled:
@@ -220,8 +227,9 @@ def compare_windows(reference: DataFrame, windows: DataFrame, plan: WindowPlan,
     enough = large_enough(windows, settings.min_samples)
     stats = cusum = None
     if sampled:
-        stats = sample_statistics(pool, slices, profile, sampled, settings.psi_bins, expected).join(
-            enough, "k", "left_semi")
+        centres = {f: m[0] for f, m in moments.items() if m[0] is not None}
+        stats = sample_statistics(pool, slices, profile, sampled, settings.psi_bins, expected, centres)
+        stats = on_grid(stats, enough, features, n_ref)
     if "cusum" in methods:
         cusum = cusum_events(windows, features, profile, settings, plan.rows * copies).join(enough, "k", "left_semi")
     return stats, cusum, n_ref
@@ -242,7 +250,7 @@ def drift_statistics(reference: DataFrame, target: DataFrame, settings: DriftSet
 def emit_events(stats: DataFrame | None, cusum: DataFrame | None, reference_rows: int,
                 settings: DriftSettings) -> DataFrame:
     """Unrounded drift rows keyed by window number."""
-    methods = resolve_methods(settings.methods)
+    methods = known_methods(settings.methods)
     events = None
     if stats is not None:
         events = _emit(stats, [_sampled_event(m, settings) for m in methods if m != "cusum"])
@@ -259,7 +267,7 @@ def emit_events(stats: DataFrame | None, cusum: DataFrame | None, reference_rows
 
 def drift_events(reference: DataFrame, target: DataFrame, settings: DriftSettings) -> DataFrame:
     """The drift table: one row per (window, feature, method)."""
-    resolve_methods(settings.methods)
+    known_methods(settings.methods)
     found = drift_statistics(reference, target, settings)
     if found is None:
         return target.sparkSession.createDataFrame([], EVENT_SCHEMA)
@@ -270,10 +278,9 @@ def drift_events(reference: DataFrame, target: DataFrame, settings: DriftSetting
 
 def _sampled_event(method: str, settings: DriftSettings) -> Column:
     if method == "ks":
-        n_eff = F.col("n_reference") * F.col("n_window") / (F.col("n_reference") + F.col("n_window"))
-        limit = ks_critical(settings.alpha, n_eff)
+        limit = F.when(F.col("usable"), ks_critical(settings.alpha, effective_size())).otherwise(1.0)
         return _event("ks", F.col("ks"), limit, F.col("ks") > limit, F.col("ks"),
-                      ks_p_value(F.col("ks"), n_eff))
+                      F.when(F.col("usable"), ks_p_value(F.col("ks"), effective_size())))
     if method == "wasserstein":
         limit = F.lit(settings.wasserstein_threshold)
         return _event("wasserstein", F.col("wasserstein"), limit, F.col("scaled") > limit, F.col("scaled"))
@@ -329,8 +336,7 @@ def sweep(reference: DataFrame, target: DataFrame, settings: DriftSettings,
     spark = reference.sparkSession
     out = None
     if stats is not None:
-        n_eff = F.col("n_reference") * F.col("n_window") / (F.col("n_reference") + F.col("n_window"))
-        n = F.greatest(F.floor(n_eff).cast("double"), F.lit(1.0))
+        n = F.greatest(F.floor(F.coalesce(effective_size(), F.lit(0.0))).cast("double"), F.lit(1.0))
         shift = F.sqrt(n) * (1.0 + 1.0 / (4.0 * n))
         scores = {"ks": (F.col("ks") if "ks" in methods else None),
                   "wasserstein": F.col("scaled"), "psi": F.col("psi")}

@@ -87,12 +87,12 @@ def drift_lead(events: DataFrame, windows: DataFrame, baseline_recall: float | N
 
 
 def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str],
-         by: Sequence[str] = (), tolerance_us: int | None = None, expected_rows: int = 0) -> DataFrame:
+         by: Sequence[str] = (), tolerance_us: int | None = None, expected_rows: int | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it.
 
-    One union and one running "last value" replace the range join. Tables of windows are
-    short and need no size; for fact tables pass ``expected_rows`` (both sides together),
-    and a large or lopsided group is cut along the time axis.
+    One union and one running "last value" replace the range join. Rows are counted unless
+    ``expected_rows`` (both sides together) is known; large inputs are cut along time, side and a row
+    hash, so that even one hot timestamp spreads over slices.
     """
     keys = list(by) or ["_all"]
     payload = F.struct(F.col(right_ts).alias("_at"), *columns)
@@ -101,7 +101,12 @@ def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns
         left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
     lows = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), payload.alias("_r"))
     highs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"))
-    both, slices = cut_slices(lows.unionByName(highs, allowMissingColumns=True), [*keys, "_t"], expected_rows)
+    union = lows.unionByName(highs, allowMissingColumns=True)
+    if expected_rows is None:
+        expected_rows = union.count()
+    # At one time all right rows come before the left ones, which then may part anywhere.
+    spread = union.withColumn("_h", F.xxhash64("_r", "_l"))
+    both, slices = cut_slices(spread, [*keys, "_t", "_side", "_h"], expected_rows)
     found = last_seen(both, keys, ["_t", "_side"], F.col("_r"), "_m", slices).where(F.col("_side") == 1)
     if tolerance_us is not None:
         near = micros(F.col("_t")) - micros(F.col("_m._at")) <= tolerance_us

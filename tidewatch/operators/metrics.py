@@ -87,8 +87,8 @@ def ranking(scores: DataFrame, by: Sequence[str] = (), label: str = "y_true", sc
     sliced, slices = cut_slices(counts, [*keys, "_down"], expected_rows)
     run = running_sums(sliced, keys, ["_down"], {"tp": "pos", "fp": "neg"}, {"p": "pos", "n": "neg"}, slices)
     below = F.col("n") - F.col("fp")
-    auc = F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.first("p") * F.first("n"))
-    step = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("p")
+    auc = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0)) / (F.first("p").cast("double") * F.first("n").cast("double"))
+    step = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("p")
     both = (F.first("p") > 0) & (F.first("n") > 0)
     out = run.groupBy(*keys).agg(F.when(both, auc).alias("roc_auc"), F.when(both, step).alias("pr_auc"))
     return out if by else out.drop("_all")

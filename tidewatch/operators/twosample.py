@@ -8,7 +8,7 @@ window rank looks up the reference quantile function (Wasserstein).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +43,17 @@ def pooled_counts(ref_counts: DataFrame, windows: DataFrame, features: Sequence[
     return ref.unionByName(tgt)
 
 
-def sorted_axis(pool: DataFrame, slices: str | None) -> DataFrame:
+def sorted_axis(pool: DataFrame, slices: str | None, centres: Mapping[str, float] | None = None) -> DataFrame:
     """Running sums along each feature of the pooled counts.
 
-    Adds cum_r and cum_rv (reference rows and their sum up to here, ties included), cum_w
-    (window rows up to here), n_reference and n_window.
+    Adds cum_r and cum_rv (reference rows and the sum of their centred values up to here, ties
+    included), cum_w (window rows up to here), n_reference and n_window. Distances do not depend on the
+    centre of a feature; sums of values far from 0 would lose digits without it.
     """
-    pool = pool.withColumn("nrv", F.col("nr") * F.col("value"))
+    centre = F.lit(0.0)
+    for feature, value in (centres or {}).items():
+        centre = F.when(F.col("feature") == feature, F.lit(float(value))).otherwise(centre)
+    pool = pool.withColumn("centred", F.col("value") - centre).withColumn("nrv", F.col("nr") * F.col("centred"))
     by_feature = running_sums(pool, ["feature"], ["value", "k"],
                               {"cum_r": "nr", "cum_rv": "nrv"}, {"n_reference": "nr"}, slices)
     return running_sums(by_feature, ["feature", "k"], ["value"],
@@ -109,29 +113,30 @@ def sample_distances(looked_up: DataFrame, expected_rows: int) -> DataFrame:
         rows = rows.withColumn(slices, F.least(
             F.floor(F.col("r1") / n_r * parts).cast("int"), F.lit(parts - 1)))
     anchor = F.when(is_ref, F.struct(
-        F.col("r1").alias("rank"), F.col("value").alias("v"), (F.col("cum_rv") - F.col("nrv")).alias("sum")))
+        F.col("r1").alias("rank"), F.col("centred").alias("v"), (F.col("cum_rv") - F.col("nrv")).alias("sum")))
     rows = last_seen(rows, ["feature"], ["r1", "k", "value"], anchor, "_a", slices)
     rows = rows.where(~is_ref).withColumn(
         "h1", F.col("_a.sum") + (F.col("r1") - F.col("_a.rank")) * F.col("_a.v"))
     rows = last_seen(rows, ["feature", "k"], ["r1"], F.col("h1"), "h0", slices, include_current=False)
     h0, h1 = F.coalesce(F.col("h0"), F.lit(0.0)), F.col("h1")
-    v, r1 = F.col("value"), F.col("r1")
+    v, r1 = F.col("centred"), F.col("r1")
     r0 = (F.col("cum_w") - F.col("nw")) * n_r / n_w
     crossing, s_cross = F.col("r_le").cast("double"), F.col("cum_rv")
     area = (F.when(crossing >= r1, v * (r1 - r0) - (h1 - h0))
             .when(crossing <= r0, (h1 - h0) - v * (r1 - r0))
             .otherwise((v * (crossing - r0) - (s_cross - h0)) + ((h1 - s_cross) - v * (r1 - crossing))))
     return rows.groupBy("feature", "k").agg(
-        F.sum(F.greatest(area, F.lit(0.0)) / n_r).alias("wasserstein"), F.max(ks_gap()).alias("ks"),
+        F.greatest(F.sum(area / n_r), F.lit(0.0)).alias("wasserstein"), F.max(ks_gap()).alias("ks"),
         F.first("n_reference").alias("n_reference"), F.first("n_window").alias("n_window"))
 
 
 def reference_moments(reference: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, mu, sigma) with the population deviation, one pass over the wide rows."""
+    """(feature, mu, sigma, n_reference): moments of the finite values, rows of the sample, in one pass."""
     aggs = []
     for f in features:
-        aggs += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"), F.count(f).alias(f"n_{f}")]
-    one = reference.select(*[F.col(f).cast("double").alias(f) for f in features]).agg(*aggs)
+        aggs += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"), F.count("*").alias(f"n_{f}")]
+    doubles = reference.select(*[F.col(f).cast("double").alias(f) for f in features])
+    one = doubles.select(*[F.when(finite(F.col(f)), F.col(f)).alias(f) for f in features]).agg(*aggs)
     entries = [F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("mu"),
                         F.col(f"s_{f}").alias("sigma"), F.col(f"n_{f}").alias("n_reference"))
                for f in features]

@@ -53,8 +53,10 @@ def estimator(name: str, width: int, rows: int, seed: int, params: dict):
         return LogisticRegression(maxIter=int(params.get("max_iter", 1000)), regParam=strength, elasticNetParam=0.0,
                                   standardization=False, weightCol="weight", **common)
     if name == "random_forest":
+        if int(params.get("max_depth") or 30) > 30:
+            raise ValueError("random forests grow to a depth of 30 at most (also the default)")
         return RandomForestClassifier(
-            numTrees=int(params.get("n_estimators", 200)), maxDepth=min(int(params.get("max_depth") or 30), 30),
+            numTrees=int(params.get("n_estimators", 200)), maxDepth=int(params.get("max_depth") or 30),
             minInstancesPerNode=int(params.get("min_samples_leaf", 1)), weightCol="weight", seed=seed, **common)
     if name == "gradient_boosting":
         return GBTClassifier(maxIter=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 3)),

@@ -15,8 +15,6 @@ from tidewatch.plans.adaptation import recent_history
 from tidewatch.plans.experiment import Bench, run_model, score_table
 from tidewatch.schema import TIME
 
-SETTING_SPAN = 1_000_000
-
 
 def shifted_tables(bench: Bench, keys: Sequence[str], settings: Sequence[tuple[str, float]],
                    ) -> tuple[DataFrame, list[dict]]:
@@ -52,10 +50,12 @@ def shift_drift(bench: Bench, shifted: DataFrame, features: Sequence[str], setti
     plan = plan_windows(bench.period("backtest"), settings.window, settings.stride)
     origins = shifted.groupBy("setting").agg(F.min(micros(F.col(TIME))).alias("_origin"))
     placed = assign_windows(shifted.join(F.broadcast(origins), "setting"), plan, origin=F.col("_origin"))
-    placed = placed.withColumn("k", F.col("setting") * F.lit(SETTING_SPAN) + F.col("k")).drop("_origin")
+    # One more than the last window of any setting, measured, so that numbers never collide.
+    span = (placed.agg(F.max("k")).first()[0] or 0) + 1
+    placed = placed.withColumn("k", F.col("setting").cast("long") * F.lit(span) + F.col("k")).drop("_origin")
     stats, cusum, rows = drift.compare_windows(bench.period("train"), placed, plan, features, settings, copies)
     events = drift.emit_events(stats, cusum, rows, settings)
-    return events.withColumn("setting", F.floor(F.col("k") / F.lit(SETTING_SPAN)).cast("int"))
+    return events.withColumn("setting", F.expr(f"k div {span}").cast("int"))
 
 
 def shift_study(bench: Bench, model: str, keys: Sequence[str], drift_settings: drift.DriftSettings,

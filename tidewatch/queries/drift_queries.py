@@ -39,6 +39,7 @@ class DriftSql:
     quantiles: str
     psi: str
     cusum: str
+    critical: str
     events: str
 
     @property
@@ -115,7 +116,7 @@ UNION ALL SELECT {bounds.replace('k *', 'psi.k *').replace('(k +', '(psi.k +')},
 UNION ALL SELECT {bounds.replace('k *', 'tt.k *').replace('(k +', '(tt.k +')}, tt.feature, 'cusum', round(coalesce(peak, 0), 6), 2.5, first_alarm IS NOT NULL,
   round(abs(mw - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6), nr, nw
   FROM tt JOIN rt ON tt.feature = rt.feature LEFT JOIN peaks ON peaks.feature = tt.feature AND peaks.k = tt.k, origin)"""
-    return DriftSql(base, two_sample, quantiles, psi, cusum, events)
+    return DriftSql(base, two_sample, quantiles, psi, cusum, crit, events)
 
 
 _LAM = repr(kolmogorov_quantile(0.01))
@@ -138,7 +139,7 @@ def ks_p_values(spark, folder):
     reference, target = periods(spark, folder)
     settings = drift.DriftSettings(**{**SETTINGS, "methods": ["ks"]})
     stats, _, _, _ = drift.drift_statistics(reference, target, settings)
-    n_eff = F.col("n_reference") * F.col("n_window") / (F.col("n_reference") + F.col("n_window"))
+    n_eff = drift.effective_size()
     return stats.select("k", "feature", F.round(drift.ks_p_value(F.col("ks"), n_eff), 9).alias("p_value"))
 
 
@@ -239,6 +240,37 @@ def drift_events_calibrated(spark, folder):
     return events(spark, folder, methods=["cusum"], cusum_threshold=None)
 
 
+# Events with gaps: a third of the values is missing, one feature on all odd days, one has a single value left.
+GAPS = FE + """,
+fg AS (SELECT * REPLACE (CASE WHEN event_id % 3 > 0 THEN flow_duration END AS flow_duration,
+  CASE WHEN dayofmonth(timestamp) % 2 = 0 THEN total_bytes END AS total_bytes, CASE WHEN event_id = 0 THEN packet_rate END AS packet_rate) FROM fe)"""
+GAP_FEATURES = ["flow_duration", "total_bytes", "packet_rate", "mean_packet_size"]
+_GAP = drift_sql(GAPS, "fg", GAP_FEATURES, DAY, "event_id")
+
+
+@query("drift_events_nullable", f"""WITH {_GAP.base}, {_GAP.two_sample}, {_GAP.quantiles}, {_GAP.psi},
+grid AS (SELECT k, n, unnest({GAP_FEATURES!r}) AS feature, (SELECT count(*) FROM sp WHERE period = 'train') AS m FROM (SELECT k, count(*) AS n FROM tw GROUP BY k)),
+st AS (SELECT grid.k, grid.feature, n, m, two.nr, two.nw, coalesce(two.nr >= 2 AND two.nw >= 2, FALSE) AS ok, ks, w1, w1 / s AS scaled, psi
+  FROM grid LEFT JOIN two ON two.k = grid.k AND two.feature = grid.feature LEFT JOIN spread ON spread.feature = grid.feature
+  LEFT JOIN psi ON psi.k = grid.k AND psi.feature = grid.feature),
+lim AS (SELECT *, {_SQL.critical} AS crit FROM st),
+ev AS (SELECT k, feature, n, m, 'ks' AS method, CASE WHEN ok THEN ks ELSE 0 END AS statistic, CASE WHEN ok THEN crit ELSE 1 END AS threshold, CASE WHEN ok THEN ks > crit ELSE FALSE END AS alert,
+    CASE WHEN ok THEN ks ELSE 0 END AS effect_size FROM lim
+  UNION ALL SELECT k, feature, n, m, 'wasserstein', CASE WHEN ok THEN w1 ELSE 0 END, 0.1, CASE WHEN ok THEN scaled > 0.1 ELSE FALSE END, CASE WHEN ok THEN scaled ELSE 0 END FROM st
+  UNION ALL SELECT k, feature, n, m, 'psi', CASE WHEN ok THEN coalesce(psi, 0) ELSE 0 END, 0.2, CASE WHEN ok THEN coalesce(psi, 0) > 0.2 ELSE FALSE END, CASE WHEN ok THEN coalesce(psi, 0) ELSE 0 END FROM st)
+SELECT o + to_microseconds(k * {DAY}) AS window_start, feature, method, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold, alert,
+  round(effect_size, 6) AS effect_size, CAST(m AS BIGINT) AS n_reference, CAST(n AS BIGINT) AS n_window FROM ev, origin""")
+def drift_events_nullable(spark, folder):
+    """The drift table of features with gaps: every large-enough window, feature and method has its row."""
+    df = views.events_common(spark, folder).withColumns({
+        "flow_duration": F.when(F.col("event_id") % 3 > 0, F.col("flow_duration")),
+        "total_bytes": F.when(F.dayofmonth("timestamp") % 2 == 0, F.col("total_bytes")),
+        "packet_rate": F.when(F.col("event_id") == 0, F.col("packet_rate"))})
+    cuts = split.find_cuts(views.event_flows(spark, folder))
+    settings = drift.DriftSettings(**{**SETTINGS, "features": GAP_FEATURES, "methods": ("ks", "wasserstein", "psi")})
+    return drift.drift_events(cuts.period(df, "train"), cuts.period(df, "forward"), settings).drop("window_end", "p_value")
+
+
 @query("drift_summary", FULL + """SELECT CASE WHEN GROUPING(method) = 0 THEN 'method' WHEN GROUPING(feature) = 0 THEN 'feature' ELSE 'all' END AS level,
 coalesce(method, feature, 'all') AS name, CAST(count(DISTINCT window_start) AS BIGINT) AS windows, CAST(count(*) AS BIGINT) AS comparisons,
 CAST(count(*) FILTER (alert) AS BIGINT) AS alerts, min(CASE WHEN alert THEN window_start END) AS first_alert
