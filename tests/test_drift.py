@@ -134,6 +134,7 @@ def test_large_offsets_keep_their_digits(spark):
         frame = lambda x: pd.DataFrame({"timestamp": pd.date_range("2024-01-01", periods=len(x), freq="s"), "a": x})
         R, T = spark.createDataFrame(frame(r)), spark.createDataFrame(frame(w))
         got = drift.drift_events(R, T, drift.DriftSettings(window=HOUR, min_samples=10, features=("a",), methods=("wasserstein",))).toPandas()
+        w = w[:got.n_window[0]]  # a single window ends before the last row
         xs = np.sort(np.concatenate([r, w])) - offset
         gaps = np.abs(np.searchsorted(np.sort(r - offset), xs[:-1], "right") / len(r) - np.searchsorted(np.sort(w - offset), xs[:-1], "right") / len(w))
         results.append((got.statistic[0], float((gaps * np.diff(xs)).sum())))
