@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import preprocess, realized, shifts
 from tidewatch.operators.split import TemporalLeakageError
-from tidewatch.schema import FeaturePolicyError, numeric_features, select_feature_set, split_by_type, without_groups
+from tidewatch.schema import FeaturePolicyError, flow_features, select_feature_set, split_by_type, without_groups
 from tidewatch.sources import views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -79,7 +79,7 @@ def test_feature_fit_is_training_only(flows):
 
 
 def test_feature_lists(flows):
-    assert numeric_features(flows)[0] == "flow_duration" and "protocol" not in numeric_features(flows)
+    assert flow_features(flows, "number")[0] == "flow_duration" and "protocol" not in flow_features(flows, "number")
     assert without_groups(["flow_duration", "total_bytes"], ["timing"]) == ["total_bytes"]
     with pytest.raises(KeyError):
         without_groups([], ["nope"])
@@ -88,3 +88,10 @@ def test_feature_lists(flows):
     with pytest.raises(ValueError):
         select_feature_set(flows, "T", {"S": ["a"]})
     assert split_by_type(flows.select("protocol", "total_bytes")) == (["total_bytes"], ["protocol"])
+
+
+def test_mixture_of_many_protocols(spark):
+    df = spark.sql("SELECT id, concat('p', id % 300) AS protocol, 1 AS label FROM range(30000)")
+    got = {r[0]: r[1] for r in shifts.apply_shift(df, "protocol_mixture", 30.0, ["id"]).groupBy("protocol").count().collect()}
+    assert sum(got.values()) == 30_000 and len(got) == 300
+    assert abs(got["p0"] - 30_000 * 30 / 329) < 300 and max(n for p, n in got.items() if p != "p0") < 160

@@ -59,7 +59,7 @@ def resolve_features(reference: DataFrame, target: DataFrame, wanted: Sequence[s
         missing = [f for f in wanted if f not in reference.columns]
         if missing:
             raise KeyError(f"drift features not present: {missing}")
-    names = list(wanted) if wanted else schema.numeric_features(reference)
+    names = list(wanted) if wanted else schema.flow_features(reference, "number")
     return [f for f in names if f in target.columns]
 
 

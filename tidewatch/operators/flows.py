@@ -15,7 +15,7 @@ def with_derived(df: DataFrame) -> DataFrame:
     Zero-length or empty flows get rate 0. Direction ratios appear only when the source
     has both byte directions.
     """
-    directed = schema.has_direction(df)
+    directed = ({"forward_bytes", "backward_bytes"} <= set(df.columns))
     names = {"dur": "flow_duration"}
     if directed:
         names.update(fp="forward_packets", bp="backward_packets", fb="forward_bytes", bb="backward_bytes")
@@ -52,9 +52,9 @@ def dataset_summary(df: DataFrame, name: str, ts: str = schema.TIME, label: str
         (F.sum(F.col(label) * F.col("n")) / F.sum("n")).alias("attack_rate"),
     ).select(
         F.lit(name).alias("dataset"), "row_count",
-        F.lit(len(schema.feature_names(df))).cast("long").alias("features"),
-        F.lit(len(schema.cross_dataset_features(df))).cast("long").alias("cross_dataset_features"),
-        F.lit(schema.has_direction(df)).alias("has_direction"),
+        F.lit(len(schema.flow_features(df))).cast("long").alias("features"),
+        F.lit(len(schema.flow_features(df, "number", ("core", "derived")))).cast("long").alias("cross_dataset_features"),
+        F.lit(({"forward_bytes", "backward_bytes"} <= set(df.columns))).alias("has_direction"),
         "time_min", "time_max", "label_counts", "attack_rate")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import rate
@@ -22,6 +22,7 @@ DEFAULT_MAGNITUDES = {
 }
 REDUCED = ["tcp_flags", "tos", "forward_packets", "backward_packets", "forward_bytes", "backward_bytes"]
 JITTER = 0.02
+BROADCAST_LEVELS = 100_000
 
 
 def log_scaled(value: Column, factor: float, keys: Sequence[str], salt: str) -> Column:
@@ -74,20 +75,23 @@ def _remix(df: DataFrame, magnitude: float, keys: Sequence[str], seed: int) -> D
     """Redraw the protocol from its sorted levels, the first weighted by ``magnitude``."""
     if "protocol" not in df.columns:
         raise KeyError("the mixture shift needs a protocol column")
-    # Protocol names come from a protocol table (at most 256 numbers).
-    levels = [r[0] for r in df.select(F.col("protocol").cast("string")).distinct().orderBy("protocol").limit(257).collect()]
-    if len(levels) < 2:
+    # A table of levels with the upper bound of each level's share of the draw, in order. The bounds of
+    # all but the first level are equally spaced, so a draw finds its level by number.
+    levels = df.select(F.col("protocol").cast("string").alias("_level")).distinct()
+    levels = levels.withColumn("_number", F.row_number().over(Window.orderBy("_level")) - 1)
+    count = levels.count()
+    if count < 2:
         raise ValueError("the mixture shift needs at least two protocols")
-    if len(levels) > 256:
-        raise ValueError("the mixture shift expects a protocol column, found more than 256 levels")
-    weights = [magnitude] + [1.0] * (len(levels) - 1)
-    total, bound, choice = sum(weights), 0.0, None
-    draw = uniform(digest(keys, f"{seed}:protocol"))
-    for level, weight in list(zip(levels, weights))[:-1]:
-        bound += weight / total
-        hit = draw < F.lit(bound)
-        choice = F.when(hit, level) if choice is None else choice.when(hit, level)
-    return df.withColumn("protocol", choice.otherwise(levels[-1]))
+    total = magnitude + count - 1
+    first, each = magnitude / total, 1.0 / total
+    draw = F.col("_draw")
+    number = F.when(draw < first, 0).otherwise(
+        F.least(F.floor((draw - first) / each).cast("int") + 1, F.lit(count - 1)))
+    drawn = df.withColumn("_draw", uniform(digest(keys, f"{seed}:protocol"))).withColumn("_number", number)
+    if count <= BROADCAST_LEVELS:
+        levels = F.broadcast(levels)
+    out = drawn.join(levels, "_number")
+    return out.select(*[F.col("_level").alias("protocol") if c == "protocol" else F.col(c) for c in df.columns])
 
 
 def prevalence_quota(attacks: int, benign: int, target: float) -> tuple[int, int]:

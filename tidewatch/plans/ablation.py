@@ -33,7 +33,7 @@ def _fit_and_score(bench: Bench, model: str, numeric: Sequence[str], train: Data
 
 def split_mode(bench: Bench, model: str, keys: Sequence[str]) -> list[dict]:
     """Temporal split against a stratified random split of the same rows."""
-    numeric = schema.numeric_features(bench.data)
+    numeric = schema.flow_features(bench.data, "number")
     cutoff = bench.cuts.bounds("train")[1]
     forward = bench.period("forward")
     rows = [{"variant": "temporal", **_fit_and_score(bench, model, numeric, bench.period("train"), forward, cutoff)}]
@@ -42,16 +42,15 @@ def split_mode(bench: Bench, model: str, keys: Sequence[str]) -> list[dict]:
     rest = arms.where(F.col("arm") == "rest").drop("arm")
     held_out = sampling.random_rows(rest, forward.count(), keys, bench.seed + 1)
     rows.append({"variant": "random", **_fit_and_score(bench, model, numeric, train, held_out, None)})
-    for row, note in zip(rows, ("trained on the earliest half, judged on the latest rows",
-                                "same rows, drawn at random: contemporaneous traffic on both sides")):
-        row.update(eval_rows=row["row_count"], note=note)
+    for row in rows:
+        row.update(eval_rows=row["row_count"])
     return rows
 
 
 def feature_policy(bench: Bench, model: str, keys: Sequence[str]) -> list[dict]:
     """All features against the metadata-only ones; a single row where nothing is to drop."""
     rich = [c for c in schema.PAYLOAD_FEATURES if c in bench.data.columns]
-    numeric = schema.numeric_features(bench.data)
+    numeric = schema.flow_features(bench.data, "number")
     train, forward, cutoff = bench.period("train"), bench.period("forward"), bench.cuts.bounds("train")[1]
     arms = [("full_metadata", numeric + rich, []), ("restricted_metadata", numeric, rich)] if rich else [
         ("not_applicable", numeric, [])]
@@ -70,7 +69,7 @@ def adaptation_window(bench: Bench, model: str, keys: Sequence[str],
     """Recent-window retraining with growing windows; windows of a single class are skipped."""
     run = run_model(bench, model)
     at = {r.period: r.asDict() for r in run.metrics.collect()}
-    rows = [{"variant": "none", **at["forward"], "note": "unadapted forward performance"}]
+    rows = [{"variant": "none", **at["forward"]}]
     for h in hours:
         history = recent_history(bench, h * HOUR)
         size, classes = history.agg(F.count("*"), F.count_distinct(LABEL)).first()
@@ -85,7 +84,7 @@ def adaptation_window(bench: Bench, model: str, keys: Sequence[str],
 
 def telemetry_family(bench: Bench, model: str, keys: Sequence[str]) -> list[dict]:
     """Leave one feature family out at a time."""
-    numeric = schema.numeric_features(bench.data)
+    numeric = schema.flow_features(bench.data, "number")
     train, forward, cutoff = bench.period("train"), bench.period("forward"), bench.cuts.bounds("train")[1]
     rows = []
     for family, members in schema.TELEMETRY_FAMILIES.items():
@@ -98,7 +97,7 @@ def telemetry_family(bench: Bench, model: str, keys: Sequence[str]) -> list[dict
 
 def target_fpr(bench: Bench, model: str, keys: Sequence[str]) -> list[dict]:
     """What each false-positive budget costs; one fit, one pass over the scores."""
-    numeric = schema.numeric_features(bench.data)
+    numeric = schema.flow_features(bench.data, "number")
     fitted = fit_features(bench.period("train"), numeric, cutoff=bench.cuts.bounds("train")[1])
     scored = score_table(bench.fit(model, bench.period("train"), fitted), bench.period("forward"))
     return [{**r.asDict(), "variant": f"fpr_{r.target_fpr}"} for r in metrics.budget_sweep(scored).orderBy("target_fpr").collect()]

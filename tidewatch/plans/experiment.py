@@ -44,8 +44,8 @@ def prepare(data: DataFrame, numeric: list[str] | None = None, categorical: list
             params: dict | None = None, seed: int = 42, budget: float = 0.05, cuts: TimeCuts | None = None) -> Bench:
     """Split the time axis and fit the feature preparation on the training period only."""
     cuts = cuts or find_cuts(data)
-    numeric = schema.numeric_features(data) if numeric is None else numeric
-    categorical = schema.categorical_features(data) if categorical is None else categorical
+    numeric = schema.flow_features(data, "number") if numeric is None else numeric
+    categorical = schema.flow_features(data, "name") if categorical is None else categorical
     fitted = fit_features(cuts.period(data, "train"), numeric, categorical, cutoff=cuts.bounds("train")[1])
     return Bench(data, cuts, fitted, params or {}, seed, budget)
 

@@ -34,7 +34,7 @@ def shifted_tables(bench: Bench, keys: Sequence[str], settings: Sequence[tuple[s
         part = part.withColumn("setting", F.lit(i))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         notes.append({"setting": i, "shift": kind, "magnitude": magnitude, "status": "ok",
-                      "removed": [c for c in gone], "applicable": not set(gone) & set(schema.feature_names(backtest))})
+                      "removed": [c for c in gone], "applicable": not set(gone) & set(schema.flow_features(backtest))})
     if out is None:
         raise ValueError("no shift applies to this dataset")
     return out, notes
@@ -107,9 +107,9 @@ def shift_study(bench: Bench, model: str, keys: Sequence[str], drift_settings: d
         F.max(F.struct("effect_size", "feature"))["feature"].alias("strongest_drift_feature"))
 
     before = bench.period("backtest")
-    moves = realized.numeric_moves(before, shifted, schema.numeric_features(before), ["setting"])
+    moves = realized.numeric_moves(before, shifted, schema.flow_features(before, "number"), ["setting"])
     mixtures = None
-    for c in schema.categorical_features(before):
+    for c in schema.flow_features(before, "name"):
         part = realized.mixture_distance(before, shifted.where(F.col(c).isNotNull()), c, ["setting"]).select("setting", "tvd")
         mixtures = part if mixtures is None else mixtures.unionByName(part)
     measured = realized.verdict(moves, mixtures, realized.class_rates(before, shifted, ["setting"]), ["setting"]).select(

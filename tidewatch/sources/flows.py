@@ -41,8 +41,12 @@ def map_bidirectional(raw: DataFrame) -> DataFrame:
 
 
 def bidirectional_flows(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    raw = spark.read.parquet(path)
-    return map_bidirectional(raw.limit(max_rows) if max_rows else raw)
+    """Mapped flows; ``max_rows`` keeps the earliest rows by time, ties by row hash."""
+    flows = map_bidirectional(spark.read.parquet(path))
+    if not max_rows:
+        return flows
+    order = [c for c, _ in flows.dtypes]
+    return flows.orderBy(TIME, F.xxhash64(*order)).limit(max_rows)
 
 
 def netflow_fields(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
