@@ -136,6 +136,10 @@ def test_sinks(spark, tmp_path):
     fitted = fit_features(df, ["a"])
     features = sinks.write_features(fitted.vectors(df).select("features", "label"), root + "/features")
     assert spark.read.parquet(features).schema["features"].metadata["feature_names"] == ["a"]
+    back = sinks.read_features(spark, features)
+    assert [r.features for r in back.orderBy("features").collect()] == [r.features for r in fitted.vectors(df).orderBy("features").collect()]
+    fitted.save(spark, root + "/fitted")
+    assert type(fitted).load(spark, root + "/fitted") == fitted
     model = models.fit_model("logistic_regression", df, fitted, {"max_iter": 5})
     sinks.save_model(model.model, root + "/model")
     loaded = sinks.load_model(root + "/model")

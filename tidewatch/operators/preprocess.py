@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles
@@ -64,6 +65,17 @@ class FittedFeatures:
         assembled = VectorAssembler(inputCols=list(made), outputCol=out, handleInvalid="keep").transform(full)
         return assembled.withMetadata(out, {"feature_names": self.names}).drop(*made)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the fitted state as one JSON row."""
+        row = spark.createDataFrame([(json.dumps(asdict(self)),)], "value string")
+        row.coalesce(1).write.mode("errorifexists").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedFeatures":
+        state = json.loads(spark.read.text(path, wholetext=True).first().value)
+        tuples = {k: tuple(state[k]) for k in ("numeric", "categorical")}
+        return cls(**{**state, **tuples, "levels": {c: tuple(v) for c, v in state["levels"].items()}})
+
     def provenance(self) -> dict[str, object]:
         return {"numeric_features": list(self.numeric), "categorical_features": list(self.categorical),
                 "scaler_mean": [round(self.means[c], 6) for c in self.numeric],

@@ -377,16 +377,16 @@ ALL_FEATURES = ["flow_duration", "total_packets", "total_bytes", "forward_packet
                 "packets_ratio", "duration_log1p", "packets_log1p", "bytes_log1p"]
 
 
-@query("drift_events_lineitem")
-def drift_events_lineitem(spark, folder):
-    """Sixteen features, all four detectors, windows of 120 days on whole dates.
+_LINES = drift_sql(FL, "fl", ALL_FEATURES, 120 * DAY, ", ".join([*views.LINEITEM_KEY, "forward_bytes"]))
+
 
-    The SQL form replicates the reference per window and is too large here; the detectors
-    are tested against brute force instead.
-    """
+@query("drift_events_lineitem", _LINES.full + """SELECT window_start, window_end, feature, method, round(statistic, 5) AS statistic, threshold, alert,
+  round(effect_size, 5) AS effect_size, n_reference, n_window FROM ev""")
+def drift_events_lineitem(spark, folder):
+    """Sixteen features, all four detectors, windows of 120 days on whole dates."""
     df = views.lineitem_common(spark, folder)
     cuts = split.find_cuts(views.lineitem_flows(spark, folder))
     settings = drift.DriftSettings(**{**SETTINGS, "window": 120 * DAY, "features": ALL_FEATURES,
-                                      "methods": drift.METHODS, "tiebreak": tuple(views.LINEITEM_KEY)})
+                                      "methods": drift.METHODS, "tiebreak": (*views.LINEITEM_KEY, "forward_bytes")})
     out = drift.drift_events(cuts.period(df, "train"), cuts.period(df, "forward"), settings).drop("p_value")
     return out.withColumns({c: F.round(c, 5) for c in ("statistic", "effect_size")})

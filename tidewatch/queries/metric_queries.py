@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import failure, metrics, split
+from tidewatch import sinks
+from tidewatch.operators import audit, failure, metrics, split
 from tidewatch.operators.windows import HOUR
 from tidewatch.queries.base import FE, cuts_sql, query
 from tidewatch.queries.drift_queries import EVENTS, BASE, PSI, QUANTILES, TWO_SAMPLE, CUSUM, events
 from tidewatch.sources import views
+from tidewatch.streaming import monitor
 
 RATES = metrics.RATES
 
@@ -291,3 +293,23 @@ def failure_bundle(spark, folder):
     """One nested row per model; its parts have their own SQL above."""
     out = failure.failure_bundle(forward(spark, folder), events(spark, folder), 0.05, 0.05)
     return out.select("windows_analyzed", F.to_json(F.struct(*[c for c in out.columns if c != "windows_analyzed"])).alias("analysis"))
+
+
+@query("failure_volumes", f"""WITH {PRED}, p AS (SELECT * FROM pr WHERE period = 'forward')
+SELECT protocol AS model, 'run-1' AS run, CAST(count(*) FILTER (false_positive = 1) AS BIGINT) AS false_positives, round(avg(CASE WHEN false_positive = 1 THEN y_score END), 9) AS fp_mean_score,
+CAST(count(*) FILTER (false_negative = 1) AS BIGINT) AS false_negatives, round(avg(CASE WHEN false_negative = 1 THEN y_score END), 9) AS fn_mean_score,
+CAST(count(*) FILTER (false_negative = 1 AND y_score > 0.8) AS BIGINT) AS high_confidence_misses FROM p GROUP BY protocol""")
+def failure_volumes(spark, folder):
+    """Error volumes read back from stored failure documents, one for each protocol's predictions."""
+    y = F.col("y_score")
+
+    def errors(flag: str):
+        hit = F.col(flag) == 1
+        return F.struct(F.count_if(hit).alias("count"), F.avg(F.when(hit, y)).alias("mean_score"),
+                        F.count_if(hit & (y > 0.8)).alias("high_confidence_misses"))
+    documents = forward(spark, folder).groupBy(F.col("protocol").alias("model")).agg(
+        F.lit("run-1").alias("run"), errors("false_positive").alias("false_positives"), errors("false_negative").alias("false_negatives"))
+    root = monitor.scratch(spark, "documents")
+    path = sinks.write_document(documents, root, "run-1", "failure_analysis")
+    kinds = documents.schema
+    return _rounded(audit.failure_volumes(spark.read.schema(kinds).json(path)), ["fp_mean_score", "fn_mean_score"])

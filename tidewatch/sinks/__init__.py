@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ONCE = "errorifexists"
@@ -56,6 +56,13 @@ def write_features(df: DataFrame, path: str, features: str = "features") -> str:
     return path
 
 
+def read_features(spark: SparkSession, path: str, features: str = "features") -> DataFrame:
+    """A stored feature matrix as vectors, names back in the column metadata."""
+    df = spark.read.parquet(path)
+    meta = df.schema[features].metadata
+    return df.withColumn(features, array_to_vector(features)).withMetadata(features, meta)
+
+
 def save_model(model: Transformer, path: str) -> None:
     PipelineModel(stages=[model]).write().save(path)
 
