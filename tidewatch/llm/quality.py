@@ -155,3 +155,32 @@ def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str
     for r in risk.rules:
         bad = bad | F.coalesce(F.expr(r.measure) > F.col(f"cut_{r.name}"), F.lit(False))
     return rows.withColumn("kept", ~bad)
+
+
+def sql(risk: Risk = Risk()) -> str:
+    """The same verdict in DuckDB's SQL, for tables with at most ``max_labels`` good labels.
+
+    Binomial tails come from log-gamma terms there.
+    """
+    each, tests = risk.max_rejection / max(len(risk.rules), 1), sum(len(r.cutoffs) for r in risk.rules)
+    tail = (f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) "
+            f"+ i * ln({each!r}) + (n - i) * ln({1 - each!r}))))")
+    cuts = ", ".join(
+        f"""r{i} AS (SELECT s, min(c) AS cut FROM (SELECT s, c, count(*) AS n, count(*) FILTER (CAST({r.measure} AS DOUBLE) > c) AS k
+  FROM good, (SELECT unnest([{', '.join(repr(float(c)) for c in r.cutoffs)}]) AS c) GROUP BY s, c)
+  WHERE k < n * {each!r} AND {tail} <= {risk.delta!r} / ((SELECT count(DISTINCT s) FROM good) * {tests}) GROUP BY s)""" for i, r in enumerate(risk.rules))
+    joins = " ".join(f"LEFT JOIN r{i} ON r{i}.s = m.s" for i in range(len(risk.rules)))
+    over = " OR ".join(f"coalesce(CAST({r.measure} AS DOUBLE) > r{i}.cut, FALSE)" for i, r in enumerate(risk.rules))
+    shown = ", ".join(f"CAST(r{i}.cut AS DOUBLE) AS cut_{r.name}" for i, r in enumerate(risk.rules))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS s FROM documents),
+w AS (SELECT rn, doc_id, s, t, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS l FROM d),
+g AS (SELECT rn, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT rn, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+h AS (SELECT rn, count(DISTINCT i + j) AS n FROM (SELECT rn, i, unnest(range({WINDOW})) AS j FROM (
+  SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS c FROM g) WHERE c > 1) GROUP BY rn),
+m AS (SELECT w.doc_id, w.s, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words,
+  len(w) < 20 OR 100 * coalesce(h.n, 0) > 30 * len(w) AS base_failed FROM w LEFT JOIN h ON h.rn = w.rn),
+good AS (SELECT m.* FROM m JOIN labels ON labels.doc_id = m.doc_id WHERE quality = 1 AND NOT base_failed),
+{cuts}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {over}) AS kept, {shown} FROM m {joins}"""

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", quality.sql())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures and verdict of every document, with cutoffs certified on the labels."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
