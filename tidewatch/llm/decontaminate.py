@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.candidates import small
 from tidewatch.llm.common import fresh, whole
-from tidewatch.llm.shingles import CACHED_WORDS, mix
+from tidewatch.llm.shingles import CACHED_WORDS, mix, sliced
 from tidewatch.session import materialize
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]\w*|[.!?\n]")
@@ -118,7 +118,7 @@ def _items(rule: Templates):
 def _hits(sizes: list[int], bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words, h, slot = _template(text, tokens)

@@ -55,7 +55,7 @@ def least_matches(threshold: float, tolerance: float, of: int) -> int:
 def _signed(shingler, bands: shingles.Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, (signatures, keys) = shingler.begin(), bands.begin()
-        for batch in batches:
+        for batch in shingles.sliced(batches):
             texts = [shingler.normal(t) for t in batch.column(2).to_pylist()]
             for a, b in shingles.chunks(texts):
                 part = texts[a:b]
@@ -73,7 +73,7 @@ def _signed(shingler, bands: shingles.Bands):
 
 def _normal(shingler):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shingles.sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.normal(t) for t in batch.column(1).to_pylist()], pa.string())], ["uid", "text"])
     return run
 

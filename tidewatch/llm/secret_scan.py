@@ -31,6 +31,8 @@ from math import comb, log10
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.shingles import sliced
+
 # Patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -181,7 +183,7 @@ def scanned(docs: DataFrame, guesser: Guesser | None = None, min_cost: float = 1
     guesser = guesser or Guesser()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans, weak, most = _spans(text or "", guesser, min_cost)

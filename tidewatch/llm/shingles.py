@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 U64 = np.uint64
 
 
@@ -161,7 +161,14 @@ class Bands:
         return signatures, keys
 
 
-def chunks(texts: list[str], letters: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """The same rows in small batches, so that a task holds few long texts as Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def chunks(texts: list[str], letters: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters in all."""
     a = size = 0
     for i, t in enumerate(texts):

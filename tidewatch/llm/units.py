@@ -13,7 +13,7 @@ from tidewatch.llm.components import components
 from tidewatch.session import materialize
 
 BLOCK = 256
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 PLACES = "doc_id long, start long, number long, stop long, words long, uid long"
 
 # A piece: (start, number, end, words, text); start and end are code points.
@@ -36,7 +36,7 @@ def _keyed(split: Split, shingler, bands: shingles.Bands):
             return pa.RecordBatch.from_arrays([*cols, pa.array(band, pa.list_(pa.int64()))],
                                               ["doc_id", "start", "number", "stop", "words", "uid", "bands"])
 
-        for batch in batches:
+        for batch in shingles.sliced(batches):
             places, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for start, number, stop, words, piece in split(text or ""):
@@ -60,7 +60,7 @@ def _keyed(split: Split, shingler, bands: shingles.Bands):
 
 def _texts(split: Split, shingler):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shingles.sliced(batches):
             uid, texts, size = [], [], 0
             for text in batch.column(0).to_pylist():
                 for *_, piece in split(text or ""):
