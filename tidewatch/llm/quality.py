@@ -148,9 +148,9 @@ def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", key.alias("stratum"))
     good_ids = labels.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(risk.max_labels)
     good = measured(rows.drop("row").join(F.broadcast(good_ids), "doc_id")).where(~base_failed())
-    # A row for each stratum: small for a closed set such as languages, never forced into a broadcast.
+    # A row for each stratum of the holdout, so at most max_labels rows: safe to broadcast.
     cuts = cutoff_table(good, "stratum", risk).withColumnsRenamed({r.name: f"cut_{r.name}" for r in risk.rules})
-    rows = measured(rows).withColumn("base_failed", base_failed()).join(cuts, "stratum", "left")
+    rows = measured(rows).withColumn("base_failed", base_failed()).join(F.broadcast(cuts), "stratum", "left")
     bad = F.col("base_failed")
     for r in risk.rules:
         bad = bad | F.coalesce(F.expr(r.measure) > F.col(f"cut_{r.name}"), F.lit(False))
