@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import html_extract, licences, quality, secret_scan
 
@@ -122,6 +123,18 @@ def test_cutoffs_are_certified(spark):
     assert got == {"a": expected("a"), "b": expected("b")} and got["a"] is not None and got["b"] is None
 
 
+def test_all_good_labels_count(spark):
+    """A stratum with 2.8 % of 72,000 good labels gets its cutoffs: 2,000 are enough for two strata, 2.8 % of 50,000 are not."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat(F.lit("words"), i.cast("string"))), " ")
+    docs = spark.range(72_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") < 2_000, "rare").otherwise("common").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    symbols = " ".join(f"#{i}" for i in range(30))
+    junk = spark.createDataFrame([(-1, symbols, "rare"), (-2, symbols, "common")], "doc_id long, text string, lang string")
+    for judge in (quality.judged, quality.verdicts):
+        rows = judge(docs.unionByName(junk), labels).where("doc_id < 1")
+        assert {r.doc_id: (r.kept, r.cut_symbols) for r in rows.collect()} == {-1: (False, 0.02), -2: (False, 0.02), 0: (True, 0.02)}
+
+
 def test_quality_of_an_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judged(spark.createDataFrame([], ODD), labels).count() == 0

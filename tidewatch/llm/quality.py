@@ -8,11 +8,12 @@ probability is divided by the number of tests, so all chosen cutoffs hold at onc
 probability ``1 - delta``, and ``max_rejection`` is divided by the number of rules, so that the
 union of the rules keeps the promise as well. The strictest safe cutoff of each rule is used.
 
-Labels are a holdout of at most ``max_labels`` good documents, drawn by a hash of the id; the bound
-also bounds the only broadcast.
+All good labels count. Measures are kept without texts, and only doc_id, stratum and measures are
+shuffled to the labels; the table of cutoffs, one row for each stratum, is broadcast if it has been
+counted to be small.
 
-Everything is column expressions: one scan for the measures, one join of measures and labels,
-and a table of cutoffs with one row for each stratum.
+Everything is column expressions: a scan for the measures, one join of measures and labels, and
+where whole documents are asked for a second scan that measures them beside their verdict.
 
 Defined results: a null text is empty; a document without words fails the base rule; a null
 stratum is a stratum of its own; a stratum without enough labels gets no cutoff (nothing but the
@@ -25,10 +26,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.candidates import small
 from tidewatch.llm.common import fresh, whole, words
+from tidewatch.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -55,7 +58,6 @@ DEFAULT_RULES = (
 class Risk:
     max_rejection: float = 0.02
     delta: float = 0.05
-    max_labels: int = 50_000
     rules: tuple[Rule, ...] = field(default=DEFAULT_RULES)
 
 
@@ -124,9 +126,9 @@ def cutoff_table(good: DataFrame, stratum: str, risk: Risk) -> DataFrame:
     each = max(len(risk.rules), 1)
     counts = good.groupBy(stratum).agg(F.count("*").alias("n"), *(
         F.count_if(F.expr(r.measure) > c).alias(f"k{i}") for i, (r, c) in enumerate(tests)))
-    # Bonferroni over strata and tests; one row each, so one task counts them.
-    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))
-    limit = F.log(F.lit(risk.delta) / (F.col("strata") * len(tests)))
+    counts = materialize(counts)
+    # Bonferroni over strata and tests.
+    limit = F.log(F.lit(risk.delta / (max(counts.count(), 1) * len(tests))))
     safe = lambda i, c: F.when(
         (F.col(f"k{i}") < F.col("n") * (risk.max_rejection / each))
         & (_log_tail(F.col(f"k{i}"), F.col("n"), risk.max_rejection / each) <= limit), F.lit(c))
@@ -138,30 +140,44 @@ def cutoff_table(good: DataFrame, stratum: str, risk: Risk) -> DataFrame:
     return counts.select(stratum, *out)
 
 
-def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
-    """Every document as struct ``row`` with its doc_id, measures, ``base_failed`` and ``kept``.
-
-    Labels join by doc_id; good means quality = 1. The few labelled texts are measured twice:
-    once for the cutoffs, once with all others for the verdict.
-    """
+def _keyed(docs: DataFrame, stratum: str) -> DataFrame:
     key = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", key.alias("stratum"))
-    good_ids = labels.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(risk.max_labels)
-    good = measured(rows.drop("row").join(F.broadcast(good_ids), "doc_id")).where(~base_failed())
-    # A row for each stratum of the holdout, so at most max_labels rows: safe to broadcast.
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", key.alias("stratum"))
+
+
+def _measures(docs: DataFrame, stratum: str) -> DataFrame:
+    """doc_id, stratum and measures of every document, written once without texts."""
+    return materialize(measured(_keyed(docs, stratum).drop("row")).drop("text"))
+
+
+def _verdicts(rows: DataFrame, measures: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
+    """``rows`` (measured) with ``base_failed``, cutoffs and ``kept``; good labels (quality = 1) join ``measures`` by doc_id."""
+    good = measures.where(~base_failed()).join(labels.where("quality = 1").select("doc_id"), "doc_id")
     cuts = cutoff_table(good, "stratum", risk).withColumnsRenamed({r.name: f"cut_{r.name}" for r in risk.rules})
-    rows = measured(rows).withColumn("base_failed", base_failed()).join(F.broadcast(cuts), "stratum", "left")
+    rows = rows.withColumn("base_failed", base_failed()).join(small(cuts), "stratum", "left")
     bad = F.col("base_failed")
     for r in risk.rules:
         bad = bad | F.coalesce(F.expr(r.measure) > F.col(f"cut_{r.name}"), F.lit(False))
     return rows.withColumn("kept", ~bad)
 
 
-def sql(risk: Risk = Risk()) -> str:
-    """The same verdict in DuckDB's SQL, for tables with at most ``max_labels`` good labels.
+def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
+    """doc_id, measures, ``base_failed`` and ``kept`` of every document, measured once."""
+    measures = _measures(docs, stratum)
+    return _verdicts(measures, measures, labels, risk)
+
+
+def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
+    """Every document as struct ``row`` with what ``verdicts`` gives.
 
-    Binomial tails come from log-gamma terms there.
+    Texts are measured twice, once for the cutoffs and once beside the whole document: joining the
+    measures to the documents would shuffle all texts.
     """
+    return _verdicts(measured(_keyed(docs, stratum)), _measures(docs, stratum), labels, risk)
+
+
+def sql(risk: Risk = Risk()) -> str:
+    """The same verdict in DuckDB's SQL; binomial tails come from log-gamma terms there."""
     each, tests = risk.max_rejection / max(len(risk.rules), 1), sum(len(r.cutoffs) for r in risk.rules)
     tail = (f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) "
             f"+ i * ln({each!r}) + (n - i) * ln({1 - each!r}))))")

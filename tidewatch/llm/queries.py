@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures and verdict of every document, with cutoffs certified on the labels."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
-    rows = quality.judged(docs, read(spark, folder, "labels"))
+    rows = quality.verdicts(docs, read(spark, folder, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        "base_failed", "kept", *(F.col(f"cut_{r.name}") for r in quality.DEFAULT_RULES))
 
