@@ -137,6 +137,18 @@ def test_lines_match_brute_force(spark):
         assert clean[d] == (t and "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want))
 
 
+def test_a_typo_in_a_short_line(spark):
+    rng = random.Random(11)
+    docs, want = [], set()
+    for n in range(30, 61):
+        line = " ".join(words(rng, 30))[:n - 1] + "h"
+        typo = line[:n // 2] + "z" + line[n // 2 + 1:]
+        want.add((len(docs) + 1, 1, len(docs)))
+        docs += [line, "\n" + typo]
+    got = {(r.doc_id, r.line_no, r.kept_doc_id) for r in line_dedup.removals(frame(spark, docs)).collect()}
+    assert got == want
+
+
 def test_passages(spark):
     rng = random.Random(9)
     long_passage = [" ".join(words(rng, 30)) for _ in range(3)]

@@ -1,16 +1,16 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared in lower case with runs of white space as one space, as sets of 7-character
-shingles. One-pass MinHash deals the shingles of a line into 56 bins, banded 14 x 4: a pair with
-similarity 0.8 shares a band with probability 0.9994. Candidates are verified by exact Jaccard
-similarity, verified links are joined to components by distributed union-find, and one line of
-each component stays: the first by document and position.
-
-Seven characters rather than fewer, as unrelated lines of one language share many shorter runs and
-would all become candidates.
+Lines are compared in lower case with runs of white space as one space, as sets of 3-character
+shingles: one changed character leaves a line of 30 characters above a similarity of 0.8.
+Candidates come from 5-character shingles, as unrelated lines of one language share a third of
+their shorter runs and would all become candidates. Edits that leave 0.8 of the former leave about
+0.68 of the latter; one-pass MinHash deals these into 112 bins, banded 28 x 4, and such a pair
+shares a band with probability 0.998 to 0.999. Candidates are verified by exact Jaccard similarity of
+the 3-character shingles, verified links are joined to components by distributed union-find,
+and one line of each component stays: the first by document and position.
 
 Defined results: a null text has no lines; blank lines are neither counted nor removed; lines
-shorter than a shingle match only their equals; a repeated row is a document of its own with
+under five characters match only their equals; a repeated row is a document of its own with
 the same id, and its lines tie: all places with the kept line's id and number stay;
 documents without an id come first; other columns pass through.
 """
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm import shingles
 from tidewatch.llm.units import classes
 
-SHINGLER = shingles.CharShingles(7)
-BANDS = shingles.Bands(14, 4, one_pass=True)
+SHINGLER = shingles.CharShingles(3)
+BANDING = shingles.CharShingles(5)
+BANDS = shingles.Bands(28, 4, one_pass=True)
 
 
 def lines(text: str) -> Iterator[tuple[int, int, int, int, str]]:
@@ -39,7 +40,7 @@ def lines(text: str) -> Iterator[tuple[int, int, int, int, str]]:
 
 def removals(docs: DataFrame, threshold: float = 0.8, bands: shingles.Bands = BANDS) -> DataFrame:
     """Lines to remove: (doc_id, line_no, kept_doc_id, kept_line_no, class_id)."""
-    places, roots = classes(docs, lines, SHINGLER, bands, threshold)
+    places, roots = classes(docs, lines, SHINGLER, bands, threshold, BANDING)
     place = places.select("uid", "doc_id", F.col("number").alias("line_no"))
     place = place.join(roots, "uid", "left").withColumn("class_id", F.coalesce("root", "uid"))
     kept = place.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n"))

@@ -102,8 +102,9 @@ def fingerprint(normal: str) -> int:
 class Bands:
     """``bands`` bands of ``rows`` MinHash values.
 
-    ``one_pass`` hashes each shingle once and deals it into one of bands * rows bins (empty bins
-    borrow from the next full one); otherwise each value has a hash function of its own.
+    ``one_pass`` hashes each shingle once and deals it into one of bands * rows bins; otherwise each
+    value has a hash function of its own. Every empty bin borrows from bins drawn for it alone, so that the
+    values of a band stay apart in short texts (neighbours would borrow one value and pass as one row).
     """
     bands: int
     rows: int
@@ -120,6 +121,7 @@ class Bands:
         weights = rng.integers(1, 1 << 63, (self.bands, self.rows), dtype=U64) | U64(1)
         salt = rng.integers(1, 1 << 63, self.bands, dtype=U64)
         n = self.values
+        lenders = rng.integers(0, n, (24, n))
 
         def dealt(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
             row = np.zeros(len(hashes), np.int64)
@@ -130,7 +132,16 @@ class Bands:
             out = np.full(len(starts) * n, none, U64)
             np.minimum.at(out, at, hashes >> U64(32))
             out = out.reshape(-1, n)
-            # Empty bins take the next full one round the circle, marked by the distance.
+            text, bin_ = np.nonzero(out == none)
+            full = out.copy()
+            for lender in lenders:
+                if not len(text):
+                    break
+                lent = full[text, lender[bin_]]
+                out[text, bin_] = lent
+                still = lent == none
+                text, bin_ = text[still], bin_[still]
+            # What found no lender takes the next full bin round the circle, marked by the distance.
             spot = np.where(out != none, np.arange(n), 2 * n)
             twice = np.concatenate([spot, spot + n], axis=1)
             nxt = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :n]

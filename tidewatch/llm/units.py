@@ -20,10 +20,11 @@ PLACES = "doc_id long, start long, number long, stop long, words long, uid long"
 Split = Callable[[str], Iterator[tuple[int, int, int, int, str]]]
 
 
-def _keyed(split: Split, shingler, bands: shingles.Bands):
+def _keyed(split: Split, shingler, bands: shingles.Bands | None):
+    """Places with the band keys of pieces that are new to the task, or null bands without ``bands``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shingler.begin()
-        signatures, keys = bands.begin()
+        signatures, keys = bands.begin() if bands else (None, None)
         seen: set[int] = set()
 
         def out(places, fresh):
@@ -44,7 +45,7 @@ def _keyed(split: Split, shingler, bands: shingles.Bands):
                     if not norm:
                         continue
                     uid = shingles.fingerprint(norm)
-                    if uid not in seen:  # a copy has the same bands; another task may send them again
+                    if bands and uid not in seen:  # a copy has the same bands; another task may send them again
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(uid)
@@ -76,14 +77,18 @@ def _texts(split: Split, shingler):
     return run
 
 
-def classes(docs: DataFrame, split: Split, shingler, bands: shingles.Bands, threshold: float) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, split: Split, shingler, bands: shingles.Bands, threshold: float,
+            banding=None) -> tuple[DataFrame, DataFrame]:
     """(places, roots): where every piece stands, and (uid, root) of pieces that have near copies.
 
     Pieces that are equal in normal form share a uid. Candidates share a band key; each is verified by
     exact Jaccard similarity; classes are the connected components of the verified links.
+    ``banding`` makes the shingles that are banded, if they aren't the ones that are verified; it has
+    the same normal form. Band keys are shuffled, never kept: texts are split once more for them.
     """
     text = docs.select(F.col("doc_id").cast("long"), "text")
-    keyed = materialize(text.mapInArrow(_keyed(split, shingler, bands), f"{PLACES}, bands array<long>"))
+    places = materialize(text.mapInArrow(_keyed(split, shingler, None), f"{PLACES}, bands array<long>").drop("bands"))
+    keyed = text.mapInArrow(_keyed(split, banding or shingler, bands), f"{PLACES}, bands array<long>")
     found = candidates.members(keyed.where("bands IS NOT NULL").select("uid", F.explode("bands").alias("key")))
     groups = materialize(candidates.distinct_buckets(materialize(found)))
     wanted = candidates.small(groups.select("uid").distinct())
@@ -91,4 +96,4 @@ def classes(docs: DataFrame, split: Split, shingler, bands: shingles.Bands, thre
     texts = texts.join(wanted, "uid", "left_semi").dropDuplicates(["uid"])
     links = candidates.linked(candidates.block_pairs(groups, BLOCK), texts, threshold, shingler)
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
-    return keyed.drop("bands"), roots.select(F.col("node").alias("uid"), "root")
+    return places, roots.select(F.col("node").alias("uid"), "root")
