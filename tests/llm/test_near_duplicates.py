@@ -104,6 +104,17 @@ def test_one_document_of_each_class_stays(spark):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_copies_with_and_without_ids(spark):
+    base = words(random.Random(6), 100)
+    text, near = " ".join(base), " ".join([*base[:-1], "changed"])
+    docs = frame(spark, [text, text, near, near, "lone text", "lone text"], [5, None, 3, None, None, None])
+    rows = ngram_join.joined(docs).collect()
+    got = sorted(((r.doc_id, r.class_id, r.text_id, r.n_links, r.n_copies) for r in rows), key=str)
+    assert got == sorted([(5, 3, 5, 1, 2), (None, 3, 5, 1, 2), (3, 3, 3, 1, 2), (None, 3, 3, 1, 2)] + [(None, None, None, 0, 2)] * 2, key=str)
+    kept = ngram_join.one_of_each(docs)
+    assert [r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()] == [3] and kept.count() == 5
+
+
 def test_posterior_is_the_beta_tail():
     rng = np.random.default_rng(0)
     for m, n in ((20, 30), (26, 30), (100, 150)):

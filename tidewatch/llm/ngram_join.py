@@ -108,14 +108,16 @@ def joined(docs: DataFrame, threshold: float = 0.8, shingler=SHINGLER, bands: sh
     """(doc_id, h, class_id, text_id, n_links, n_copies); h is the hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole()).alias("h"), whole().alias("text"))
     signed = materialize(rows.mapInArrow(_signed(shingler, bands), "doc_id long, h long, uid long, sig binary, bands array<long>"))
-    first = signed.where("uid IS NOT NULL").groupBy("uid").agg(F.min(F.struct("doc_id", "h")).alias("f"), F.count("*").alias("n_copies"))
+    full = signed.where("uid IS NOT NULL")
+    # A copy without an id stands for its text only if no copy has one.
+    first = full.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "h")).alias("f"), F.count("*").alias("n_copies"))
     texts = materialize(first.select("uid", F.col("f.doc_id").alias("text_id"), F.col("f.h").alias("text_h"), "n_copies"))
-    # One row of each text; equal rows are equal in all that is used of them.
-    one = signed.withColumnsRenamed({"doc_id": "text_id", "h": "text_h"}).join(texts.select("uid", "text_id", "text_h"), ["uid", "text_id", "text_h"])
+    # One row of each text; rows with one uid have the same bands and signature.
+    one = full.select("uid", "bands").dropDuplicates(["uid"])
     found = materialize(candidates.distinct_buckets(materialize(candidates.members(one.select("uid", F.explode("bands").alias("key"))))))
     groups = candidates.block_pairs(found, SIGNATURE_BLOCK)
     wanted = candidates.small(found.select("uid").distinct())
-    sigs = one.join(wanted, "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "sig")
+    sigs = full.select("uid", "sig").dropDuplicates(["uid"]).join(wanted, "uid", "left_semi")
     pairs = groups.join(sigs, "uid").select("key", "left", "right", "side", "uid", "sig")
     pairs = pairs.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     grouped = materialize(components(pairs.mapInArrow(_survivors(threshold, tolerance), "a long, b long")))
