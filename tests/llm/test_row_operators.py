@@ -158,6 +158,20 @@ def test_pages(main, want):
     assert html_extract.main_text(PAGE.format(main=main)) == want
 
 
+@pytest.mark.parametrize("main, want", [
+    ("<p>One <svg viewBox='0 0 1 1'/> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>One <svg><svg><path d='M0'/></svg><g><text>in</text></g></svg> two.</p><p>Three.</p>", "One in two.\nThree."),
+    ("<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><p>Three <math/> four.</p>", "Where x=1 holds.\nThree four."),
+    ("<p>One <select><option>a<option>b</p><p>Three.</p>", "One\nThree."),
+    ("<p>One.</p><select><option>a<p>Three.</p>", "One.\nThree."),
+    ("<p>One <object data='x'>shown <b>so</b></object> two <canvas>drawn.</p><p>Three.</p>", "One shown so two drawn.\nThree."),
+    ("<p>One <svg><style/><title>no</title></p><p>Three.</p>", "One\nThree."),
+    ("<div>One <svg><g></div>Three.", "One\nThree."),
+])
+def test_embedded_elements_swallow_no_text(main, want):
+    assert html_extract.main_text(PAGE.replace("{main}", f"<article>{main}</article>")) == want
+
+
 def test_minimum_cut_is_least():
     random.seed(2)
     for _ in range(30):

@@ -7,7 +7,7 @@ more the closer they stand in the document tree. The labelling of least total co
 between a source (content) and a sink (boilerplate), found by maximum flow page by page.
 
 Defined results: a null or empty page gives an empty text; unclosed and stray tags are repaired as
-browsers do; white space of any kind, ``<br>`` included, becomes one space inside a block; repeated
+browsers do, block-level tags end an open select, svg or math; white space of any kind, ``<br>`` included, becomes one space inside a block; repeated
 rows are extracted alike; other columns are ignored.
 """
 
@@ -31,14 +31,15 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title noscript iframe svg math object canvas select".split())
+RAW = frozenset("script style template textarea title noscript iframe".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s
-samp small span strike strong sub sup time tt u var wbr""".split())
+samp small span strike strong sub sup time tt u var wbr svg math object canvas""".split())
 CLOSES_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table td th tr ul dt dd tbody thead""".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table article section main div body nav aside footer header form blockquote".split())
-AWAY_TAGS = frozenset("nav footer aside form button menu dialog head".split())
+AWAY_TAGS = frozenset("nav footer aside form button menu dialog head select".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Parts of class names and ids.
 AWAY_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar
@@ -68,11 +69,17 @@ class Costs:
 
 
 class _Node:
-    __slots__ = ("tag", "away", "main", "named", "link", "parent", "depth")
+    __slots__ = ("tag", "away", "main", "named", "link", "parent", "depth", "foreign")
 
     def __init__(self, tag, parent, away=False, main=False, named=False, link=False):
         self.tag, self.parent, self.away, self.main, self.named, self.link = tag, parent, away, main, named, link
         self.depth = parent.depth + 1 if parent else 0
+        # Tags inside svg and math stand in the line, but for pages embedded in a foreignObject.
+        self.foreign = tag in FOREIGN or bool(parent and parent.foreign and tag != "foreignobject")
+
+    @property
+    def inline(self) -> bool:
+        return self.tag in INLINE or self.foreign
 
 
 def _node(tag: str, rest: str, parent: _Node) -> _Node:
@@ -123,7 +130,7 @@ def blocks(html: str) -> list[tuple[str, _Node, float]]:
             linked = 0
 
     def block_of(node):
-        while node.tag in INLINE and node.parent:
+        while node.inline and node.parent:
             node = node.parent
         return node
 
@@ -146,11 +153,11 @@ def blocks(html: str) -> list[tuple[str, _Node, float]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag not in INLINE:
+            if tag not in INLINE and (tag in CLOSES_P or not at.foreign):
                 flush()
             node = at
             while node.parent and node.tag != tag:
-                if tag in INLINE and node.tag not in INLINE:
+                if tag in INLINE and not node.inline and node.tag != "foreignobject":
                     node = top  # a stray inline end doesn't close blocks
                     break
                 node = node.parent
@@ -160,16 +167,17 @@ def blocks(html: str) -> list[tuple[str, _Node, float]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag in CLOSES_P:
+            while at.foreign or tag != "hr" and at.tag in ("select", "option", "optgroup"):
+                at = at.parent
+        if tag not in INLINE and not at.foreign:
             flush()
-        if tag in RAW:
+        if tag in RAW and not (at.foreign and m[3].endswith("/>")):
             close = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(html, pos)
             pos = close.end() if close else n
             continue
         if tag in CLOSES_P:
-            node = at
-            while node.tag in INLINE:
-                node = node.parent
+            node = block_of(at)
             if node.tag == "p":
                 at = node.parent
         if tag in SAME:
