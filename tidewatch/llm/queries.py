@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, html_extract, licences, line_dedup, mixing, ngram_join, passages, quality, secret_scan, shards
+from tidewatch.llm import (alignment, decontaminate, grammar, html_extract, licences, line_dedup, mixing, ngram_join, passages,
+                           quality, secret_scan, shards, whitening)
 from tidewatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,24 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The licences that every document's paragraphs grant."""
     return licences.document_licences(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as it comes back from token files compressed by grammars."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return grammar.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers cut every document into."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    rows = alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.scored(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the leading 32 whitened components."""
+    return whitening.whitened(read(spark, folder, "embeddings").select("vec_id", "embedding"))
