@@ -105,33 +105,51 @@ def window_quality(scored: DataFrame, threshold: float, window: str, min_rows: i
     return out.select(F.col("w.start").alias("bucket"), *[c for c in out.columns if c != "w"])
 
 
-class RollingRefit:
-    """A foreachBatch step that scores each batch with the latest model, then refits.
+def reference_moments(reference: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, anchor, mu, sigma, n_reference) of a frozen reference; mu is relative to anchor, the least value.
 
-    A batch is scored only by a model that has seen earlier batches. History is a table on
-    shared storage, pruned to the training window when it is read; batches overwrite their
-    own folders, so a replay is harmless.
+    Differences from a value of the reference itself are exact where values lie close to each other,
+    however far from 0 they are.
     """
-
-    def __init__(self, fit: Callable[[DataFrame], object], train: DataFrame, history: str, sink: str,
-                 window_seconds: int | None = None):
-        self.fit, self.train, self.history, self.sink = fit, train, history, sink
-        self.window_seconds = window_seconds
-        self.model = fit(train)
-        self.refits = 0
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
-        try:
-            if rows.isEmpty():
-                return
-            self.model.score(rows).write.mode("overwrite").parquet(f"{self.sink}/batch_id={batch_id}")
-            rows.write.mode("overwrite").parquet(f"{self.history}/batch_id={batch_id}")
-            seen = batch.sparkSession.read.parquet(self.history).drop("batch_id")
-            if self.window_seconds is not None:
-                latest = rows.agg(F.max(TIME)).scalar()
-                seen = seen.where(F.col(TIME) >= latest - F.make_dt_interval(secs=F.lit(float(self.window_seconds))))
-            self.model = self.fit(self.train.unionByName(seen.select(*self.train.columns)))
-            self.refits += 1
-        finally:
-            rows.unpersist()
+    long = melt(reference, features)
+    anchors = long.groupBy("feature").agg(F.min("value").alias("anchor"))
+    apart = long.join(F.broadcast(anchors), "feature")
+    sigma = F.stddev_pop(F.col("value") - F.col("anchor"))
+    return apart.groupBy("feature").agg(
+        F.first("anchor").alias("anchor"), F.avg(F.col("value") - F.col("anchor")).alias("mu"),
+        F.when(sigma > 0, sigma).otherwise(1.0).alias("sigma"), F.count("*").alias("n_reference"))
+
+
+def mean_shift(stream: DataFrame, moments: DataFrame, window: str, slide: str | None = None, threshold: float = 0.5,
+               min_samples: int = 0, delay: str = "10 minutes") -> DataFrame:
+    """Shift of mean and spread per closed (window, feature) against ``reference_moments``.
+
+    State is the mergeable moments of a window and feature (count, mean and squared deviations from it),
+    kept relative to the anchor, so they lose no digits far from 0. ``effect_size`` is the distance of the means in
+    reference deviations and alerts above ``threshold``; ``spread`` is the ratio of deviations.
+    """
+    frame = F.window(TIME, window, slide) if slide else F.window(TIME, window)
+    features = [r.feature for r in moments.select("feature").collect()]
+    long = melt(timed(stream, delay), features, [TIME]).join(F.broadcast(moments), "feature")
+    apart = F.col("value") - F.col("anchor")
+    out = long.groupBy(frame.alias("w"), "feature", "anchor", "mu", "sigma", "n_reference").agg(
+        F.count("*").alias("n_window"), F.avg(apart).alias("mean"), F.var_pop(apart).alias("variance"))
+    effect = F.abs(F.col("mean") - F.col("mu")) / F.col("sigma")
+    out = out.where(F.col("n_window") >= min_samples) if min_samples else out
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature",
+                      (F.col("mean") - F.col("mu")).alias("mean_shift"), effect.alias("effect_size"),
+                      (F.sqrt("variance") / F.col("sigma")).alias("spread"), (effect > threshold).alias("alert"),
+                      "n_reference", "n_window")
+
+
+def feed(rows: DataFrame, folder: str, starts: Sequence[str], ts: str = TIME) -> None:
+    """Append a table to a stream's input folder in time order, one file for each step from its start to the next.
+
+    Stands for an upstream job that delivers as time passes; steps without rows deliver nothing.
+    """
+    kind = rows.schema[ts].dataType
+    for low, high in zip(starts, [*starts[1:], None]):
+        step = rows.where(F.col(ts) >= F.lit(low).cast(kind))
+        step = step if high is None else step.where(F.col(ts) < F.lit(high).cast(kind))
+        if not step.isEmpty():
+            step.coalesce(1).write.mode("append").parquet(folder)
