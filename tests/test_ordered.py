@@ -6,9 +6,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles
-from tidewatch.operators.running import cut_slices, last_seen, number_rows, running_extreme, running_sums
+from tidewatch.operators import running
+from tidewatch.operators.running import cut_slices, last_seen, number_rows, reflected_sums, running_extreme, running_sums
 from tidewatch.operators.sampling import random_rows, stratified_halves, take_smallest
 from tidewatch.functions.hashing import digest
+from tidewatch.session import ROWS_PER_SLICE_KEY
+
+
+@pytest.fixture(params=["plain", "sliced", "levels"])
+def slicing(request, spark, monkeypatch):
+    """Plain windows, one level of slices, and slices that are cut again, with totals carried over blocks."""
+    if request.param != "plain":
+        spark.conf.set(ROWS_PER_SLICE_KEY, "300" if request.param == "sliced" else "40")
+    if request.param == "levels":
+        spark.conf.set(running.SLICES_PER_LEVEL_KEY, "2")
+        monkeypatch.setattr(running, "FAN", 4)
+        monkeypatch.setattr(running, "BLOCK", 4)
+    yield request.param
+    spark.conf.unset(ROWS_PER_SLICE_KEY)
+    spark.conf.unset(running.SLICES_PER_LEVEL_KEY)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +40,7 @@ def test_running_sums_and_totals(hot, slicing):
     pdf, df = hot
     counts = df.groupBy("g", "v").agg(F.count("*").alias("n"), F.sum("w").alias("s"))
     sliced, slices = cut_slices(counts, ["g", "v"], 2000)
-    assert (slices is not None) == (slicing == "sliced")
+    assert (slices is not None) == (slicing != "plain")
     got = running_sums(sliced, ["g"], ["v"], {"cn": "n", "cs": "s"}, {"t": "n"}, slices).toPandas()
     want = pdf.groupby(["g", "v"]).agg(n=("w", "size"), s=("w", "sum")).reset_index()
     want["cn"], want["cs"] = want.groupby("g").n.cumsum(), want.groupby("g").s.cumsum()
@@ -52,6 +68,41 @@ def test_running_extremes_and_last_seen(hot, slicing):
         assert np.array_equal(got[c].astype(float).to_numpy(), want[c].astype(float).to_numpy(), equal_nan=True), c
 
 
+def test_reflected_sums(hot, slicing):
+    pdf, df = hot
+    steps = df.withColumn("back", -F.col("w") - 0.3).withColumn("forth", F.col("w") - 0.3)
+    sliced, slices = cut_slices(steps, ["g", "id"], 2000)
+    got = reflected_sums(sliced, ["g"], ["id"], {"up": "forth", "down": "back"}, slices).toPandas().sort_values("id")
+    for g, rows in got.groupby("g"):
+        up = down = 0.0
+        want = []
+        for w in rows.w:
+            up, down = max(0.0, up + w - 0.3), max(0.0, down - w - 0.3)
+            want.append((up, down))
+        assert np.allclose(rows[["up", "down"]], want, atol=1e-9), g
+    assert [c for c in got.columns if c.startswith("_")] == ([slices] if slices else [])
+
+
+def test_slices_beyond_one_level(hot, spark, monkeypatch):
+    """64 slices from a range partitioner that makes 2: in order, equal keys together, none much too large."""
+    _, df = hot
+    spark.conf.set(ROWS_PER_SLICE_KEY, "32")
+    spark.conf.set(running.SLICES_PER_LEVEL_KEY, "2")
+    monkeypatch.setattr(running, "FAN", 8)
+    try:
+        got, slices = cut_slices(df, ["v", "id"], 2000)
+        got = got.toPandas().sort_values(["v", "id"])
+        ties, _ = cut_slices(df, ["v"], 2000)
+        ties = ties.toPandas()
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_KEY)
+        spark.conf.unset(running.SLICES_PER_LEVEL_KEY)
+    assert len(got) == 2000 and got[slices].is_monotonic_increasing
+    assert got[slices].nunique() > 40 and got[slices].value_counts().max() < 150
+    assert (ties.groupby("v")[slices].nunique() == 1).all() and ties[slices].nunique() > 20
+    assert ties.sort_values("v")[slices].is_monotonic_increasing
+
+
 def test_row_numbers_with_a_hot_key(hot, slicing):
     pdf, df = hot
     got = number_rows(df, ["g"], ["v", "id"], "rn", 2000).toPandas().set_index("id").rn

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.running import number_rows, running_extreme, running_sums
+from tidewatch.operators.running import number_rows, reflected_sums
 from tidewatch.schema import TIME
 
 CHUNK = 100_000
@@ -35,20 +35,16 @@ def sequence_means(windows: DataFrame, features: Sequence[str], tiebreak: Sequen
 def cusum_path(sequence: DataFrame, moments: DataFrame, drift: float = 0.5, warmup: int = 20) -> DataFrame:
     """Running CUSUM value at every step past the warm-up.
 
-    The recursion max(0, s + z - drift) equals the running sum minus its running minimum,
-    so it needs no loop. Long sequences are cut into chunks of steps.
+    The recursion max(0, s + z - drift) is a reflected sum, so it needs no loop. Long sequences are
+    cut into chunks of steps.
     """
     z = (F.col("x") - F.col("mu")) / F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0)
     steps = (sequence.where(F.col("step") >= warmup)
              .join(F.broadcast(moments.select("feature", "mu", "sigma")), "feature")
              .withColumns({"up": z - drift, "down": -z - drift,
                            "_chunk": F.floor(F.col("step") / CHUNK)}))
-    by, order = ["k", "feature"], ["step"]
-    summed = running_sums(steps, by, order, {"c_up": "up", "c_down": "down"}, slices="_chunk")
-    lows = running_extreme(summed, by, order, {"l_up": "c_up", "l_down": "c_down"}, slices="_chunk")
-    zero = F.lit(0.0)
-    return lows.withColumn("cusum", F.greatest(
-        F.col("c_up") - F.least(zero, "l_up"), F.col("c_down") - F.least(zero, "l_down"), zero))
+    paths = reflected_sums(steps, ["k", "feature"], ["step"], {"c_up": "up", "c_down": "down"}, "_chunk")
+    return paths.withColumn("cusum", F.greatest("c_up", "c_down"))
 
 
 def cusum_peaks(path: DataFrame, threshold: str) -> DataFrame:

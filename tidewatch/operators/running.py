@@ -1,28 +1,47 @@
 """Running totals, running extremes and row numbers that never need one task per group.
 
-Up to ``rows_per_slice`` rows a plain window is used. Beyond that the rows are range
-partitioned on their order, the placement is written once, and every partition (slice)
-is processed on its own; a small table with one row per (group, slice) carries the
-totals of the earlier slices forward.
+Up to ``rows_per_slice`` rows a plain window is used. Beyond that rows get a slice number that grows
+with their order, and every slice is processed on its own. Slices are cut level by level: Spark's range
+partitioner samples its boundaries on the driver, so it makes at most ``spark.tidewatch.slicesPerLevel`` slices; where more are
+needed, each of these is cut again by quantiles of a sample of its own, in parallel, until slices are small enough.
+Totals of earlier slices are carried forward in two levels as well: inside blocks of slices, and over blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import materialize, rows_per_slice
 
 SLICE = "_slice"
-# Range boundaries are sampled on the driver; past this many slices they grow instead.
-MAX_SLICES = 20_000
+SLICES_PER_LEVEL_KEY = "spark.tidewatch.slicesPerLevel"
+# Slices that a later level cuts one slice into, and sampled rows for each of them.
+FAN, SAMPLED = 64, 100
+BLOCK = 512
 _POSITION = "_position"
 
 
+def slices_per_level(spark: SparkSession) -> int:
+    return int(spark.conf.get(SLICES_PER_LEVEL_KEY, "4096"))
+
+
 def slice_count(rows: int, per_slice: int) -> int:
-    return min(-(-rows // per_slice), MAX_SLICES)
+    return -(-rows // per_slice)
+
+
+def _cut_again(df: DataFrame, order: Sequence[str], fan: int, slices: int, rows: int) -> DataFrame:
+    """Every slice cut into up to ``fan``, at quantiles of a sample of its keys; equal keys stay together."""
+    key = F.struct(*order)
+    sample = df.select(SLICE, key.alias("_key")).sample(min(1.0, SAMPLED * fan * slices / rows), seed=5)
+    tiled = sample.withColumn("_tile", F.ntile(fan).over(Window.partitionBy(SLICE).orderBy("_key")))
+    cuts = (tiled.groupBy(SLICE, "_tile").agg(F.min("_key").alias("_low")).where(F.col("_tile") > 1)
+            .groupBy(SLICE).agg(F.collect_set("_low").alias("_cuts")))
+    inner = F.size(F.filter("_cuts", lambda low: low <= key))
+    return df.join(cuts, SLICE, "left").withColumn(
+        SLICE, F.col(SLICE) * fan + F.coalesce(inner, F.lit(0))).drop("_cuts")
 
 
 def cut_slices(df: DataFrame, order: Sequence[str], expected_rows: int) -> tuple[DataFrame, str | None]:
@@ -30,19 +49,54 @@ def cut_slices(df: DataFrame, order: Sequence[str], expected_rows: int) -> tuple
 
     Returns the input and ``None`` when it is small enough for plain windows.
     """
-    limit = rows_per_slice(df.sparkSession)
+    spark = df.sparkSession
+    limit = rows_per_slice(spark)
     if expected_rows <= limit:
         return df, None
-    parts = slice_count(expected_rows, limit)
-    ranged = df.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id())
-    return materialize(ranged), SLICE
+    wanted = slice_count(expected_rows, limit)
+    slices = min(wanted, slices_per_level(spark))
+    ranged = df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id().cast("long"))
+    placed = materialize(ranged)
+    while slices < wanted:
+        fan = min(FAN, -(-wanted // slices))
+        placed = materialize(_cut_again(placed, order, fan, slices, expected_rows))
+        slices *= fan
+    return placed, SLICE
+
+
+# How values of earlier slices are put together: over a window or group, and two partial results.
+_KINDS = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+}
+
+
+def carried(per_slice: DataFrame, by: Sequence[str], slices: str, columns: Mapping[str, tuple[str, str]],
+            totals: Mapping[str, str] | None = None) -> DataFrame:
+    """What all earlier slices add up to, one row per (group, slice), and totals of groups.
+
+    ``columns``: output -> (kind, column). Slices are summed up inside blocks of ``BLOCK`` slices, and
+    blocks over the group, so no window holds more rows than a block has slices or a group has blocks.
+    """
+    totals = dict(totals or {})
+    local = per_slice.withColumn("_block", F.floor(F.col(slices) / BLOCK))
+    inside = Window.partitionBy(*by, "_block").orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
 
+    def in_block(kind, column):
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(slices))) if kind == "last" else _KINDS[kind][0](column)
 
-def _carried(per_slice: DataFrame, by: Sequence[str], slices: str,
-             columns: Mapping[str, Column]) -> DataFrame:
-    """Aggregate of all earlier slices, one row per (group, slice)."""
-    before = Window.partitionBy(*by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.select(*by, slices, *[c.over(before).alias(n) for n, c in columns.items()])
+    blocks = local.groupBy(*by, "_block").agg(
+        *[in_block(kind, c).alias(f"_i_{n}") for n, (kind, c) in columns.items()],
+        *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    outer = blocks.select(*by, "_block", *[_KINDS[kind][0](f"_i_{n}").over(over).alias(f"_o_{n}") for n, (kind, _) in columns.items()],
+                          *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals])
+    inner = local.select(*by, slices, "_block", *[_KINDS[kind][0](c).over(inside).alias(f"_i_{n}") for n, (kind, c) in columns.items()])
+    return inner.join(outer, [*by, "_block"]).select(
+        *by, slices, *[_KINDS[kind][1](F.col(f"_o_{n}"), F.col(f"_i_{n}")).alias(n) for n, (kind, _) in columns.items()], *totals)
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str],
@@ -66,18 +120,39 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: M
     per_slice = df.groupBy(*keys).agg(
         *[F.sum(c).alias(f"_p_{n}") for n, c in sums.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-    before = Window.partitionBy(*by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    carried = per_slice.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals])
+    earlier = carried(per_slice, by, slices, {f"_b_{n}": ("sum", f"_p_{n}") for n in sums}, {n: f"_t_{n}" for n in totals})
     local = df.withColumns({n: F.sum(c).over(ordered) for n, c in sums.items()})
-    joined = local.join(carried, keys)
+    joined = local.join(earlier, keys)
     return joined.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop(
         *[f"_b_{n}" for n in sums])
 
 
+def reflected_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str],
+                   slices: str | None = None) -> DataFrame:
+    """Add running sums that are set back to 0 where they would fall below: max(0, s + x) row by row.
+
+    That is the running sum above the least value it has had, 0 included. A run of rows acts on what follows
+    as a pair (its sum, the least of its running sums), and pairs of neighbouring runs combine to a pair, so slices are
+    folded to pairs and only pairs are carried; rows are shuffled once.
+    """
+    keys = [*by, slices] if slices else list(by)
+    ordered = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumns({f"_s_{n}": F.sum(c).over(ordered) for n, c in sums.items()})
+    local = local.withColumns({f"_m_{n}": F.min(f"_s_{n}").over(ordered) for n in sums})
+    zero = F.lit(0.0)
+    if slices is None:
+        out = {n: F.col(f"_s_{n}") - F.least(zero, F.col(f"_m_{n}")) for n in sums}
+        return local.withColumns(out).drop(*[f"_{k}_{n}" for k in "sm" for n in sums])
+    pairs = local.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
+                                     *[F.min(f"_m_{n}").alias(f"_l_{n}") for n in sums])
+    before = carried(pairs, by, slices, {f"_b_{n}": ("sum", f"_t_{n}") for n in sums})
+    pairs = pairs.join(before, keys).withColumns({f"_l_{n}": F.col(f"_b_{n}") + F.col(f"_l_{n}") for n in sums})
+    least = carried(pairs, by, slices, {f"_e_{n}": ("min", f"_l_{n}") for n in sums})
+    starts = before.join(least, keys)
+    out = {n: F.col(f"_b_{n}") + F.col(f"_s_{n}") - F.least(zero, F.col(f"_e_{n}"), F.col(f"_b_{n}") + F.col(f"_m_{n}")) for n in sums}
+    return local.join(starts, keys).withColumns(out).drop(*[f"_{k}_{n}" for k in "smbe" for n in sums])
+
+
 def running_extreme(df: DataFrame, by: Sequence[str], order: Sequence[str],
                     minima: Mapping[str, str] | None = None, maxima: Mapping[str, str] | None = None,
                     slices: str | None = None) -> DataFrame:
@@ -93,10 +168,9 @@ def running_extreme(df: DataFrame, by: Sequence[str], order: Sequence[str],
         return local
     per_slice = df.groupBy(*keys).agg(*[F.min(c).alias(f"_p_{n}") for n, c in minima.items()],
                                       *[F.max(c).alias(f"_p_{n}") for n, c in maxima.items()])
-    carried = _carried(per_slice, by, slices, {
-        **{f"_b_{n}": F.min(f"_p_{n}") for n in minima},
-        **{f"_b_{n}": F.max(f"_p_{n}") for n in maxima}})
-    joined = local.join(carried, keys)
+    earlier = carried(per_slice, by, slices, {**{f"_b_{n}": ("min", f"_p_{n}") for n in minima},
+                                              **{f"_b_{n}": ("max", f"_p_{n}") for n in maxima}})
+    joined = local.join(earlier, keys)
     merged = {n: F.least(n, f"_b_{n}") for n in minima}
     merged.update({n: F.greatest(n, f"_b_{n}") for n in maxima})
     return joined.withColumns(merged).drop(*[f"_b_{n}" for n in (*minima, *maxima)])
@@ -114,8 +188,8 @@ def last_seen(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Col
     rank = F.struct(*order)
     per_slice = df.where(value.isNotNull()).groupBy(*keys).agg(F.max_by(value, rank).alias("_p"))
     grid = df.select(*keys).distinct().join(per_slice, keys, "left")
-    carried = _carried(grid, by, slices, {"_b": F.last("_p", ignorenulls=True)})
-    return local.join(carried, keys).withColumn(out, F.coalesce(out, "_b")).drop("_b")
+    earlier = carried(grid, by, slices, {"_b": ("last", "_p")})
+    return local.join(earlier, keys).withColumn(out, F.coalesce(out, "_b")).drop("_b")
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, expected_rows: int,
@@ -132,15 +206,20 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
             made[size] = F.count("*").over(whole)
         return df.withColumns(made)
     parts = slice_count(expected_rows, rows_per_slice(df.sparkSession))
+    totals = {size: "_n"} if size else {}
+    if parts > slices_per_level(df.sparkSession):
+        placed, slices = cut_slices(df, [*by, *order], expected_rows)
+        ordered = Window.partitionBy(*by, slices).orderBy(*order)
+        per_slice = placed.groupBy(*by, slices).agg(F.count("*").alias("_n"))
+        earlier = carried(per_slice, by, slices, {"_before": ("sum", "_n")}, totals)
+        return (placed.withColumn(_POSITION, F.row_number().over(ordered) - 1).join(earlier, [*by, slices])
+                .withColumn(out, F.col("_before") + F.col(_POSITION)).drop(_POSITION, slices, "_before"))
     placed = materialize(
         df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
         .withColumn(_POSITION, F.monotonically_increasing_id()))
     placed = placed.withColumn(SLICE, F.shiftright(_POSITION, 33))
     per_slice = placed.groupBy(*by, SLICE).agg(F.count("*").alias("_n"), F.min(_POSITION).alias("_first"))
-    before = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(*by, SLICE, "_first",
-                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-                               *([F.sum("_n").over(whole).alias(size)] if size else []))
-    return (placed.join(carried, [*by, SLICE])
+    earlier = carried(per_slice, by, SLICE, {"_before": ("sum", "_n")}, totals)
+    return (placed.join(per_slice.drop("_n"), [*by, SLICE]).join(earlier, [*by, SLICE])
             .withColumn(out, F.col("_before") + F.col(_POSITION) - F.col("_first"))
             .drop(_POSITION, SLICE, "_first", "_before"))
