@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import kolmogorov_quantile, ks_critical, ks_p_value
 from tidewatch.operators import cusum, drift, windows
+from tidewatch.operators import sequential as sq
+from tidewatch.session import ROWS_PER_SLICE_KEY
 from tidewatch.operators.sequential import sequential_cusum
 
 HOUR = windows.HOUR
@@ -216,3 +218,31 @@ def test_sequential_detector(spark, slicing):
     assert np.allclose(got.statistic, [w[0] for w in want], atol=1e-9)
     assert got.alert.tolist() == [w[1] for w in want] and sum(got.alert) > 5
     assert got.n_window.tolist() == list(range(1, 1301))
+
+
+def test_transfers_give_the_end_of_any_start():
+    rng = np.random.default_rng(0)
+    for trial in range(1500):
+        threshold, step = rng.choice([0.5, 2.0, 5.0]), rng.choice([0.0, 0.2, 0.5])
+        z = rng.normal(rng.choice([-1, 0, 1.0]), rng.choice([.1, 1, 3]), rng.integers(0, 60))
+        z = np.round(z) if trial % 7 == 0 else z
+        pos, neg = rng.random(2) * threshold * rng.choice([0, 1], 2)
+        want = sq.walk(z, np.ones(len(z), bool), pos, neg, threshold, step)[2:]
+        assert np.allclose(sq.apply_transfer(sq.transfer(z, threshold, step), pos, neg, threshold), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("drift_", [0.0, 0.5])
+def test_every_slice_starts_away_from_zero(spark, drift_):
+    """Small steady steps: a sum grows over many slices, so no slice starts in the state (0, 0) that one would guess."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 60), np.full(1940, 0.51 if drift_ else 0.01) + rng.normal(0, 1e-4, 1940)])
+    df = spark.createDataFrame(pd.DataFrame({"timestamp": pd.date_range("2024-01-01", periods=2000, freq="s"), "id": np.arange(2000), "v": x}))
+    spark.conf.set(ROWS_PER_SLICE_KEY, "40")
+    try:
+        got = sequential_cusum(df, ["v"], ["id"], threshold=6.0, drift=drift_, warmup=50).toPandas().sort_values("id")
+        starts = got[(got.n_window > 61) & (got.n_window % 40 == 0)].statistic
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_KEY)
+    want = sequential_loop(x, 6.0, 50, drift_)
+    assert np.allclose(got.statistic, [w[0] for w in want], atol=1e-9) and got.alert.tolist() == [w[1] for w in want]
+    assert (starts > 0).all() and len(starts) > 40

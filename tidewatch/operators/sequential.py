@@ -1,10 +1,12 @@
 """Sequential CUSUM over a whole ordered stream: own baseline, reset after each alarm.
 
-The state after a reset depends on everything before it, so the recursion is not a plain
-prefix operation. It is still run in parallel: every slice of the time axis starts from a
-guessed state, slices whose guess turns out wrong are run again from the state their
-predecessor ended in, and the loop ends when all guesses hold. Two paths meet as soon as
-both sit at zero, so a few rounds settle long streams; the result is exact in any case.
+The state after a reset depends on everything before it, so the recursion is not a plain prefix
+operation. Still two passes over the rows are enough, however the stream is cut into slices. What a slice
+does to *any* start state is a small table: before its first alarm a sum is the larger of (start + sum of steps so
+far) and of what it would be from 0, so a start state can bring the first alarm forward only to a place where the sum of
+steps reaches a new high, and what follows an alarm does not depend on the start. The first pass
+computes these tables (``transfers``), one row a slice; they are applied one after the other to give every slice its true
+start state (``start_states``); the second pass walks each slice from there.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from tidewatch.operators.running import number_rows
 from tidewatch.schema import TIME
 from tidewatch.session import materialize, rows_per_slice
 
+BLOCK = 4096
+TRANSFER = ("feature string, part int, "
+            + ", ".join(f"{side}_high array<double>, {side}_at array<long>, {side}_pos array<double>, {side}_neg array<double>" for side in ("up", "down"))
+            + ", alarm_at long, pos double, neg double, up_sum double, down_sum double")
+
 
 def walk(z: np.ndarray, usable: np.ndarray, pos: float, neg: float, threshold: float, drift: float,
          ) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -39,6 +46,74 @@ def walk(z: np.ndarray, usable: np.ndarray, pos: float, neg: float, threshold: f
     return statistic, alarm, pos, neg
 
 
+def _run(up: np.ndarray, down: np.ndarray, at: int, threshold: float) -> tuple[int | None, float, float]:
+    """From state (0, 0) before row ``at``: the row of the first alarm, or None and the state at the end."""
+    pos = neg = 0.0
+    for a in range(at, len(up), BLOCK):
+        paths = []
+        for step, start in ((up[a:a + BLOCK], pos), (down[a:a + BLOCK], neg)):
+            total = start + np.cumsum(step)
+            paths.append(total - np.minimum(np.minimum.accumulate(total), 0.0))
+        hits = np.flatnonzero(np.maximum(*paths) > threshold)
+        if len(hits):
+            return a + int(hits[0]), 0.0, 0.0
+        pos, neg = float(paths[0][-1]), float(paths[1][-1])
+    return None, pos, neg
+
+
+def transfer(z: np.ndarray, threshold: float, drift: float) -> dict[str, object]:
+    """What a slice of usable values does to any start state with sums up to the threshold.
+
+    ``alarm_at``: first alarm from (0, 0), and ``pos``, ``neg``: the state at the end from there. ``up_*`` and ``down_*``: rows before
+    it where the sum of steps of a side reaches a new high; a start above threshold - high alarms there, and ends in (pos, neg).
+    ``up_sum``, ``down_sum``: sums of all steps, for slices that start and end without an alarm.
+    """
+    up, down = z - drift, -z - drift
+    ends: dict[int, tuple[float, float]] = {}  # state at the end after an alarm at a row
+
+    def end_after(row: int) -> tuple[float, float]:
+        path = []
+        while row not in ends:
+            path.append(row)
+            following, pos, neg = _run(up, down, row + 1, threshold)
+            if following is None:
+                ends[row] = (pos, neg)
+            else:
+                row = following
+        for r in path:
+            ends[r] = ends[row]
+        return ends[row]
+
+    first, pos, neg = _run(up, down, 0, threshold)
+    if first is not None:
+        pos, neg = end_after(first)
+    out: dict[str, object] = {"alarm_at": first, "pos": pos, "neg": neg, "up_sum": float(up.sum()), "down_sum": float(down.sum())}
+    for side, steps in (("up", up), ("down", down)):
+        total = np.cumsum(steps[:first])
+        before = np.maximum(np.r_[0.0, np.maximum.accumulate(total)[:-1]] if len(total) else total, 0.0)
+        rows = np.flatnonzero(total > before)
+        states = [end_after(int(r)) for r in rows]
+        out[f"{side}_high"], out[f"{side}_at"] = total[rows].tolist(), rows.tolist()
+        out[f"{side}_pos"], out[f"{side}_neg"] = [s[0] for s in states], [s[1] for s in states]
+    return out
+
+
+def apply_transfer(table: dict[str, object], pos: float, neg: float, threshold: float) -> tuple[float, float]:
+    """The state after a slice that starts in (pos, neg)."""
+    found = []
+    for side, start in (("up", pos), ("down", neg)):
+        high = np.asarray(table[f"{side}_high"], float)
+        # Highs rise along the slice: the first one that lifts the start over the threshold.
+        k = int(np.searchsorted(start + high, threshold, "right"))
+        if k < len(high):
+            found.append((int(table[f"{side}_at"][k]), float(table[f"{side}_pos"][k]), float(table[f"{side}_neg"][k])))
+    if found:
+        return min(found)[1:]
+    if table["alarm_at"] is not None and not pd.isna(table["alarm_at"]):
+        return float(table["pos"]), float(table["neg"])
+    return max(pos + table["up_sum"], float(table["pos"])), max(neg + table["down_sum"], float(table["neg"]))
+
+
 def baselines(long: DataFrame, order: Sequence[str], warmup: int) -> DataFrame:
     """(feature, mu, sigma, last) from the first ``warmup`` finite values of each feature."""
     head = first_per_group(long.where(finite(F.col("x"))), ["feature"], order, warmup)
@@ -66,56 +141,47 @@ def sequential_cusum(df: DataFrame, features: Sequence[str], tiebreak: Sequence[
                          size * len(features))
     span = rows_per_slice(df.sparkSession)
     placed = placed.withColumn("part", F.floor(F.col("position") / F.lit(span)).cast("int"))
-    parts = -(-size // span)
-    if parts > 1:
+    if size > span:
         placed = materialize(placed)
-    starts = settle(placed, threshold, drift, parts)
-    return emit(placed, starts, threshold, drift, ts, tiebreak, df.agg(F.min(ts).alias("first_ts")))
+        starts = start_states(transfers(placed, threshold, drift), threshold)
+        placed = placed.join(starts, ["feature", "part"])
+    else:
+        placed = placed.withColumns({"pos": F.lit(0.0), "neg": F.lit(0.0)})
+    return emit(placed, threshold, drift, ts, tiebreak, df.agg(F.min(ts).alias("first_ts")))
 
 
-def settle(placed: DataFrame, threshold: float, drift: float, parts: int) -> dict[tuple[str, int], tuple[float, float]]:
-    """Start states of every (feature, slice), found by repeating slices until they agree."""
-    if parts <= 1:
-        return {}
-    spark = placed.sparkSession
-    starts: dict[tuple[str, int], tuple[float, float]] = {}
-    ends: dict[tuple[str, int], tuple[float, float]] = {}
-    pending = {(r[0], r[1]) for r in placed.select("feature", "part").distinct().collect()}
+def transfers(placed: DataFrame, threshold: float, drift: float) -> DataFrame:
+    """One row per (feature, slice): what the slice does to any start state."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.sort_values("position").loc[lambda d: d["usable"], "z"].to_numpy()
+        row = {"feature": pdf["feature"].iat[0], "part": pdf["part"].iat[0], **transfer(z, threshold, drift)}
+        return pd.DataFrame({k: pd.Series([v], dtype="Int64" if k == "alarm_at" else None) for k, v in row.items()})
+
+    return placed.select("feature", "part", "position", "z", "usable").groupBy("feature", "part").applyInPandas(run, TRANSFER)
 
+
+def start_states(tables: DataFrame, threshold: float) -> DataFrame:
+    """(feature, part, pos, neg): the state each slice starts in. A feature's group has one row per slice."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        _, _, pos, neg = walk(pdf["z"].to_numpy(), pdf["usable"].to_numpy(), pdf["pos"].iat[0], pdf["neg"].iat[0],
-                              threshold, drift)
-        return pd.DataFrame({"feature": [pdf["feature"].iat[0]], "part": [pdf["part"].iat[0]], "pos": [pos], "neg": [neg]})
-
-    while pending:
-        todo = spark.createDataFrame([(f, p, *starts.get((f, p), (0.0, 0.0))) for f, p in sorted(pending)],
-                                     "feature string, part int, pos double, neg double")
-        found = placed.join(todo, ["feature", "part"]).select(
-            "feature", "part", "position", "z", "usable", "pos", "neg").groupBy("feature", "part").applyInPandas(
-            run, "feature string, part int, pos double, neg double")
-        for r in found.collect():
-            ends[(r.feature, r.part)] = (r.pos, r.neg)
-        pending = set()
-        for (feature, part), state in ends.items():
-            after = (feature, part + 1)
-            if after in ends and starts.get(after, (0.0, 0.0)) != state:
-                starts[after] = state
-                pending.add(after)
-    return starts
-
-
-def emit(placed: DataFrame, starts: dict, threshold: float, drift: float, ts: str, tiebreak: Sequence[str],
-         first: DataFrame) -> DataFrame:
-    """The output rows of every slice from its settled start state."""
+        pos = neg = 0.0
+        out = []
+        for row in pdf.sort_values("part").to_dict("records"):
+            out.append((row["feature"], row["part"], pos, neg))
+            pos, neg = apply_transfer(row, pos, neg, threshold)
+        return pd.DataFrame(out, columns=["feature", "part", "pos", "neg"])
+
+    return tables.groupBy("feature").applyInPandas(run, "feature string, part int, pos double, neg double")
+
+
+def emit(placed: DataFrame, threshold: float, drift: float, ts: str, tiebreak: Sequence[str], first: DataFrame) -> DataFrame:
+    """The output rows of every slice from its start state (pos, neg)."""
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     columns = ["feature", ts, *tiebreak, "position", "z", "usable"]
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", statistic double, alert boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
-        pos, neg = starts.get((pdf["feature"].iat[0], int(pdf["part"].iat[0])), (0.0, 0.0))
-        statistic, alarm, _, _ = walk(pdf["z"].to_numpy(), pdf["usable"].to_numpy(), pos, neg, threshold, drift)
+        statistic, alarm, _, _ = walk(pdf["z"].to_numpy(), pdf["usable"].to_numpy(), pdf["pos"].iat[0], pdf["neg"].iat[0], threshold, drift)
         return pdf[columns].assign(statistic=statistic, alert=alarm)
 
     out = placed.groupBy("feature", "part").applyInPandas(run, schema)
