@@ -1,8 +1,12 @@
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import preprocess, realized, shifts
 from tidewatch.operators.split import TemporalLeakageError
+from tidewatch.plans.models import fit_model
 from tidewatch.schema import FeaturePolicyError, flow_features, select_feature_set, split_by_type, without_groups
 from tidewatch.sources import views
 
@@ -75,7 +79,25 @@ def test_feature_fit_is_training_only(flows):
     with pytest.raises(FeaturePolicyError):
         preprocess.fit_features(flows, ["label"])
     vectors = fitted.vectors(flows.limit(2))
-    assert vectors.schema["features"].metadata["feature_names"] == fitted.names
+    assert vectors.schema["features"].metadata["feature_names"] == fitted.names and vectors.columns == [*flows.columns, "features"]
+    same = fitted.vectors(flows, "f").select("event_id", vector_to_array("f").alias("f")).join(fitted.wide(flows, ["event_id"]), "event_id").limit(50).toPandas()
+    assert np.allclose(np.stack(same.f), same[fitted.names])
+
+
+def test_a_category_of_many_levels(spark):
+    """10,001 levels with nulls and unseen ones fit, score and give the same vectors as single comparisons would."""
+    rng = np.random.default_rng(4)
+    level = np.r_[np.arange(10_001), rng.integers(0, 10_001, 9_999)]
+    pdf = pd.DataFrame({"id": np.arange(20_000), "label": (level % 2).astype(int), "amount": rng.normal(0, 1, 20_000), "host": [f"h{i:05d}" for i in level]})
+    df = spark.createDataFrame(pdf)
+    fitted = preprocess.fit_features(df, ["amount"], ["host"])
+    assert len(fitted.names) == 10_002 and fitted.names[1] == "host=h00000"
+    rows = spark.createDataFrame([(1, 0.0, "h00000"), (2, 0.0, "h10000"), (3, 0.0, "unseen"), (4, 0.0, None)], "id int, amount double, host string")
+    places = {r.id: sorted(int(i) for i in r.features.indices) for r in fitted.vectors(rows).collect()}
+    assert {k: [i for i in v if i] for k, v in places.items()} == {1: [1], 2: [10_001], 3: [], 4: []}
+    model = fit_model("logistic_regression", df, fitted, {"max_iter": 10})
+    scored = model.score(df).toPandas()
+    assert ((scored.y_score > 0.5) == scored.label).mean() > 0.95
 
 
 def test_feature_lists(flows):

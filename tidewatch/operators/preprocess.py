@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,6 @@ from tidewatch.operators.split import require_no_later_rows
 from tidewatch.operators.twosample import melt
 from tidewatch.schema import check_model_inputs
 
-MAX_LEVELS = 10_000
-
 
 @dataclass(frozen=True)
 class FittedFeatures:
@@ -59,11 +57,29 @@ class FittedFeatures:
         return df.select(*keep, *[c.alias(n) for n, c in self.columns().items()])
 
     def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
-        """The table with one dense feature vector for MLlib; names go to the column metadata."""
-        made = {f"_f{i}": c for i, c in enumerate(self.columns().values())}
-        full = df.withColumns(made)
-        assembled = VectorAssembler(inputCols=list(made), outputCol=out, handleInvalid="keep").transform(full)
-        return assembled.withMetadata(out, {"feature_names": self.names}).drop(*made)
+        """The table with one feature vector for MLlib; names go to the column metadata.
+
+        Each category is one sparse vector over its levels, however many there are: a level's place is looked up in the fitted
+        index, and levels that are unseen or null share a place past the last one, which the encoder leaves out.
+        """
+        mark = "_"
+        while any(c.startswith(mark) for c in [*df.columns, out]):
+            mark += "_"
+        made = {f"{mark}f{i}": self.scaled(c) for i, c in enumerate(self.numeric)}
+        full, parts = df.withColumns(made), list(made)
+        for i, c in enumerate(self.categorical):
+            name, index, hot = f"{mark}c{i}", f"{mark}i{i}", f"{mark}h{i}"
+            value = F.col(c).cast("string")
+            full = full.withColumn(name, F.coalesce(value, F.lit(self.modes[c])) if c in self.modes else value)
+            if not self.levels[c]:
+                continue
+            indexer = StringIndexerModel.from_labels(list(self.levels[c]), inputCol=name, outputCol=index, handleInvalid="keep")
+            full = indexer.transform(full)
+            full = OneHotEncoder(inputCols=[index], outputCols=[hot], dropLast=True).fit(full).transform(full)
+            parts.append(hot)
+        assembled = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(full)
+        added = [x for x in assembled.columns if x not in df.columns and x != out]
+        return assembled.withMetadata(out, {"feature_names": self.names}).drop(*added)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the fitted state as one JSON row."""
@@ -112,10 +128,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     levels = {}
     for c in categorical:
         seen = train.select(F.col(c).cast("string").alias(c)).distinct().where(F.col(c).isNotNull())
-        names = [r[0] for r in seen.orderBy(c).limit(MAX_LEVELS + 1).collect()]
-        if len(names) > MAX_LEVELS:
-            raise ValueError(f"{c!r} has more than {MAX_LEVELS} levels; it is not a category")
-        levels[c] = tuple(names)
+        levels[c] = tuple(r[0] for r in seen.orderBy(c).collect())
     return FittedFeatures(
         tuple(numeric), tuple(categorical),
         {c: stats[f"m_{i}"] or 0.0 for i, c in enumerate(numeric)},

@@ -237,3 +237,18 @@ def shift_catalogue(spark, folder):
     """Every model with every shift setting."""
     models = views.table(spark, folder, "lineitem").select(F.col("l_linestatus").alias("model")).distinct()
     return models.select("model", F.inline(fixed_rows(["kind", "magnitude"], shifts.catalogue())))
+
+
+@query("one_hot_many_levels", f"""WITH {FL}, {cuts_sql("fl")}, lv AS (SELECT level, row_number() OVER (ORDER BY level COLLATE "C") AS place FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS level FROM sp WHERE period = 'train'))
+SELECT coalesce(CAST(place AS BIGINT), 0) AS place, level, CAST(count(*) AS BIGINT) AS row_count FROM sp LEFT JOIN lv ON level = CAST(l_orderkey AS VARCHAR) GROUP BY ALL""")
+def one_hot_many_levels(spark, folder):
+    """Rows at each place of a sparse vector over all orders of the training period; place 0 is the scaled quantity, here of rows
+    whose order is not known from training."""
+    items = views.lineitem_common(spark, folder)
+    cuts = split.find_cuts(views.lineitem_flows(spark, folder))
+    train = cuts.period(items, "train")
+    fitted = preprocess.fit_features(train, ["forward_packets"], ["l_orderkey"])
+    filled = F.filter(F.unwrap_udt("features")["indices"], lambda i: i > 0)
+    placed = fitted.vectors(items).select(F.coalesce(F.try_element_at(filled, F.lit(1)), F.lit(0)).cast("long").alias("place"))
+    names = spark.createDataFrame([(i + 1, v) for i, v in enumerate(fitted.levels["l_orderkey"])], "place long, level string")
+    return placed.groupBy("place").agg(F.count("*").alias("row_count")).join(names, "place", "left").select("place", "level", "row_count")
