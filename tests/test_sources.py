@@ -182,3 +182,22 @@ def test_run_folder_audit(spark, tmp_path):
     assert kinds == {"1_temporal_a": "temporal", "2_temporal_b": "temporal"}
     assert runs.texts(spark, root).where("text LIKE '%NaN%'").count() == 1
     assert audit.reproduction_errors(runs.strategy_rows(docs), runs.model_rows(docs)).where("run = '1_temporal_a'").isEmpty()
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path):
+    """A file of 3 GB (sparse, so it takes no disk), an empty one that Spark does not list, and names that a URI has to escape."""
+    folder = tmp_path / "d"
+    folder.mkdir()
+    contents = {"a b+c%20d.bin": b"plain", "empty.bin": b"", "\u00e9.bin": b"x" * 100_000}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    with (folder / "large.bin").open("wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    want = hashlib.sha256(b"head")
+    block = bytes(1 << 20)
+    for i in range(3 << 10):
+        want.update(block[:-4] if i == 0 else block)
+    got = {r.file: r for r in files.file_hashes(spark, str(folder)).collect()}
+    assert got["large.bin"].sha256 == want.hexdigest() and got["large.bin"].length == 3 << 30
+    assert {n: r.sha256 for n, r in got.items() if n != "large.bin"} == {n: hashlib.sha256(d).hexdigest() for n, d in contents.items() if d}

@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHUNK = 8 << 20
+MOST_TASKS = 10_000
+# Schemes of stores that tasks open themselves, as Arrow names them; others are read by Spark.
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of whole files of any size, a few MB in memory at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for uri in batch["uri"]:
+            store, path = fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(path, buffer_size=0) as stream:
+                while block := stream.read(CHUNK):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": out})
+
+
+def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, file, length, sha256) per file. Spark lists the files; a task streams one file through the hash.
+
+    Files in stores that only Spark reads are taken from its binary reader, which holds files of up to 2 GB. Spark does
+    not list empty files; a manifest reports them as missing.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    facts = listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    scheme = F.regexp_extract("path", r"^([A-Za-z0-9]+):", 1)
+    stores = [(r.scheme, r.n) for r in facts.groupBy(scheme.alias("scheme")).agg(F.count("*").alias("n")).collect()]
+    if any(name not in OPENED for name, _ in stores):
+        return listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    names = F.create_map(*[F.lit(x) for pair in OPENED.items() for x in pair])
+    # A path may hold characters that a URI cannot.
+    rest = F.replace(F.url_encode(F.regexp_extract("path", r"^[A-Za-z0-9]+:/*(.*)$", 1)), F.lit("%2F"), F.lit("/"))
+    slashes = F.when(scheme == "file", F.lit(":///")).otherwise(F.lit("://"))
+    uris = facts.select("path", F.concat(names[scheme], slashes, F.replace(rest, F.lit("+"), F.lit("%20"))).alias("uri"))
+    tasks = max(1, min(MOST_TASKS, sum(n for _, n in stores)))
+    return facts.join(uris.repartition(tasks, "path").mapInPandas(_digests, "path string, sha256 string"), "path")
+
 
 def file_facts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(file, row_count, sha256) per file; rows are lines below a header line."""
-    blobs = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-             .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256")))
     lines = (spark.read.option("pathGlobFilter", pattern).text(folder)
              .groupBy(F.col("_metadata.file_name").alias("file"))
              .agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("row_count")))
-    return blobs.join(lines, "file", "left").na.fill(0, ["row_count"])
+    return file_hashes(spark, folder, pattern).select("file", "sha256").join(lines, "file", "left").na.fill(0, ["row_count"])
 
 
 def manifest_check(facts: DataFrame, manifest: DataFrame) -> DataFrame:
