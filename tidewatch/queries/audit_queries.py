@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import audit, metrics
+from tidewatch.operators import audit, documents, metrics
 from tidewatch.queries.base import query
 from tidewatch.queries.metric_queries import rates_sql
 from tidewatch.sources import flows as readers
@@ -387,3 +387,46 @@ def comparison_table(spark, folder):
 @query("set_differences", f"WITH {_STATIC} SELECT a.model, round(a.f1 - b.f1, 9) AS f1_score_difference, round(a.false_positive_rate - b.false_positive_rate, 9) AS false_positive_rate_difference FROM sm a JOIN sm b ON a.model = b.model WHERE a.feature_set = 'FULL_METADATA' AND b.feature_set = 'RESTRICTED_METADATA'")
 def set_differences(spark, folder):
     return _rounded(audit.set_differences(static_rows(spark, folder), *_SETS), "f1_score_difference", "false_positive_rate_difference")
+
+
+_USERS = """u AS (SELECT user_id, 'user' || user_id AS run, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id),
+done AS (SELECT * FROM u WHERE user_id % 11 <> 0), live AS (SELECT * FROM done WHERE user_id % 7 <> 0)"""
+
+
+@query("run_document_problems", f"""WITH {_USERS}
+SELECT run, 'unfinished' AS "check", '' AS item, NULL AS value FROM u WHERE user_id % 11 = 0 UNION ALL SELECT run, 'superseded', '', 'by ' || run FROM done WHERE user_id % 7 = 0
+UNION ALL SELECT run, 'metadata', 'dataset', NULL FROM live WHERE user_id % 9 = 1 UNION ALL SELECT run, 'package_version', 'pandas', NULL FROM live WHERE user_id % 9 = 2
+UNION ALL SELECT run, 'temporal_split', 'train_count', NULL FROM live WHERE clicks = 0 UNION ALL SELECT run, 'temporal_split', 'forward_period', NULL FROM live WHERE user_id % 9 = 3
+UNION ALL SELECT run, 'drift_summary', '', NULL FROM live WHERE n < 20 UNION ALL SELECT run, 'drift_table', '', NULL FROM live WHERE n < 5
+UNION ALL SELECT run, 'period', 'random_forest.backtest', NULL FROM live WHERE user_id % 9 = 4 UNION ALL SELECT run, 'metric', 'majority.backtest.roc_auc', NULL FROM live WHERE user_id % 5 = 0
+UNION ALL SELECT run, 'number', 'random_forest.result.forward.curve[' || (n - 1) || ']', 'NaN' FROM live WHERE user_id % 13 = 0
+UNION ALL SELECT run, 'calibration', 'random_forest', NULL FROM live WHERE user_id % 3 = 0 UNION ALL SELECT run, 'calibration_metric', 'majority.forward.ece', NULL FROM live WHERE user_id % 4 = 0""")
+def run_document_problems(spark, folder):
+    """Documents of one run per user with planted gaps; the audit has to list exactly those."""
+    events = views.table(spark, folder, "events").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"),
+        F.array_sort(F.collect_list(F.round("value", 3).cast("string"))).alias("values"))
+    runs = events.withColumn("run", F.concat(F.lit("user"), "user_id"))
+    of = lambda k, r: F.pmod("user_id", F.lit(k)) == r
+
+    def part(text, unless=None):
+        text = F.lit(text) if isinstance(text, str) else text
+        return text if unless is None else F.when(unless, "").otherwise(text)
+
+    packages = F.concat(part('"package_versions":{"python":"3","numpy":"2","scikit-learn":"1","pandas":'), F.when(of(9, 2), '"not installed"').otherwise('"2"'), part("},"))
+    bounds = F.concat(part('"temporal_split":{"train_period":["a","b"],"validation_period":["b","c"],"backtest_period":["c","d"],'),
+                      part('"forward_period":["d","e"],', of(9, 3)), part('"train_count":'), F.col("clicks").cast("string"), part("}"))
+    metadata = F.concat(part('{"git_commit":"abc","random_seed":0,"feature_schema_hash":"h",'), part('"dataset":"events",', of(9, 1)),
+                        F.when(of(7, 0), F.concat(F.lit('"superseded":{"reason":"by '), "run", F.lit('"},'))).otherwise(""), packages, bounds, part("}"))
+    measures = '"precision":0.5,"recall":0.5,"f1":0.5,"pr_auc":null,"false_positive_rate":0.1,"balanced_accuracy":0.5'
+    ranking = ',"roc_auc":null'
+    curve = F.concat(part(',"curve":['), F.array_join(F.when(of(13, 0), F.concat(F.slice("values", 1, F.greatest(F.col("n").cast("int") - 1, F.lit(0))), F.array(F.lit("NaN")))).otherwise(F.col("values")), ","), part("]"))
+    majority = F.concat(part(f'{{"result":{{"model":"majority","backtest":{{{measures}'), part(ranking, of(5, 0)), part(f'}},"forward":{{{measures}{ranking}}}}}}}'))
+    forest = F.concat(part('{"result":{"model":"random_forest",'), part(f'"backtest":{{{measures}{ranking}}},', of(9, 4)), part(f'"forward":{{{measures}{ranking}'), curve, part("}}}"))
+    summary = F.when(F.col("n") < 20, "{}").otherwise(F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit("}")))
+    metrics = F.concat(part('{"models":['), majority, part(","), forest, part('],"drift_summary":'), summary, part("}"))
+    docs = runs.select("run", documents.parsed(metadata).alias("metadata"), documents.parsed(F.when(~of(11, 0), metrics)).alias("metrics"), (F.col("n") >= 5).alias("drift_table"))
+    calibration = F.concat(part('{"backtest":{"brier":0.1,"ece":0.1},"forward":{"brier":0.1,"ece":'), F.when(of(4, 0) & (F.col("model") == "majority"), "null").otherwise("0.1"), part("}}"))
+    calibrations = runs.select("run", "user_id", F.explode(F.array(F.lit("majority"), F.lit("random_forest"))).alias("model")).where(
+        ~(of(3, 0) & (F.col("model") == "random_forest"))).select("run", "model", documents.parsed(calibration).alias("document"))
+    return documents.run_problems(docs, calibrations)

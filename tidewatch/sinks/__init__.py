@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ONCE = "errorifexists"
 
@@ -38,9 +39,26 @@ def write_document(df: DataFrame, root: str, run: str, name: str) -> str:
     return path
 
 
+def _private(name: str) -> bool:
+    return name.startswith("_") or name.endswith("_object")
+
+
+def _pruned(kind: T.DataType, value: Column) -> Column:
+    """A value without internal fields and keys at any depth; map keys become text, as JSON has no others."""
+    if isinstance(kind, T.StructType):
+        kept = [_pruned(f.dataType, value[f.name]).alias(f.name) for f in kind.fields if not _private(f.name)]
+        return F.when(value.isNotNull(), F.struct(*kept)) if kept else F.when(value.isNotNull(), F.create_map().cast("map<string,string>"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _pruned(kind.elementType, v))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), _pruned(kind.valueType, e["value"]).alias("value")))
+        return F.map_from_entries(F.filter(entries, lambda e: ~(e["key"].startswith("_") | e["key"].endswith("_object"))))
+    return value
+
+
 def public(df: DataFrame) -> DataFrame:
-    """Without internal columns (``_x`` or ``x_object``)."""
-    return df.select(*[c for c in df.columns if not (c.startswith("_") or c.endswith("_object"))])
+    """Without internal columns, fields and map keys (``_x`` or ``x_object``), however deep they lie."""
+    return df.select(*[_pruned(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields if not _private(f.name)])
 
 
 def public_map(column: str):
