@@ -7,45 +7,81 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import schema
-from tidewatch.operators.combine import with_row
+from tidewatch.operators.combine import fixed_rows, with_row
 from tidewatch.operators.twosample import melt
 
 
+def _hashable(kind: T.DataType, value: Column) -> Column:
+    """Values that count as equal must hash alike: -0.0 is 0.0."""
+    return value + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else value
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Nulls and distinct values of every column in one pass over the table."""
-    aggs = [F.count("*").alias("_rows")]
-    for c in df.columns:
-        aggs += [F.count(c).alias(f"n_{c}"), F.count_distinct(c).alias(f"d_{c}")]
-    one = df.agg(*aggs)
-    rows = F.col("_rows")
-    entries = [F.struct(
-        F.lit(c).alias("column_name"), (rows - F.col(f"n_{c}")).alias("nulls"),
-        F.col(f"d_{c}").alias("distinct_values"), (F.col(f"n_{c}") == 0).alias("all_null"),
-        F.round(100.0 * (rows - F.col(f"n_{c}")) / rows, 4).alias("null_percent")) for c in df.columns]
-    return one.select(F.inline(F.array(*entries)))
+    """Type, nulls and distinct values of every column in one pass over the table.
+
+    Values become 128-bit digests that are counted before the shuffle, so what is shuffled depends on the number of different
+    values and not on their width or on the number of columns.
+    """
+    fields = df.schema.fields
+    marks = [F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]
+    for i, f in enumerate(fields):
+        value = _hashable(f.dataType, F.col(f"`{f.name}`"))
+        marks.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(value).alias("a"), F.xxhash64(F.lit(7), value).alias("b"))))
+    values = df.select(F.inline(F.array_compact(F.array(*marks)))).groupBy("i", "a", "b").agg(F.count("*").alias("n"))
+    found = values.groupBy("i").agg(F.sum("n").alias("present"), F.count("*").alias("distinct_values"))
+    # The first mark is in every row, so its count is the number of rows.
+    every = found.agg(F.coalesce(F.max(F.when(F.col("i") == -1, F.col("present"))), F.lit(0)).alias("rows"),
+                      F.map_from_entries(F.collect_list(F.struct("i", F.struct("present", "distinct_values")))).alias("facts"))
+    names = fixed_rows(["i", "column_name", "data_type"], [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)])
+    one = every.select("rows", "facts", F.inline(names)).withColumn("fact", F.try_element_at("facts", F.col("i")))
+    present = F.coalesce(F.col("fact.present"), F.lit(0))
+    return one.select(
+        "column_name", "data_type", (F.col("rows") - present).alias("nulls"),
+        F.coalesce(F.col("fact.distinct_values"), F.lit(0)).alias("distinct_values"), (present == 0).alias("all_null"),
+        F.round(F.try_divide(100.0 * (F.col("rows") - present), F.col("rows")), 4).alias("null_percent"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows and surplus copies. Copies collapse before the shuffle, so a huge group is one row."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    return copies.agg(F.sum("_n").alias("row_count"), F.sum(F.col("_n") - 1).alias("duplicates"))
+    """Rows and surplus copies.
+
+    Rows are counted by a 128-bit digest, with the least and the greatest of a third one, so nothing wide is shuffled and
+    a huge group of copies is one row. Only if rows of one digest turn out to differ are rows grouped as they are.
+    """
+    parts = []
+    for f in df.schema.fields:
+        parts += [_hashable(f.dataType, F.col(f"`{f.name}`")), F.col(f"`{f.name}`").isNull()]
+    digests = df.select(*[F.xxhash64(F.lit(seed), *parts).alias(n) for seed, n in ((1, "a"), (2, "b"), (3, "c"))])
+    copies = digests.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    found = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+                       F.count_if(F.col("low") != F.col("high")).alias("clashes")).first()
+    if not found.clashes:
+        return df.sparkSession.createDataFrame([(found.row_count, found.duplicates)], "row_count long, duplicates long")
+    exact = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    return exact.agg(F.sum("_n").alias("row_count"), F.sum(F.col("_n") - 1).alias("duplicates"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
-def schema_difference(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """(difference, column_name): expected columns the table lacks, and columns it adds."""
-    here = F.array(*[F.lit(c) for c in df.columns])
-    want = F.array(*[F.lit(c) for c in expected])
-    sides = F.array(
-        F.struct(F.lit("missing").alias("difference"), F.array_except(want, here).alias("names")),
-        F.struct(F.lit("extra").alias("difference"), F.array_except(here, want).alias("names")))
-    return (df.sparkSession.range(1).select(F.inline(sides))
-            .select("difference", F.explode("names").alias("column_name")))
+def columns_of(df: DataFrame) -> DataFrame:
+    """(column_name, data_type) of a table."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, data_type string")
+
+
+def schema_difference(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(difference, column_name) of two column lists: missing from ``found``, extra in it, or of another type.
+
+    Both have column_name and data_type, as ``files.file_columns`` reads them from files; repeated rows count once, and
+    a type that is null fits any.
+    """
+    have, want = (d.select("column_name", "data_type").distinct() for d in (found, expected))
+    types = want.join(have.withColumnRenamed("data_type", "other"), "column_name").where(F.col("data_type") != F.col("other"))
+    parts = [(want.join(have, "column_name", "left_anti"), "missing"), (have.join(want, "column_name", "left_anti"), "extra"), (types, "type")]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("difference"), "column_name") for d, kind in parts]).distinct()
 
 
 def target_counts(df: DataFrame, label: str = schema.LABEL, expected: Sequence[int] = (0, 1)) -> DataFrame:

@@ -59,8 +59,9 @@ def validate_table(df: DataFrame, expected: Sequence[str] = tuple(schema.STATIC_
     numeric, categorical = schema.split_by_type(df.drop(*excluded, label))
     roles = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical] + [
         (c, "excluded") for c in excluded if c in df.columns]
+    wanted = df.sparkSession.createDataFrame([(c, None) for c in expected], "column_name string, data_type string")
     return {
         "columns": profile.column_profile(df), "duplicates": profile.duplicate_rows(df),
-        "schema": profile.schema_difference(df, expected), "target": profile.target_counts(df, label),
+        "schema": profile.schema_difference(profile.columns_of(df), wanted), "target": profile.target_counts(df, label),
         "roles": df.sparkSession.createDataFrame(roles, "column_name string, role string"),
     }

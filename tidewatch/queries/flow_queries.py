@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import flows, profile, split, windows
 from tidewatch.queries.base import FE, FL, cuts_sql, query
-from tidewatch.sources import views
+from tidewatch.sources import files, views
 
 DERIVED_COLUMNS = ["packet_rate", "byte_rate", "mean_packet_size", "bytes_per_packet",
                    "duration_log1p", "packets_log1p", "bytes_log1p"]
@@ -103,8 +106,12 @@ def target_counts_unexpected(spark, folder):
 _PROFILED = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
+_KIND = ("CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+         "ELSE lower(typeof(any_value({c}))) END")
+
+
 @query("table_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
+    f"SELECT '{c}' AS column_name, {_KIND.format(c=c)} AS data_type, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
     f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values, count({c}) = 0 AS all_null, "
     f"round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_percent FROM events" for c in _PROFILED))
 def table_profile(spark, folder):
@@ -112,7 +119,7 @@ def table_profile(spark, folder):
 
 
 @query("table_profile_labels", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
+    f"SELECT '{c}' AS column_name, {_KIND.format(c=c)} AS data_type, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
     f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values, count({c}) = 0 AS all_null, "
     f"round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_percent FROM j" for c in ["doc_id", "quality", "toxic"])
     .join(["WITH j AS (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ", ""]))
@@ -136,12 +143,19 @@ def duplicate_keys(spark, folder):
     return profile.duplicate_keys(views.table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("schema_difference", """SELECT * FROM (VALUES ('missing', 'service'), ('missing', 'state'), ('extra', 'props'),
-('extra', 'event_type'), ('extra', 'user_id')) v(difference, column_name)""")
+_COLUMNS = " UNION ALL ".join(f"SELECT '{t}' AS t, column_name, column_type FROM (DESCRIBE {t})" for t in ("documents", "labels", "conversations", "embeddings"))
+
+
+@query("schema_difference", f"""WITH c AS ({_COLUMNS}), d AS (SELECT * FROM c WHERE t = 'documents'), o AS (SELECT * FROM c WHERE t <> 'documents')
+SELECT o.t AS table_name, 'extra' AS difference, o.column_name FROM o WHERE column_name NOT IN (SELECT column_name FROM d)
+UNION ALL SELECT t.t, 'missing', d.column_name FROM d, (SELECT DISTINCT t FROM o) t WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.t = t.t AND o.column_name = d.column_name)
+UNION ALL SELECT o.t, 'type', o.column_name FROM o JOIN d USING (column_name) WHERE o.column_type <> d.column_type""")
 def schema_difference(spark, folder):
-    """Missing and extra columns against an expected list."""
-    events = views.table(spark, folder, "events")
-    return profile.schema_difference(events, ["event_id", "ts", "value", "service", "state"])
+    """How the columns of three tables differ from those of the documents, read from the footers of their files."""
+    columns = {t: files.file_columns(spark, f"{folder}/{t}.parquet") for t in ("documents", "labels", "conversations", "embeddings")}
+    parts = [profile.schema_difference(columns[t], columns["documents"]).select(F.lit(t).alias("table_name"), "difference", "column_name")
+             for t in ("labels", "conversations", "embeddings")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("class_distribution", """SELECT event_type, CAST(count(*) AS BIGINT) AS row_count,

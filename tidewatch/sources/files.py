@@ -21,9 +21,12 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out = []
-        for uri in batch["uri"]:
+        for uri, content in zip(batch["uri"], batch["content"]):
+            digest = hashlib.sha256(content or b"")
+            if uri is None:
+                out.append(digest.hexdigest())
+                continue
             store, path = fs.FileSystem.from_uri(uri)
-            digest = hashlib.sha256()
             with store.open_input_stream(path, buffer_size=0) as stream:
                 while block := stream.read(CHUNK):
                     digest.update(block)
@@ -31,6 +34,46 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "sha256": out})
 
 
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The columns of each Parquet file, from its footer."""
+    from pyarrow import BufferReader, fs
+    from pyarrow import parquet as pq
+
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.uri is None:
+                schema = pq.read_schema(BufferReader(row.content))
+            else:
+                store, path = fs.FileSystem.from_uri(row.uri)
+                schema = pq.read_schema(path, filesystem=store)
+            out += [(row.path, i, f.name, str(f.type)) for i, f in enumerate(schema)]
+        yield pd.DataFrame(out, columns=["path", "position", "column_name", "data_type"])
+
+
+def _located(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, int]:
+    """(path, uri, content) of files, and their number. In stores that tasks do not open themselves: content and no uri."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    scheme = F.regexp_extract("path", r"^([A-Za-z0-9]+):", 1)
+    stores = listed.select("path").groupBy(scheme.alias("scheme")).agg(F.count("*").alias("n")).collect()
+    tasks = max(1, min(MOST_TASKS, sum(r.n for r in stores)))
+    if any(r.scheme not in OPENED for r in stores):
+        return listed.select("path", F.lit(None).cast("string").alias("uri"), "content"), tasks
+    names = F.create_map(*[F.lit(x) for pair in OPENED.items() for x in pair])
+    # A path may hold characters that a URI cannot.
+    rest = F.replace(F.url_encode(F.regexp_extract("path", r"^[A-Za-z0-9]+:/*(.*)$", 1)), F.lit("%2F"), F.lit("/"))
+    slashes = F.when(scheme == "file", F.lit(":///")).otherwise(F.lit("://"))
+    uri = F.concat(names[scheme], slashes, F.replace(rest, F.lit("+"), F.lit("%20")))
+    return listed.select("path", uri.alias("uri"), F.lit(None).cast("binary").alias("content")), tasks
+
+
+def file_columns(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, position, column_name, data_type) of every Parquet file, one task a file; only footers are read."""
+    where, tasks = _located(spark, folder, pattern)
+    rows = where.repartition(tasks, "path")
+    return rows.mapInPandas(_footers, "path string, position int, column_name string, data_type string")
+
+
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, file, length, sha256) per file. Spark lists the files; a task streams one file through the hash.
 
@@ -39,17 +82,9 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     facts = listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
-    scheme = F.regexp_extract("path", r"^([A-Za-z0-9]+):", 1)
-    stores = [(r.scheme, r.n) for r in facts.groupBy(scheme.alias("scheme")).agg(F.count("*").alias("n")).collect()]
-    if any(name not in OPENED for name, _ in stores):
-        return listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
-    names = F.create_map(*[F.lit(x) for pair in OPENED.items() for x in pair])
-    # A path may hold characters that a URI cannot.
-    rest = F.replace(F.url_encode(F.regexp_extract("path", r"^[A-Za-z0-9]+:/*(.*)$", 1)), F.lit("%2F"), F.lit("/"))
-    slashes = F.when(scheme == "file", F.lit(":///")).otherwise(F.lit("://"))
-    uris = facts.select("path", F.concat(names[scheme], slashes, F.replace(rest, F.lit("+"), F.lit("%20"))).alias("uri"))
-    tasks = max(1, min(MOST_TASKS, sum(n for _, n in stores)))
-    return facts.join(uris.repartition(tasks, "path").mapInPandas(_digests, "path string, sha256 string"), "path")
+    where, tasks = _located(spark, folder, pattern)
+    rows = where.repartition(tasks, "path")
+    return facts.join(rows.mapInPandas(_digests, "path string, sha256 string"), "path")
 
 
 def file_facts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
