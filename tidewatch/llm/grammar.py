@@ -39,7 +39,7 @@ PASSES = 3  # of settling overlaps in a round
 GAIN = 100
 SYMBOLS = 1 << 16
 END_ID = 2
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 1024
 SHARDS = ("part int, start long, n_ids long, first_id long, last_id long, doc_ids array<long>, lengths array<int>, grammar binary")
 _HEAD = struct.Struct("<4sIIII")
 _SLOT_BITS = 18
