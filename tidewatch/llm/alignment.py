@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tidewatch.llm.common import stored, whole
 from tidewatch.llm.vocabulary import byte_tokens, piece_tokens
 
 HEAD_PAIRS = 500_000
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "a array<int>, b array<int>, links array<int>")
 
@@ -57,70 +58,98 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return np.repeat(np.arange(len(start_a)), width), in_b
 
 
-def _spelled(ids: np.ndarray, lengths: np.ndarray, table: Sequence[bytes], wanted: list[bytes]) -> np.ndarray:
-    """Do the ids of each text spell it?"""
-    out, at, listed = np.zeros(len(wanted), bool), 0, ids.tolist()
-    for i, n in enumerate(lengths.tolist()):
-        out[i] = b"".join([table[t] for t in listed[at:at + n]]) == wanted[i]
-        at += n
-    return out
+class Ragged:
+    """Byte strings by number, in one array."""
 
+    def __init__(self, items: Sequence[bytes]):
+        self.size = np.fromiter(map(len, items), np.int64, len(items))
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(items), np.uint8)
 
-def _joined(ids: list[int], group: np.ndarray) -> list[str]:
-    """Ids of each group, comma-joined."""
-    if not ids:
-        return []
-    text, cut = list(map(str, ids)), np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]).tolist()
-    return [text[i] if j == i + 1 else ",".join(text[i:j]) for i, j in zip(cut, cut[1:])]
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of ``ids`` one after the other, and where each ends."""
+        width = self.size[ids]
+        ends = np.cumsum(width)
+        return self.flat[np.repeat(self.first[ids] - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-def align(texts: Sequence[str], a, b, bytes_a: list[bytes], bytes_b: list[bytes]) -> Iterator[tuple]:
-    """(n_a, n_b, n_groups, n_links, text of groups, a ids, b ids, times) of each text; pairs are distinct."""
+def spells(side: Ragged, ids: np.ndarray, lengths: np.ndarray, wanted: Sequence[bytes]) -> np.ndarray:
+    """Do the ids of each text spell it?"""
+    doc = np.repeat(np.arange(len(wanted)), lengths)
+    size = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    same = np.bincount(doc, side.size[ids], len(wanted)) == size
+    spelled, _ = side.of(ids[same[doc]])
+    text = np.frombuffer(b"".join([w for w, s in zip(wanted, same.tolist()) if s]), np.uint8)
+    same[np.repeat(np.arange(len(wanted)), np.where(same, size, 0))[spelled != text]] = False
+    return same
+
+
+def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, digits: Ragged) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;`` for each group in order, as bytes, and where the text of each group ends."""
+    ids, key = np.concatenate((ids_a, ids_b)), np.concatenate((2 * group_a, 2 * group_b + 1))
+    order = np.argsort(key, kind="stable")
+    ids, key = ids[order], key[order]
+    text, ends = digits.of(ids)  # every number has a place after it
+    last = np.r_[key[1:] != key[:-1], True] if len(key) else np.zeros(0, bool)
+    text[ends - 1] = np.where(last, np.where(key % 2 == 1, ord(";"), ord("|")), ord(","))
+    return text, ends[last & (key % 2 == 1)]
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """Counts and digests of texts, and their distinct linked pairs: those of text i lie at ends[i - 1] to ends[i]."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    digests: list[str]
+    ends: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    times: np.ndarray
+
+
+def align(texts: Sequence[str], a, b, spelling_a: Ragged, spelling_b: Ragged, digits: Ragged) -> Aligned:
+    n = len(texts)
     wanted = [(" " + t).encode() if t else b"" for t in texts]
     ids_a, n_a = a.encode([" " + t if t else "" for t in texts])
     ids_b, n_b = b.encode(texts)
-    good = _spelled(ids_a, n_a, bytes_a, wanted) & _spelled(ids_b, n_b, bytes_b, wanted)
-    keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
-    ids_a, ids_b = ids_a[keep_a].astype(np.int64), ids_b[keep_b].astype(np.int64)
+    good = spells(spelling_a, ids_a, n_a, wanted) & spells(spelling_b, ids_b, n_b, wanted)
+    ids_a, ids_b = ids_a[np.repeat(good, n_a)].astype(np.int64), ids_b[np.repeat(good, n_b)].astype(np.int64)
     n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bytes_a, bytes_b))
-    end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-    start_a, start_b = end_a - size_a[ids_a], end_b - size_b[ids_b]
-    group_a, group_b, _ = coalesce(start_a, end_a, start_b, end_b)
-    in_a, in_b = overlaps(start_a, end_a, start_b, end_b)
-    doc_a = np.repeat(np.arange(len(texts)), n_a)
-    width = len(bytes_b)
-    key = ids_a[in_a] * width + ids_b[in_b]
-    doc = doc_a[in_a]
-    links = np.bincount(doc, minlength=len(texts))
-    stop_a, stop_b, stop_link = np.cumsum(n_a), np.cumsum(n_b), np.cumsum(links)
-    list_a, list_b = ids_a.tolist(), ids_b.tolist()
-    for i in range(len(texts)):
-        if not n_a[i]:
-            yield 0, 0, 0, 0, "", key[:0], key[:0], key[:0]
-            continue
-        x, y = slice(stop_a[i] - n_a[i], stop_a[i]), slice(stop_b[i] - n_b[i], stop_b[i])
-        left, right = _joined(list_a[x], group_a[x]), _joined(list_b[y], group_b[y])
-        pairs, times = np.unique(key[stop_link[i] - links[i]:stop_link[i]], return_counts=True)
-        yield (int(n_a[i]), int(n_b[i]), len(left), int(links[i]), ";".join([f"{p}|{q}" for p, q in zip(left, right)]),
-               pairs // width, pairs % width, times)
+    size_a, size_b = spelling_a.size[ids_a], spelling_b.size[ids_b]
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    group_a, group_b, groups = coalesce(end_a - size_a, end_a, end_b - size_b, end_b)
+    text, group_ends = group_texts(ids_a, ids_b, group_a, group_b, digits)
+    n_groups = np.bincount(np.repeat(np.arange(n), n_b)[np.r_[group_b[1:] != group_b[:-1], True]] if groups else [], minlength=n).astype(np.int64)
+    stops = np.r_[0, group_ends][np.cumsum(n_groups)].tolist()
+    view = memoryview(text.tobytes())
+    digests = [hashlib.sha256(view[i:j - 1]).hexdigest() if j > i else "" for i, j in zip([0, *stops], stops)]
+    in_a, in_b = overlaps(end_a - size_a, end_a, end_b - size_b, end_b)
+    doc, width = np.repeat(np.arange(n), n_a)[in_a], len(spelling_b.size)
+    every = len(spelling_a.size) * width
+    pairs, times = np.unique(doc * every + ids_a[in_a] * width + ids_b[in_b], return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(1, n + 1) * every)
+    return Aligned(n_a, n_b, n_groups, np.bincount(doc, minlength=n).astype(np.int64), digests, ends,
+                   pairs % every // width, pairs % width, times)
 
 
 def _aligner(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_tokens(path_a), piece_tokens(path_b)
-        bytes_a, bytes_b = a.token_bytes(), b.token_bytes()
+        spelling_a, spelling_b = Ragged(a.token_bytes()), Ragged(b.token_bytes())
+        digits = Ragged([b"%d," % i for i in range(max(len(spelling_a.size), len(spelling_b.size)))])
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             size, at = np.cumsum([len(t) + 1 for t in texts]), 0
             while at < len(texts):
                 stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
-                rows = list(zip(*align(texts[at:stop], a, b, bytes_a, bytes_b)))
-                counts = [pa.array(x, pa.int64()) for x in rows[:4]]
-                digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in rows[4]]
-                ends = pa.array(np.cumsum([0, *map(len, rows[5])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in rows[5:]]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), *counts, pa.array(digest), *lists],
+                found = align(texts[at:stop], a, b, spelling_a, spelling_b, digits)
+                counts = [pa.array(x) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+                offsets = pa.array(np.r_[0, found.ends].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (found.a, found.b, found.times)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), *counts, pa.array(found.digests, pa.string()), *lists],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "links"])
                 at = stop
     return run
