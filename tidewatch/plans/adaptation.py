@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tidewatch.operators import metrics
 from tidewatch.operators.split import require_no_later_rows
 from tidewatch.operators.windows import HOUR
 from tidewatch.plans.experiment import Bench, METRIC_SCHEMA, ModelRun, evaluate, rows_frame, score_table
+from tidewatch.plans.models import FittedModel
 from tidewatch.schema import LABEL, TIME
 from tidewatch.session import materialize
 
@@ -20,6 +23,7 @@ from tidewatch.session import materialize
 STRATEGIES = ("none", "threshold_recalibration", "recent_window_retrain", "rolling_window_retrain",
               "historical_plus_recent_retrain")
 STEPS_PER_WRITE = 25
+PARALLEL = 4
 
 
 class AdaptationStudyError(RuntimeError):
@@ -71,11 +75,15 @@ def rolling_scores(bench: Bench, name: str, scored: DataFrame, step_us: int, win
                    ) -> tuple[DataFrame, int, float, int]:
     """Refit before every step on train plus the last window, score only that step.
 
-    One pass counts the rows of every step and of its window; empty steps are skipped. A
-    step without any history keeps score 0. Scores are written every few steps so the plan
-    stays short however long the period is.
+    One pass counts the rows of every step; empty steps are skipped. A step without any history keeps score 0. No step needs
+    another one's model, so ``PARALLEL`` of them are fitted at a time, on one stored table of the columns that models read.
+    Scores are written every few steps so the plan stays short however long the period is.
     """
+    spark = bench.data.sparkSession
     kind = bench.data.schema[TIME].dataType
+    inputs = [*bench.features.numeric, *bench.features.categorical]
+    data = materialize(bench.data.select(TIME, LABEL, *inputs))
+    scored = scored.select(TIME, LABEL, *inputs)
     us = micros(F.col(TIME))
     low = scored.agg(F.min(us)).first()[0]
     steps = [r[0] for r in scored.groupBy(F.floor((us - low) / F.lit(step_us)).alias("s")).agg(
@@ -85,22 +93,28 @@ def rolling_scores(bench: Bench, name: str, scored: DataFrame, step_us: int, win
         out = df.where(F.col(TIME) < from_micros(F.lit(b)).cast(kind))
         return out if a is None else out.where(F.col(TIME) >= from_micros(F.lit(a)).cast(kind))
 
-    train = bench.period("train")
-    done, pending, refits, seconds, used = [], [], 0, 0.0, 0
-    for s in steps:
+    train = bench.cuts.period(data, "train")
+
+    def fitted(s: int) -> FittedModel | None:
         start = low + s * step_us
-        batch = rows(scored, start, start + step_us)
-        known = rows(bench.data, None if window_us is None else start - window_us, start)
-        if known.isEmpty():
-            pending.append(batch.select(TIME, F.col(LABEL).alias("y_true"), F.lit(0.0).alias("y_score")))
-        else:
-            model = bench.fit(name, train.unionByName(known))
-            refits, seconds, used = refits + 1, seconds + model.seconds, model.rows
-            pending.append(score_table(model, batch))
-        if len(pending) == STEPS_PER_WRITE:
-            done.append(materialize(reduce(DataFrame.unionByName, pending)))
-            pending = []
-    return reduce(DataFrame.unionByName, done + pending), refits, seconds, used
+        known = rows(data, None if window_us is None else start - window_us, start)
+        return None if known.isEmpty() else bench.fit(name, train.unionByName(known))
+
+    done, models = [], []
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        for first in range(0, len(steps), STEPS_PER_WRITE):
+            some, pending = steps[first:first + STEPS_PER_WRITE], []
+            for s, model in zip(some, pool.map(inheritable_thread_target(spark)(fitted), some)):
+                batch = rows(scored, low + s * step_us, low + (s + 1) * step_us)
+                if model is None:
+                    pending.append(batch.select(TIME, F.col(LABEL).alias("y_true"), F.lit(0.0).alias("y_score")))
+                else:
+                    models.append(model)
+                    pending.append(score_table(model, batch))
+            last = first + STEPS_PER_WRITE >= len(steps)
+            part = reduce(DataFrame.unionByName, pending)
+            done.append(part if last else materialize(part))
+    return reduce(DataFrame.unionByName, done), len(models), sum(m.seconds for m in models), models[-1].rows if models else 0
 
 
 STUDY_SCHEMA = ("model string, strategy string, threshold double, rows_used long, training_seconds double, refits long, "
