@@ -124,3 +124,11 @@ def test_profile_of_odd_columns(spark):
     assert (got["list"].distinct_values, got["list"].nulls, got["list"].data_type) == (2, 1, "array<int>")
     empty = profile.column_profile(df.limit(0)).collect()
     assert len(empty) == 3 and all(r.distinct_values == 0 and r.nulls == 0 and r.null_percent is None for r in empty)
+
+
+def test_an_empty_drift_table_is_an_error(spark, tmp_path):
+    events = spark.createDataFrame([("v", "ks", 0.5)], "feature string, method string, statistic double")
+    assert spark.read.parquet(sinks.write_drift(events, str(tmp_path), "a")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.write_drift(events.limit(0), str(tmp_path), "b")
+    assert not (tmp_path / "b").exists()

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.drift import require_events
+from tidewatch.session import materialize
+
 ONCE = "errorifexists"
 
 
@@ -32,6 +35,11 @@ def write_predictions(df: DataFrame, root: str, run: str) -> str:
     return write_table(df, root, run, "predictions", [c for c in ("period", "model") if c in df.columns])
 
 
+def write_drift(events: DataFrame, root: str, run: str) -> str:
+    """The drift table of a run. A run that measured nothing is an error and leaves no table."""
+    return write_table(require_events(materialize(events)), root, run, "drift_events")
+
+
 def write_document(df: DataFrame, root: str, run: str, name: str) -> str:
     """A nested one-row result as JSON."""
     path = f"{root}/{run}/{name}"
