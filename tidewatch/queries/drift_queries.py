@@ -74,8 +74,10 @@ ranked AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER
     count(*) OVER (PARTITION BY feature) AS n FROM rm),
 probs AS (SELECT CAST(unnest(range(11)) AS DOUBLE) / 10 AS p UNION ALL SELECT 0.25 UNION ALL SELECT 0.75),
 pos AS (SELECT feature, p, floor((nr - 1) * p) AS lo, ceil((nr - 1) * p) AS hi, (nr - 1) * p - floor((nr - 1) * p) AS t FROM rt, probs),
-qs AS (SELECT pos.feature, p, CASE WHEN t >= 0.5 THEN b.value - (b.value - a.value) * (1 - t) ELSE a.value + (b.value - a.value) * t END AS q
-  FROM pos JOIN ranked a ON a.feature = pos.feature AND a.i = lo JOIN ranked b ON b.feature = pos.feature AND b.i = hi),
+ends AS (SELECT feature, p, t, lo, hi, CAST(unnest([lo, hi]) AS BIGINT) AS i FROM pos),
+picked AS (SELECT feature, p, any_value(t) AS t, max(CASE WHEN i = lo THEN value END) AS a, max(CASE WHEN i = hi THEN value END) AS b
+  FROM ends JOIN ranked USING (feature, i) GROUP BY feature, p),
+qs AS (SELECT feature, p, CASE WHEN t >= 0.5 THEN b - (b - a) * (1 - t) ELSE a + (b - a) * t END AS q FROM picked),
 spread AS (SELECT qs.feature, CASE WHEN max(CASE WHEN p = 0.75 THEN q END) - max(CASE WHEN p = 0.25 THEN q END) > 0
     THEN max(CASE WHEN p = 0.75 THEN q END) - max(CASE WHEN p = 0.25 THEN q END) WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1 END AS s
   FROM qs JOIN rt ON qs.feature = rt.feature GROUP BY qs.feature)"""
