@@ -35,13 +35,21 @@ def missing_values(actual: DataFrame, by: Sequence[str], column: str, expected:
     return wanted.join(actual.select(*by, column).distinct(), [*by, column], "left_anti")
 
 
+def _known(requested: DataFrame, column: str, registry: Sequence[str]) -> DataFrame:
+    return requested.sparkSession.createDataFrame([(m, i) for i, m in enumerate(registry)], f"{column} string, position int")
+
+
+def unknown_models(requested: DataFrame, column: str = "model", registry: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
+    """Requested models that the registry lacks, each once."""
+    return requested.join(_known(requested, column, registry), column, "left_anti").select(column).distinct()
+
+
 def requested_models(requested: DataFrame, column: str = "model", registry: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
     """Requested models in registry order; an unknown one is an error."""
-    known = requested.sparkSession.createDataFrame(
-        [(m, i) for i, m in enumerate(registry)], f"{column} string, position int")
-    unknown = requested.join(known, column, "left_anti").select(column).distinct().limit(20).collect()
+    unknown = unknown_models(requested, column, registry).limit(20).collect()
     if unknown:
         raise KeyError(f"unknown models {sorted(r[0] for r in unknown)}; known: {list(registry)}")
+    known = _known(requested, column, registry)
     return known.join(requested.select(column), column, "left_semi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch import schema
-from tidewatch.operators.combine import fixed_rows, with_row
+from tidewatch.operators.combine import fixed_rows
 from tidewatch.operators.twosample import melt
 
 
@@ -141,22 +141,21 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], n: i
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def feature_policy(names: DataFrame, column: str) -> DataFrame:
-    """Policy report over a table of column names: forbidden ones present, sets available and missing."""
-    seen = F.collect_set(column)
+def feature_policy(names: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Policy report over tables of column names: forbidden ones present, sets available and missing."""
+    known = F.col(column).isin(*schema.STATIC_COLUMNS, *schema.EXCLUDED_FEATURES)
 
     def fixed(values):
         return F.array(*[F.lit(v) for v in values])
 
     full, restricted, excluded = map(fixed, (
         schema.FULL_FEATURES, schema.RESTRICTED_FEATURES, schema.EXCLUDED_FEATURES))
-    known = names.where(F.col(column).isin(*schema.STATIC_COLUMNS, *schema.EXCLUDED_FEATURES))
     # Only known names are collected; unknown ones are merely counted.
-    total = names.agg(F.count_distinct(column).alias("columns_seen"))
-    report = known.agg(seen.alias("seen")).select(
+    report = names.groupBy(*by).agg(F.count_distinct(column).alias("columns_seen"), F.collect_set(F.when(known, F.col(column))).alias("seen"))
+    return report.select(
+        *by, "columns_seen",
         F.array_intersect(excluded, "seen").alias("excluded_present"),
         F.array_intersect(full, "seen").alias("full_available"),
         F.array_except(full, "seen").alias("full_missing"),
         F.array_intersect(restricted, "seen").alias("restricted_available"),
-        F.array_except(restricted, "seen").alias("restricted_missing"))
-    return with_row(total, report).withColumn("policy_compliant", F.size("excluded_present") == 0)
+        F.array_except(restricted, "seen").alias("restricted_missing")).withColumn("policy_compliant", F.size("excluded_present") == 0)

@@ -110,9 +110,16 @@ def union_sparse_records(spark, folder):
         F.count("*").alias("row_count"), F.count("f1").alias("with_f1"), F.count("alerts").alias("with_alerts"))
 
 
-@query("run_kinds", f"WITH {ROWS} SELECT run, 'temporal' AS kind, CAST(count(*) AS BIGINT) AS row_count FROM rr GROUP BY run")
+_KINDS = ["temporal", "shift", "ablation", "probe"]
+
+
+@query("run_kinds", "WITH r AS (SELECT CAST(year(l_shipdate) AS VARCHAR) || '_' || " + _case(_KINDS, "l_partkey") + """ || '_' || l_linestatus AS run FROM lineitem)
+SELECT run, CASE WHEN run LIKE '%_probe_%' THEN 'unknown' ELSE split_part(run, '_', 2) END AS kind, CAST(count(*) AS BIGINT) AS row_count FROM r GROUP BY run""")
 def run_kinds(spark, folder):
-    rows = run_rows(spark, folder).groupBy("run").agg(F.count("*").alias("row_count"))
+    """Runs of three kinds, and of one that is none of them."""
+    items = views.table(spark, folder, "lineitem")
+    runs = items.select(F.concat_ws("_", F.year("l_shipdate").cast("string"), _pick(_KINDS, "l_partkey"), "l_linestatus").alias("run"))
+    rows = runs.groupBy("run").agg(F.count("*").alias("row_count"))
     return rows.select("run", run_source.kind_of("run").alias("kind"), "row_count")
 
 
@@ -178,6 +185,14 @@ def requested_models(spark, folder):
     return audit.requested_models(run_rows(spark, folder).select("model"))
 
 
+@query("unknown_models", f"SELECT DISTINCT p_brand AS model FROM part UNION SELECT p_type FROM part WHERE p_type NOT IN ({', '.join(repr(m) for m in audit.REGISTRY)})")
+def unknown_models(spark, folder):
+    """Requests that no registry entry meets, among requests that are met."""
+    parts = views.table(spark, folder, "part")
+    known = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    return audit.unknown_models(known.union(parts.select("p_brand")).union(parts.select("p_type")))
+
+
 _GAIN_COLUMNS = ["f1", "recall", "precision", "false_positive_rate"]
 
 
@@ -284,9 +299,13 @@ def shift_families(spark, folder):
     return audit.shift_families(shift_records(spark, folder))
 
 
-@query("shift_totals", f"WITH {_SHIFT} SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS skipped, CAST(count(*) FILTER (d > 0) AS BIGINT) AS degraded, CAST(0 AS BIGINT) AS recovered FROM sr")
+@query("shift_totals", f"""WITH {_SHIFT} SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) FILTER (n % 5 = 0) AS BIGINT) AS skipped,
+CAST(count(*) FILTER (d > 0) AS BIGINT) AS degraded, CAST(count(*) FILTER (n % 5 > 2) AS BIGINT) AS recovered FROM sr""")
 def shift_totals(spark, folder):
-    return audit.shift_totals(shift_records(spark, folder))
+    """Totals of records of which some were skipped and some recovered."""
+    alerts = F.col("drift_alerts")
+    return audit.shift_totals(shift_records(spark, folder).withColumns({
+        "status": F.when(alerts == 0, "skipped").otherwise("ok"), "adapt_recovery": (alerts - 2).cast("double")}))
 
 
 @query("shift_run_problems", f"""WITH {_SHIFT} SELECT run, 'shift family did not run: telemetry_reduction' AS problem FROM sr GROUP BY run

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import flows, profile, split, windows
 from tidewatch.queries.base import FE, FL, cuts_sql, query
+from tidewatch.schema import EXCLUDED_FEATURES, FULL_FEATURES, PERIODS, RESTRICTED_FEATURES, STATIC_COLUMNS
 from tidewatch.sources import files, views
 
 DERIVED_COLUMNS = ["packet_rate", "byte_rate", "mean_packet_size", "bytes_per_packet",
@@ -248,19 +249,47 @@ def period_guard(spark, folder):
     return split.order_violations(summary).agg(F.count("*").alias("violations"))
 
 
+@query("period_guard_overlaps", """WITH s AS (SELECT l_returnflag, l_linenumber % 4 AS rk, min(l_shipdate) AS start_ts, max(l_shipdate) AS end_ts FROM lineitem
+WHERE l_returnflag <> 'R' OR month(l_shipdate) % 4 = l_linenumber % 4 GROUP BY 1, 2),
+r AS (SELECT *, max(end_ts) OVER (PARTITION BY l_returnflag ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_end FROM s)
+SELECT l_returnflag, ['train', 'validation', 'backtest', 'forward'][rk + 1] AS period, start_ts, previous_end FROM r WHERE start_ts <= previous_end""")
+def period_guard_overlaps(spark, folder):
+    """Periods that were not cut by time (rows dealt by line number): the guard has to report every one that overlaps."""
+    items = views.table(spark, folder, "lineitem")
+    place = F.pmod("l_linenumber", F.lit(4))
+    items = items.where((F.col("l_returnflag") != "R") | (F.pmod(F.month("l_shipdate"), F.lit(4)) == place))
+    names = F.array(*[F.lit(p) for p in PERIODS])
+    summary = items.groupBy("l_returnflag", F.element_at(names, (place + 1).cast("int")).alias("period")).agg(
+        F.min("l_shipdate").alias("start_ts"), F.max("l_shipdate").alias("end_ts"))
+    return split.order_violations(summary, ("l_returnflag",)).select("l_returnflag", "period", "start_ts", "previous_end")
+
+
 @query("feature_fingerprint", """SELECT substr(sha256(string_agg(c, chr(10) ORDER BY c)), 1, 16) AS fingerprint
 FROM (SELECT DISTINCT event_type AS c FROM events)""")
 def feature_fingerprint(spark, folder):
     return flows.feature_fingerprint(views.table(spark, folder, "events"), "event_type")
 
 
-@query("feature_policy", """WITH cols AS (SELECT DISTINCT p_type AS c FROM part),
-SELECT 1""".replace("SELECT 1", "x AS (SELECT 1) SELECT CAST(count(*) AS BIGINT) AS columns_seen, TRUE AS policy_compliant, CAST(0 AS BIGINT) AS full_available, CAST(37 AS BIGINT) AS full_missing, CAST(17 AS BIGINT) AS restricted_missing FROM cols"))
+_NAMES = [*STATIC_COLUMNS, *EXCLUDED_FEATURES]
+
+
+def _among(names):
+    return "count(DISTINCT c) FILTER (c IN (" + ", ".join(repr(n) for n in names) + "))"
+
+
+@query("feature_policy", f"""WITH cols AS (SELECT s_nationkey AS g, {_NAMES!r}[(p_size + s_nationkey) % {len(_NAMES) + 5} + 1] AS n, p_type FROM part JOIN supplier ON p_partkey % 40 = s_nationkey),
+named AS (SELECT g, coalesce(n, p_type) AS c FROM cols)
+SELECT g AS table_number, CAST(count(DISTINCT c) AS BIGINT) AS columns_seen, {_among(EXCLUDED_FEATURES)} = 0 AS policy_compliant, CAST({_among(FULL_FEATURES)} AS BIGINT) AS full_available,
+CAST({len(FULL_FEATURES)} - {_among(FULL_FEATURES)} AS BIGINT) AS full_missing, CAST({len(RESTRICTED_FEATURES)} - {_among(RESTRICTED_FEATURES)} AS BIGINT) AS restricted_missing FROM named GROUP BY g""")
 def feature_policy(spark, folder):
-    """Policy check of a table of column names (here: the part types, none of them known)."""
-    names = views.table(spark, folder, "part").select(F.col("p_type").alias("name")).distinct()
-    return profile.feature_policy(names, "name").select(
-        "columns_seen", "policy_compliant", F.size("full_available").cast("long").alias("full_available"),
+    """Policy checks of tables of column names, drawn from known, forbidden and unknown names by the sizes of parts."""
+    parts = views.table(spark, folder, "part").withColumn("s_nationkey", F.pmod("p_partkey", F.lit(40)).cast("int"))
+    rows = parts.join(views.table(spark, folder, "supplier").select("s_nationkey"), "s_nationkey")
+    names = F.array(*[F.lit(n) for n in _NAMES])
+    place = F.pmod(F.col("p_size") + F.col("s_nationkey"), F.lit(len(_NAMES) + 5)) + 1
+    named = rows.select(F.col("s_nationkey").alias("table_number"), F.coalesce(F.try_element_at(names, place.cast("int")), "p_type").alias("name"))
+    return profile.feature_policy(named, "name", ["table_number"]).select(
+        "table_number", "columns_seen", "policy_compliant", F.size("full_available").cast("long").alias("full_available"),
         F.size("full_missing").cast("long").alias("full_missing"),
         F.size("restricted_missing").cast("long").alias("restricted_missing"))
 
