@@ -83,9 +83,10 @@ def confusion_metrics(spark, folder):
 @query("static_metrics", f"""WITH {PRED} SELECT protocol, tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
 round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1_score, round(false_positive_rate, 9) AS false_positive_rate,
 round(false_negative_rate, 9) AS false_negative_rate, round(recall, 9) AS true_positive_rate, round(tn / CAST(tn + fp AS DOUBLE), 9) AS true_negative_rate,
-tp + fp + tn + fn AS n_samples, tn + fp AS n_normal, tp + fn AS n_anomaly FROM {rates_sql('pr', 'protocol')}""")
+tp + fp + tn + fn AS n_samples, tn + fp AS n_normal, tp + fn AS n_anomaly,
+'[[' || CAST(tn AS BIGINT) || ',' || CAST(fp AS BIGINT) || '],[' || CAST(fn AS BIGINT) || ',' || CAST(tp AS BIGINT) || ']]' AS confusion_matrix FROM {rates_sql('pr', 'protocol')}""")
 def static_metrics(spark, folder):
-    out = metrics.static_metrics(predicted(spark, folder), ["protocol"]).drop("confusion_matrix")
+    out = metrics.static_metrics(predicted(spark, folder), ["protocol"]).withColumn("confusion_matrix", F.to_json("confusion_matrix"))
     return _rounded(out, ["precision", "recall", "f1_score", "false_positive_rate", "false_negative_rate",
                           "true_positive_rate", "true_negative_rate"])
 

@@ -41,17 +41,20 @@ def one_hot(spark, folder):
     return fitted.wide(rows, ["event_id"]).withColumnsRenamed({f"event_type={v}": v for v in fitted.levels["event_type"]})
 
 
-@query("impute_median_mode", f"""WITH j AS (SELECT d.doc_id, n_chars, CAST(quality AS DOUBLE) AS quality, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+@query("impute_median_mode", f"""WITH j AS (SELECT d.doc_id, n_chars, CAST(quality AS DOUBLE) AS quality, CASE WHEN d.doc_id % 7 > 0 THEN lang END AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 {quantile_sql('j', 'md', '', 'quality', 'CAST(0.5 AS DOUBLE)', 'quality IS NOT NULL')},
-f AS (SELECT doc_id, coalesce(quality, q) AS quality, CAST(n_chars AS DOUBLE) AS n_chars FROM j, md),
+mo AS (SELECT lang AS mode FROM j WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1),
+f AS (SELECT doc_id, coalesce(quality, q) AS quality, CAST(n_chars AS DOUBLE) AS n_chars, coalesce(lang, mode) AS lang FROM j, md, mo),
 s AS (SELECT avg(quality) AS mq, stddev_pop(quality) AS sq, avg(n_chars) AS mn, stddev_pop(n_chars) AS sn FROM f)
-SELECT doc_id, round((quality - mq) / sq, 6) AS quality, round((n_chars - mn) / sn, 6) AS n_chars FROM f, s""")
+SELECT doc_id, round((quality - mq) / sq, 6) AS quality, round((n_chars - mn) / sn, 6) AS n_chars, lang FROM f, s""")
 def impute_median_mode(spark, folder):
-    docs = views.table(spark, folder, "documents").select("doc_id", "n_chars", "lang")
+    """Filled and scaled columns; the language, missing in every seventh row, is read back from its indicators."""
+    docs = views.table(spark, folder, "documents").select("doc_id", "n_chars", F.when(F.pmod("doc_id", F.lit(7)) > 0, F.col("lang")).alias("lang"))
     rows = docs.join(views.table(spark, folder, "labels"), "doc_id", "left")
     fitted = preprocess.fit_features(rows, ["quality", "n_chars"], ["lang"], impute=True)
-    wide = fitted.wide(rows, ["doc_id"]).select("doc_id", "quality", "n_chars")
-    return wide.withColumns({c: F.round(c, 6) for c in ("quality", "n_chars")})
+    wide = fitted.wide(rows, ["doc_id"])
+    levels = F.concat_ws("|", *[F.when(F.col(f"`lang={v}`") == 1.0, F.lit(v)) for v in fitted.levels["lang"]])
+    return wide.select("doc_id", *[F.round(c, 6).alias(c) for c in ("quality", "n_chars")], levels.alias("lang"))
 
 
 @query("class_weights", f"""WITH {FE}, c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t FROM fe GROUP BY label)
