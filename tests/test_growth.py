@@ -1,6 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from tidewatch.operators import failure
+from tidewatch.session import ROWS_PER_SLICE_KEY
 
 
 def plan_of(df):
@@ -13,3 +19,24 @@ def test_policy_reports_do_not_multiply_parts_by_suppliers(spark, tmp_path):
     out = entry.queries()["feature_policy"](spark, str(tmp_path))
     assert "Join LeftSemi" in plan_of(out) and "Join Inner" not in plan_of(out)
     assert out.count() == 25
+
+
+def test_asof_looks_up_each_time_once(spark, monkeypatch):
+    left = spark.range(3000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") % 20).alias("t"))
+    right = spark.range(60).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 3).alias("u"), F.col("id").alias("v")).dropDuplicates(["g", "u"])
+    seen = []
+    cut = failure.cut_slices
+    monkeypatch.setattr(failure, "cut_slices", lambda df, order, rows: seen.append((df.count(), rows)) or cut(df, order, rows))
+    spark.conf.set(ROWS_PER_SLICE_KEY, "100")
+    try:
+        got = failure.asof(left, right, "t", "u", ["v"], by=["g"], expected_rows=3100).toPandas()
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_KEY)
+    times = left.select("g", "t").distinct().count()
+    assert seen == [(times + right.count(),) * 2]
+    r = right.toPandas()
+    assert len(got) == 3000 and got.id.nunique() == 3000
+    for row in got.itertuples():
+        some = r[(r.g == row.g) & (r.u <= row.t)] if row.t == row.t else r[:0]
+        want = some.v[some.u.idxmax()] if len(some) else None
+        assert (want is None and np.isnan(row.v)) or want == row.v

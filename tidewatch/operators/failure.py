@@ -13,6 +13,7 @@ from tidewatch.operators.metrics import window_metrics
 from tidewatch.operators.running import cut_slices, last_seen
 from tidewatch.operators.summaries import strongest_features
 from tidewatch.operators.windows import HOUR, bucket
+from tidewatch.session import rows_per_slice
 
 DAY = 24 * HOUR
 
@@ -90,8 +91,9 @@ def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns
          by: Sequence[str] = (), tolerance_us: int | None = None, expected_rows: int | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it.
 
-    One union and one running "last value" replace the range join. Rows are counted unless
-    ``expected_rows`` (both sides together) is known; large inputs are cut along time, side and a row
+    One union and one running "last value" replace the range join. Each group and time of the left side is
+    looked up once, whatever its rows hold, and rows take the match by an equality join. What is looked up is counted
+    unless ``expected_rows`` (both sides together) says that it is small; large inputs are cut along time, side and a row
     hash, so that even one hot timestamp spreads over slices.
     """
     keys = list(by) or ["_all"]
@@ -100,19 +102,23 @@ def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns
     if not by:
         left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
     lows = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), payload.alias("_r"))
-    highs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"))
+    highs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side")).distinct()
     union = lows.unionByName(highs, allowMissingColumns=True)
-    if expected_rows is None:
+    if expected_rows is None or expected_rows > rows_per_slice(left.sparkSession):
         expected_rows = union.count()
-    # At one time all right rows come before the left ones, which then may part anywhere.
-    spread = union.withColumn("_h", F.xxhash64("_r", "_l"))
+    # At one time all right rows come before the left one.
+    spread = union.withColumn("_h", F.xxhash64("_r"))
     both, slices = cut_slices(spread, [*keys, "_t", "_side", "_h"], expected_rows)
     found = last_seen(both, keys, ["_t", "_side"], F.col("_r"), "_m", slices).where(F.col("_side") == 1)
     if tolerance_us is not None:
         near = micros(F.col("_t")) - micros(F.col("_m._at")) <= tolerance_us
         found = found.withColumn("_m", F.when(near, F.col("_m")))
-    return found.select(*by, "_l.*", F.col("_m._at").alias(f"matched_{right_ts}"),
-                        *[F.col(f"_m.{c}").alias(c) for c in columns])
+    found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t", "_m")
+    same = F.col(left_ts).eqNullSafe(F.col("_t"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(found, same, "left").select(*by, *rest, F.col("_m._at").alias(f"matched_{right_ts}"),
+                                                 *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
 def alert_midpoints(events: DataFrame) -> DataFrame:
