@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewatch.operators import failure
+from tidewatch.operators import audit, failure
 from tidewatch.session import ROWS_PER_SLICE_KEY
 
 
@@ -40,3 +40,11 @@ def test_asof_looks_up_each_time_once(spark, monkeypatch):
         some = r[(r.g == row.g) & (r.u <= row.t)] if row.t == row.t else r[:0]
         want = some.v[some.u.idxmax()] if len(some) else None
         assert (want is None and np.isnan(row.v)) or want == row.v
+
+
+def test_requested_models_are_made_distinct_before_they_are_joined(spark):
+    asked = spark.range(1000).select(F.element_at(F.array(F.lit("majority"), F.lit("neural_network")), (F.col("id") % 2 + 1).cast("int")).alias("model"))
+    out = audit.requested_models(asked)
+    right = plan_of(out).split("Join LeftSemi")[1]
+    assert any(line.lstrip().startswith("+- Aggregate") for line in right.splitlines())
+    assert sorted(map(tuple, out.collect())) == [("majority", 0), ("neural_network", 4)]

@@ -41,7 +41,7 @@ def _known(requested: DataFrame, column: str, registry: Sequence[str]) -> DataFr
 
 def unknown_models(requested: DataFrame, column: str = "model", registry: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
     """Requested models that the registry lacks, each once."""
-    return requested.join(_known(requested, column, registry), column, "left_anti").select(column).distinct()
+    return requested.select(column).distinct().join(_known(requested, column, registry), column, "left_anti")
 
 
 def requested_models(requested: DataFrame, column: str = "model", registry: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
@@ -50,7 +50,7 @@ def requested_models(requested: DataFrame, column: str = "model", registry: Sequ
     if unknown:
         raise KeyError(f"unknown models {sorted(r[0] for r in unknown)}; known: {list(registry)}")
     known = _known(requested, column, registry)
-    return known.join(requested.select(column), column, "left_semi")
+    return known.join(requested.select(column).distinct(), column, "left_semi")
 
 
 def bad_cells(text_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
