@@ -246,3 +246,15 @@ def test_every_slice_starts_away_from_zero(spark, drift_):
     want = sequential_loop(x, 6.0, 50, drift_)
     assert np.allclose(got.statistic, [w[0] for w in want], atol=1e-9) and got.alert.tolist() == [w[1] for w in want]
     assert (starts > 0).all() and len(starts) > 40
+
+
+def test_second_rounding_is_that_of_the_sql(spark):
+    import duckdb
+    from tidewatch.functions.columns import round_scaled
+
+    values = [i / 1e6 for i in range(5, 200_000, 10)] + [-0.020085, 0.0]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(round_scaled(F.col("v"), 5).alias("v")).collect()]
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"v": values}))
+    assert got == [r[0] for r in con.execute("SELECT round(v, 5) FROM t").fetchall()]
+    assert got[values.index(0.020085)] == 0.02008
