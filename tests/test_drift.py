@@ -258,3 +258,15 @@ def test_second_rounding_is_that_of_the_sql(spark):
     con.register("t", pd.DataFrame({"v": values}))
     assert got == [r[0] for r in con.execute("SELECT round(v, 5) FROM t").fetchall()]
     assert got[values.index(0.020085)] == 0.02008
+
+
+def test_python_holds_short_slices_only(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(0, 1, 900)
+    df = spark.createDataFrame(pd.DataFrame({"timestamp": pd.date_range("2024-01-01", periods=900, freq="s"), "id": np.arange(900), "v": x}))
+    sizes, made = [], sq.transfers
+    monkeypatch.setattr(sq, "PART_ROWS", 100)
+    monkeypatch.setattr(sq, "transfers", lambda placed, *a: sizes.append([r[0] for r in placed.groupBy("feature", "part").count().select("count").collect()]) or made(placed, *a))
+    got = sequential_cusum(df, ["v"], ["id"], threshold=4.0, warmup=50).toPandas().sort_values("id")
+    assert sizes == [[100] * 9]
+    want = sequential_loop(x, 4.0, 50)
+    assert np.allclose(got.statistic, [w[0] for w in want], atol=1e-9) and got.alert.tolist() == [w[1] for w in want]

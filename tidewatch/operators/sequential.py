@@ -26,6 +26,8 @@ from tidewatch.schema import TIME
 from tidewatch.session import materialize, rows_per_slice
 
 BLOCK = 4096
+# Rows of a slice that Python holds at once; a task of the JVM may sort more (``rows_per_slice``).
+PART_ROWS = 1 << 18
 TRANSFER = ("feature string, part int, "
             + ", ".join(f"{side}_high array<double>, {side}_at array<long>, {side}_pos array<double>, {side}_neg array<double>" for side in ("up", "down"))
             + ", alarm_at long, pos double, neg double, up_sum double, down_sum double")
@@ -139,7 +141,7 @@ def sequential_cusum(df: DataFrame, features: Sequence[str], tiebreak: Sequence[
         "usable": finite(F.col("x")) & (F.struct(*order) > F.col("last"))})
     placed = number_rows(ready.select("feature", *order, "z", "usable"), ["feature"], order, "position",
                          size * len(features))
-    span = rows_per_slice(df.sparkSession)
+    span = min(rows_per_slice(df.sparkSession), PART_ROWS)
     placed = placed.withColumn("part", F.floor(F.col("position") / F.lit(span)).cast("int"))
     if size > span:
         placed = materialize(placed)
