@@ -1,7 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-1. Paragraphs (lines, cut at sentence ends) that hold a licence word are candidates; every statement of every
-   template holds one, so a paragraph without any could not be confirmed in the end.
+1. Paragraphs (lines, cut at sentence ends) that hold a licence word are candidates, and so are those without one that
+   could be confirmed in the end: they hold one of a few 3-grams of a statement that no sufficient part of it lacks.
 2. A multinomial logistic regression over hashed word 1- to 3-grams gives the probability of each family and of
    the class ``unknown``. It is trained on the template statements in several guises, on sentences that mention
    licences without granting one, and on a bounded sample of paragraphs of the corpus.
@@ -17,7 +17,11 @@ a null id; repeated rows add up to one result of their id; other columns are ign
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, StringIndexer
@@ -66,6 +70,9 @@ MENTIONS = ("She lost her driving license last week.", "The license fee was rais
 LICENCE_WORD = (r"(?i)licen[sc]e|copyright|all rights|public domain|redistribut|creative commons|permission|unlicense"
                 r"|\bl?a?gplv?\d?|\bcc[ -](?:by|0)|\bcc0|warrant|\bmit\b|\bbsd\b|apache|mozilla")
 
+# Parts of words: a paragraph with such a word holds a licence word.
+LICENCE_STEM = re.compile("licen[sc]e|copyright|redistribut|permission|unlicense|warrant|apache|mozilla")
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -99,6 +106,28 @@ def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*cells)))
 
 
+def anchors(containment: float) -> list[str]:
+    """3-grams without a licence stem such that enough of any statement for ``containment`` holds one of them or a stem."""
+    out = []
+    for statements in STATEMENTS.values():
+        for text in statements:
+            words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+            grams = sorted({" ".join(words[i:i + 3]) for i in range(len(words) - 2)}, key=lambda g: (-len(g), g))
+            plain = [g for g in grams if not LICENCE_STEM.search(g)]
+            # A paragraph may lack this many grams and still be confirmed.
+            spare = len(grams) - max(math.ceil(containment * len(grams) - 1e-9), 1)
+            out += plain[:max(spare + 1 - (len(grams) - len(plain)), 0)]
+    return sorted(set(out))
+
+
+def candidate(text: Column, settings: Settings) -> Column:
+    """Whether a text holds a licence word, or an anchor in any spelling of its gaps."""
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+    # An array of one, so that the plain form is made once for all anchors.
+    found = F.exists(F.array(plain), lambda t: reduce(or_, [t.contains(f" {gram} ") for gram in anchors(settings.containment)]))
+    return text.rlike(LICENCE_WORD) | found
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return _table(spark, [(f, s) for f, statements in STATEMENTS.items() for s in statements])
 
@@ -113,7 +142,7 @@ def training(docs: DataFrame, settings: Settings) -> DataFrame:
     known = templates(spark).select("family", F.explode(guises).alias("text"))
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(settings.sample_documents)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    lines = paragraphs(sample).where(~F.col("text").rlike(LICENCE_WORD)).select("text").distinct()
+    lines = paragraphs(sample).where(~candidate(F.col("text"), settings)).select("text").distinct()
     lines = lines.orderBy(F.xxhash64("text")).limit(settings.sampled_paragraphs)
     mentions = _table(spark, [("unknown", m) for m in MENTIONS]).select("family", F.explode(guises).alias("text"))
     every = known.unionByName(mentions).unionByName(lines.select(F.lit("unknown").alias("family"), "text"))
@@ -157,7 +186,7 @@ class Classifier:
 def paragraph_licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, text, found, p, containment, confirmed) of every candidate paragraph."""
     classifier = Classifier(training(docs, settings), settings)
-    rows = paragraphs(docs.where(F.col("text").rlike(LICENCE_WORD))).where(F.col("text").rlike(LICENCE_WORD))
+    rows = paragraphs(docs.where(candidate(F.col("text"), settings))).where(candidate(F.col("text"), settings))
     scored = classifier.score(rows)
     # All statements as one literal: for each family, the 3-grams of each statement.
     statements = templates(docs.sparkSession).withColumn("words", _words(F.col("text"))).select(
@@ -166,8 +195,10 @@ def paragraph_licences(docs: DataFrame, settings: Settings = Settings()) -> Data
     shares = [F.when(F.col("found") == r["family"], F.size(F.array_intersect(F.col("own"), F.lit(r["grams"]))) / len(set(r["grams"]))).otherwise(0.0)
               for r in statements]
     scored = scored.withColumn("own", own).withColumn("containment", F.greatest(*shares).cast("double"))
-    return scored.select("doc_id", "text", "found", "p", "containment",
-                         ((F.col("found") != "unknown") & (F.col("containment") >= settings.containment)).alias("confirmed"))
+    out = scored.select("doc_id", "text", "found", "p", "containment",
+                        ((F.col("found") != "unknown") & (F.col("containment") >= settings.containment)).alias("confirmed"))
+    # Without a licence word only a confirmed paragraph speaks of licences.
+    return out.where(F.col("confirmed") | F.col("text").rlike(LICENCE_WORD))
 
 
 def document_licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
