@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.running import number_rows
 from tidewatch.operators.split import require_no_later_rows
 from tidewatch.operators.twosample import melt
 from tidewatch.schema import check_model_inputs
+from tidewatch.session import materialize
 
 
 @dataclass(frozen=True)
@@ -135,6 +139,39 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
         {c: stats[f"s_{i}"] or 0.0 for i, c in enumerate(numeric)}, levels, medians, modes)
 
 
+@dataclass(frozen=True)
+class LevelTable:
+    """The levels of one category as a table (level, place from 0), for more of them than a driver should hold."""
+
+    column: str
+    table: DataFrame
+    size: int
+
+    def vectors(self, df: DataFrame, fitted: FittedFeatures, out: str = "features") -> DataFrame:
+        """The table with one sparse vector per row: the numeric features of ``fitted``, then the levels.
+
+        Places are joined; an unseen or null level sets none. The vector carries no names, as they would all go to the driver.
+        """
+        width = len(fitted.numeric) + self.size
+        cells = [F.struct(F.lit(i).alias("i"), F.coalesce(fitted.scaled(c), F.lit(float("nan"))).alias("v")) for i, c in enumerate(fitted.numeric)]
+        hot = F.struct((F.col("_place") + len(fitted.numeric)).cast("int").alias("i"), F.lit(1.0).alias("v"))
+        placed = df.join(self.table.select(F.col("level").alias("_level"), F.col("place").alias("_place")),
+                         F.col(self.column).cast("string") == F.col("_level"), "left")
+        kept = F.filter(F.array(*cells, hot), lambda c: c["i"].isNotNull() & (c["v"] != 0.0))
+        stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"),
+                          kept["i"].alias("indices"), kept["v"].alias("values"))
+        # JSON is the way from plain columns to a vector that needs no Python.
+        kind = StructType([StructField(out, VectorUDT())])
+        return placed.withColumn(out, F.from_json(F.to_json(F.struct(stored.alias(out))), kind)[out]).drop("_level", "_place")
+
+
+def fit_level_table(train: DataFrame, column: str) -> LevelTable:
+    """Every level of ``column`` with its place in ascending order; only their number reaches the driver."""
+    seen = materialize(train.select(F.lit(0).alias("_one"), F.col(column).cast("string").alias("level")).distinct().where(F.col("level").isNotNull()))
+    size = seen.count()
+    return LevelTable(column, number_rows(seen, ["_one"], ["level"], "place", size).select("level", "place"), size)
+
+
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Row weights that give both classes the same total: n / (2 * n_class)."""
     counts = {int(r[label]): r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}

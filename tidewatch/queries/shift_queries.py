@@ -250,8 +250,9 @@ def one_hot_many_levels(spark, folder):
     items = views.lineitem_common(spark, folder)
     cuts = split.find_cuts(views.lineitem_flows(spark, folder))
     train = cuts.period(items, "train")
-    fitted = preprocess.fit_features(train, ["forward_packets"], ["l_orderkey"])
+    fitted = preprocess.fit_features(train, ["forward_packets"])
+    orders = preprocess.fit_level_table(train, "l_orderkey")
     filled = F.filter(F.unwrap_udt("features")["indices"], lambda i: i > 0)
-    placed = fitted.vectors(items).select(F.coalesce(F.try_element_at(filled, F.lit(1)), F.lit(0)).cast("long").alias("place"))
-    names = spark.createDataFrame([(i + 1, v) for i, v in enumerate(fitted.levels["l_orderkey"])], "place long, level string")
+    placed = orders.vectors(items, fitted).select(F.coalesce(F.try_element_at(filled, F.lit(1)), F.lit(0)).cast("long").alias("place"))
+    names = orders.table.select((F.col("place") + 1).cast("long").alias("place"), "level")
     return placed.groupBy("place").agg(F.count("*").alias("row_count")).join(names, "place", "left").select("place", "level", "row_count")
