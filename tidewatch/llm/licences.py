@@ -20,8 +20,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, StringIndexer
@@ -122,10 +120,10 @@ def anchors(containment: float) -> list[str]:
 
 def candidate(text: Column, settings: Settings) -> Column:
     """Whether a text holds a licence word, or an anchor in any spelling of its gaps."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
-    # An array of one, so that the plain form is made once for all anchors.
-    found = F.exists(F.array(plain), lambda t: reduce(or_, [t.contains(f" {gram} ") for gram in anchors(settings.containment)]))
-    return text.rlike(LICENCE_WORD) | found
+    gap = "[^\\p{L}\\p{N}]+"
+    grams = "|".join(gram.replace(" ", gap) for gram in anchors(settings.containment))
+    # One expression for all anchors, which only the beginning of a word can match.
+    return text.rlike(LICENCE_WORD) | F.lower(text).rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{grams})(?![\\p{{L}}\\p{{N}}])")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -183,8 +181,12 @@ class Classifier:
             "features", "grams", "rawPrediction", "probability", "prediction")
 
 
-def paragraph_licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, text, found, p, containment, confirmed) of every candidate paragraph."""
+def judged(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, text, found, p, containment, confirmed, speaks) of every candidate paragraph.
+
+    Without a licence word only a confirmed paragraph speaks of licences. ``speaks`` is a column and no filter, as a
+    filter would be pushed below the scoring and judge every paragraph twice.
+    """
     classifier = Classifier(training(docs, settings), settings)
     rows = paragraphs(docs.where(candidate(F.col("text"), settings))).where(candidate(F.col("text"), settings))
     scored = classifier.score(rows)
@@ -197,15 +199,19 @@ def paragraph_licences(docs: DataFrame, settings: Settings = Settings()) -> Data
     scored = scored.withColumn("own", own).withColumn("containment", F.greatest(*shares).cast("double"))
     out = scored.select("doc_id", "text", "found", "p", "containment",
                         ((F.col("found") != "unknown") & (F.col("containment") >= settings.containment)).alias("confirmed"))
-    # Without a licence word only a confirmed paragraph speaks of licences.
-    return out.where(F.col("confirmed") | F.col("text").rlike(LICENCE_WORD))
+    return out.withColumn("speaks", F.col("confirmed") | F.col("text").rlike(LICENCE_WORD))
+
+
+def paragraph_licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, text, found, p, containment, confirmed) of every paragraph that speaks of licences."""
+    return judged(docs, settings).where("speaks").drop("speaks")
 
 
 def document_licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, licences, n_licence_paragraphs, n_unconfirmed, probability) of every document id."""
-    found = paragraph_licences(docs, settings).groupBy("doc_id").agg(
+    found = judged(docs, settings).groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("found")))), ",").alias("licences"),
-        F.count_if("confirmed").alias("n"), F.count_if(~F.col("confirmed")).alias("m"),
+        F.count_if("confirmed").alias("n"), F.count_if(F.col("speaks") & ~F.col("confirmed")).alias("m"),
         F.max(F.when(F.col("confirmed"), F.col("p"))).alias("probability"))
     ids = docs.select(F.col("doc_id").alias("id")).distinct()
     return ids.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
