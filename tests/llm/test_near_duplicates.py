@@ -1,12 +1,13 @@
 """Line dedup, passage dedup and the n-gram join against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import candidates, components, line_dedup, ngram_join, passages, shingles
+from tidewatch.llm import candidates, components, line_dedup, ngram_join, passages, runs, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, h string, key int"
 
@@ -213,3 +214,38 @@ def test_signatures_estimate_similarity(one_pass):
         k = n - len(both)
         a, b = signatures(*windows([" ".join(both + rest[:k]), " ".join(both + rest[k:2 * k])]))
         assert abs((a == b).mean() - share) < 0.1
+
+
+def test_runs_inside_paragraphs_match_brute_force(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"{w}{rng.randrange(10 ** 6)}" for w in words(rng, n)]
+    shared = [own(n) for n in (49, 50, 51, 90, 200, 60)]
+    shared[1][7] = shared[3][40] = "İzm"  # its lower case is longer
+    parts = [own(30) + shared[0] + own(80), own(5) + shared[0], own(70) + shared[1] + own(20), shared[1] + own(90), own(90) + shared[2],
+             own(3) + shared[2] + own(40) + shared[3], own(20) + shared[3][:55] + own(30), own(20) + shared[3][30:] + own(30),
+             shared[4], own(9) + shared[4] + own(300), shared[4], own(10) + shared[5] + own(10) + shared[5], own(40), ["a"] * 120, ["a"] * 60 + own(9)]
+    docs = []
+    for p in parts:
+        gaps = [rng.choice([" ", " ", " ", ", ", "\n", "\n\n...\n"]) for _ in p]
+        docs.append("".join(w.upper() + g if rng.random() < 0.3 else w + g for w, g in zip(p, gaps)))
+    docs[10] = docs[8]
+    found = [re.findall(r"\w+", " ".join(x.lower() for x in d.split("\n"))) for d in docs]
+    held = {}
+    for d, w in enumerate(found):
+        for i in range(len(w) - 49):
+            held.setdefault(tuple(w[i:i + 50]), set()).add(d)
+    want = set()
+    for d, w in enumerate(found):
+        hits = [i for i in range(len(w) - 49) if len(held[tuple(w[i:i + 50])]) > 1]
+        starts = [i for n, i in enumerate(hits) if not n or i - hits[n - 1] > 50]
+        for i, stop in zip(starts, [*starts[1:], len(w)]):
+            mine = [k for k in hits if i <= k < stop]
+            want.add((d, " ".join(w[i:mine[-1] + 50]), all(min(held[tuple(w[k:k + 50])]) == d for k in mine)))
+    rows = frame(spark, docs).select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    scanned = rows.mapInArrow(runs.scanned(passages.paragraphs, 50), runs.SCANNED)
+    got = runs.repeated(rows, scanned, passages.paragraphs, 50).collect()
+    cut = {(r.doc_id, " ".join(re.findall(r"\w+", docs[r.doc_id][r.start:r.stop].replace("\n", " ").lower())), r.kept) for r in got}
+    assert cut == want and len(got) == len(want) and len(want) > 8
+    assert all(r.n_words == len(re.findall(r"\w+", docs[r.doc_id][r.start:r.stop].lower())) for r in got)
+    whole = {r.doc_id for r in passages.repeats(frame(spark, docs)).collect()}
+    assert whole == {d for d, _, _ in want}

@@ -34,17 +34,23 @@ class WordHashes(dict):
         return value
 
 
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` neighbouring values, not scrambled."""
+    powers = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(size)], dtype=U64)
+    n = len(values) - size + 1
+    total = np.zeros(n, U64)
+    for k in range(size):
+        total += values[k:k + n] * powers[k]
+    return total
+
+
 def _windows(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` values inside each text, and where each text's begin.
 
     ``values`` are the values of all texts, one after the other, each followed by size - 1 zeros; a shorter
     text is one window. Lengths are positive.
     """
-    powers = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(size)], dtype=U64)
-    n = len(values) - size + 1
-    total = np.zeros(n, U64)
-    for k in range(size):
-        total += values[k:k + n] * powers[k]
+    total = rolling(values, size)
     windows = np.maximum(lengths - size + 1, 1)
     starts = np.cumsum(windows) - windows
     first = np.cumsum(lengths + size - 1) - (lengths + size - 1)

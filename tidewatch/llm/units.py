@@ -78,16 +78,17 @@ def _texts(split: Split, shingler):
 
 
 def classes(docs: DataFrame, split: Split, shingler, bands: shingles.Bands, threshold: float,
-            banding=None) -> tuple[DataFrame, DataFrame]:
+            banding=None, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(places, roots): where every piece stands, and (uid, root) of pieces that have near copies.
 
     Pieces that are equal in normal form share a uid. Candidates share a band key; each is verified by
     exact Jaccard similarity; classes are the connected components of the verified links.
     ``banding`` makes the shingles that are banded, if they aren't the ones that are verified; it has
-    the same normal form. Band keys are shuffled, never kept: texts are split once more for them.
+    the same normal form. Band keys are shuffled, never kept: texts are split once more for them. ``places`` may be handed in.
     """
     text = docs.select(F.col("doc_id").cast("long"), "text")
-    places = materialize(text.mapInArrow(_keyed(split, shingler, None), f"{PLACES}, bands array<long>").drop("bands"))
+    if places is None:
+        places = materialize(text.mapInArrow(_keyed(split, shingler, None), f"{PLACES}, bands array<long>").drop("bands"))
     keyed = text.mapInArrow(_keyed(split, banding or shingler, bands), f"{PLACES}, bands array<long>")
     found = candidates.members(keyed.where("bands IS NOT NULL").select("uid", F.explode("bands").alias("key")))
     groups = materialize(candidates.distinct_buckets(materialize(found)))
