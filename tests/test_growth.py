@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewatch.operators import audit, failure
+from tidewatch.operators import audit, cusum, failure, running
 from tidewatch.session import ROWS_PER_SLICE_KEY
 
 
@@ -48,3 +48,38 @@ def test_requested_models_are_made_distinct_before_they_are_joined(spark):
     right = plan_of(out).split("Join LeftSemi")[1]
     assert any(line.lstrip().startswith("+- Aggregate") for line in right.splitlines())
     assert sorted(map(tuple, out.collect())) == [("majority", 0), ("neural_network", 4)]
+
+
+def test_rows_are_numbered_in_buckets_without_storing_them(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(3000), "g": rng.choice(["a", "b"], 3000), "t": np.where(rng.random(3000) < 0.1, 500, rng.integers(0, 900, 3000))})
+    pdf["n"] = pdf.sort_values(["t", "id"]).groupby("g").cumcount()
+    df = spark.createDataFrame(pdf.drop(columns="n"))
+    stored = []
+    monkeypatch.setattr(running, "materialize", lambda x, f=running.materialize: stored.append(1) or f(x))
+    for buckets, limit, hot in ((16_384, 400, False), (7, 400, False), (16_384, 100, True)):
+        monkeypatch.setattr(running, "BUCKETS", buckets)
+        spark.conf.set(ROWS_PER_SLICE_KEY, str(limit))
+        try:
+            got = running.number_rows(df, ["g"], ["t", "id"], "n", 3000, size="size", place=F.col("t")).toPandas().sort_values("id")
+        finally:
+            spark.conf.unset(ROWS_PER_SLICE_KEY)
+        assert (got.n.to_numpy() == pdf.n.to_numpy()).all() and bool(stored) == hot
+        assert (got["size"].to_numpy() == pdf.groupby("g").id.transform("size").to_numpy()).all()
+        assert list(got.columns) == ["id", "g", "t", "n", "size"] or hot
+    late = df.withColumn("t", F.when(F.col("id") > 5, F.col("t")))
+    assert running._number_in_buckets(late, ["g"], ["t", "id"], "n", F.col("t"), 4000, None) is None
+
+
+def test_cusum_of_sequences_that_fit_a_task_reads_them_once(spark):
+    sequence = spark.range(400).select((F.col("id") % 2).alias("k"), F.lit("f").alias("feature"), F.floor(F.col("id") / 2).alias("step"),
+                                       F.sin(F.col("id") * 1.7).alias("x"))
+    moments = spark.createDataFrame([("f", 0.1, 0.8)], "feature string, mu double, sigma double")
+    paths = {n: cusum.cusum_path(sequence, moments, 0.1, 5, n) for n in (200, None)}
+    reads = {n: plan_of(p).count("Range (0, 400") for n, p in paths.items()}
+    assert reads[200] == 1 and reads[None] > 1
+    a, b = (p.toPandas().sort_values(["k", "step"]).cusum.to_numpy() for p in paths.values())
+    assert len(a) == 390 and np.allclose(a, b, atol=1e-12)
+    windows = spark.range(1050).select((F.col("id") >= 1000).cast("long").alias("k"))
+    assert cusum.longest_sequence(windows, 10) == 100 and cusum.longest_sequence(windows, 600) == 1000
+    assert cusum.longest_sequence(windows.limit(0), 10) == 0
