@@ -1,11 +1,15 @@
 """Steps whose work must not grow faster than their input."""
 
+import threading
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch.operators import audit, cusum, failure, running
+from tidewatch.plans import experiment
 from tidewatch.session import ROWS_PER_SLICE_KEY
 
 
@@ -83,3 +87,35 @@ def test_cusum_of_sequences_that_fit_a_task_reads_them_once(spark):
     windows = spark.range(1050).select((F.col("id") >= 1000).cast("long").alias("k"))
     assert cusum.longest_sequence(windows, 10) == 100 and cusum.longest_sequence(windows, 600) == 1000
     assert cusum.longest_sequence(windows.limit(0), 10) == 0
+
+
+def test_scores_are_made_once_for_all_metrics(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def score(i):
+        made.add(1)
+        return (i * 37 % 100) / 100.0
+    rows = spark.range(400).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"), (F.col("id") % 3 == 0).cast("int").alias("y_true"),
+                                   F.udf(score, "double")("id").alias("y_score"))
+    found = experiment.evaluate(rows, 0.5)
+    assert found["row_count"] == 400 and 0 < found["roc_auc"] < 1
+    assert made.value == 400
+
+
+def test_independent_fits_run_at_once_and_never_more_than_a_few(spark):
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def fit(i):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return i
+
+    def sweep(i):
+        return experiment.at_once(spark, [lambda k=k: fit((i, k)) for k in range(3)])
+    got = experiment.at_once(spark, [lambda i=i: sweep(i) for i in range(6)])
+    assert got == [[(i, k) for k in range(3)] for i in range(6)]
+    assert 1 < most[0] <= experiment.PARALLEL

@@ -14,7 +14,7 @@ from tidewatch.functions.columns import from_micros, micros
 from tidewatch.operators import metrics
 from tidewatch.operators.split import require_no_later_rows
 from tidewatch.operators.windows import HOUR
-from tidewatch.plans.experiment import Bench, METRIC_SCHEMA, ModelRun, evaluate, rows_frame, score_table
+from tidewatch.plans.experiment import PARALLEL, Bench, METRIC_SCHEMA, ModelRun, at_once, evaluate, rows_frame, score_table
 from tidewatch.plans.models import FittedModel
 from tidewatch.schema import LABEL, TIME
 from tidewatch.session import materialize
@@ -23,7 +23,6 @@ from tidewatch.session import materialize
 STRATEGIES = ("none", "threshold_recalibration", "recent_window_retrain", "rolling_window_retrain",
               "historical_plus_recent_retrain")
 STEPS_PER_WRITE = 25
-PARALLEL = 4
 
 
 class AdaptationStudyError(RuntimeError):
@@ -138,18 +137,20 @@ def study(bench: Bench, run: ModelRun, window_us: int | None = 6 * HOUR, step_us
     """Every strategy on the forward period, one row each; any failure fails the study."""
     history, forward = recent_history(bench, window_us), bench.period("forward")
     by_period = {r.period: r.asDict() for r in run.metrics.collect()}
-    rows, failed = [], []
-    for strategy in strategies:
+
+    def studied(strategy: str) -> dict | str:
         window = rolling_window_us or window_us if strategy == "rolling_window_retrain" else window_us
         try:
             done = adapt(bench, run, strategy, history, forward, window, step_us)
             found = evaluate(done.scores, done.threshold)
         except Exception as error:
-            failed.append(f"{run.name}/{strategy}: {type(error).__name__}: {str(error)[:300]}")
-            continue
-        rows.append({"model": run.name, "strategy": strategy, "threshold": done.threshold,
-                     "rows_used": done.rows_used, "training_seconds": done.training_seconds, "refits": done.refits,
-                     **found, **recovery(by_period["forward"], found, by_period["backtest"])})
+            return f"{run.name}/{strategy}: {type(error).__name__}: {str(error)[:300]}"
+        return {"model": run.name, "strategy": strategy, "threshold": done.threshold,
+                "rows_used": done.rows_used, "training_seconds": done.training_seconds, "refits": done.refits,
+                **found, **recovery(by_period["forward"], found, by_period["backtest"])}
+
+    made = at_once(bench.data.sparkSession, [lambda s=s: studied(s) for s in strategies])
+    rows, failed = [r for r in made if isinstance(r, dict)], [r for r in made if isinstance(r, str)]
     if failed:
         raise AdaptationStudyError("strategies failed:\n  " + "\n  ".join(failed))
     return rows_frame(bench.data.sparkSession, rows, STUDY_SCHEMA)

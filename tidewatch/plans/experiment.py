@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,36 @@ METRIC_SCHEMA = ("precision double, recall double, f1 double, false_positive_rat
 METRIC_NAMES = [part.split()[0] for part in METRIC_SCHEMA.split(", ")]
 
 
+# Fits that run at a time: the jobs of one fit are short and leave most cores idle.
+PARALLEL = 4
+
+
+_inside = threading.local()
+
+
+def at_once(spark: SparkSession, tasks: Sequence[Callable[[], object]]) -> list:
+    """The results of independent tasks in their order, ``PARALLEL`` of them at a time; tasks inside tasks run one by one."""
+    if getattr(_inside, "pool", False):
+        return [task() for task in tasks]
+
+    def run(task):
+        _inside.pool = True
+        return task()
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), task) for task in tasks]]
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept while it is read several times, so that its rows are scored once."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @dataclass(frozen=True)
 class Bench:
     """A dataset with its periods and the features learnt from the training period."""
@@ -101,8 +136,9 @@ def benchmark(bench: Bench, models: list[str]) -> DataFrame:
 
 def evaluate(scored: DataFrame, threshold: float) -> dict[str, float]:
     """Metrics of one small comparison as a dict."""
-    predicted = metrics.predictions(scored, threshold, label="y_true", score="y_score")
-    return metric_rows(predicted, []).first().asDict()
+    with held(scored) as rows:
+        predicted = metrics.predictions(rows, threshold, label="y_true", score="y_score")
+        return metric_rows(predicted, []).first().asDict()
 
 
 def rows_frame(spark: SparkSession, rows: list[dict], columns: str) -> DataFrame:
