@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tidewatch.operators import metrics, profile
 from tidewatch.operators.combine import with_row
 from tidewatch.operators.flows import require_binary, trimmed
 from tidewatch.operators.preprocess import FittedFeatures, fit_features
+from tidewatch.plans.experiment import at_once, held
 from tidewatch.plans.models import fit_model
 
 
@@ -33,24 +35,28 @@ def evaluate_grid(train: DataFrame, test: DataFrame, models: Sequence[str], sets
                   params: Mapping[str, dict] | None = None, seed: int = 42) -> DataFrame:
     """Metrics of every model on every feature set, with the training accuracy."""
     sets = schema.FEATURE_SETS if sets is None else sets
-    out = None
-    for name in sets:
+    spark = train.sparkSession
+
+    def prepared(name: str) -> tuple[DataFrame, DataFrame, FittedFeatures]:
         rows, numeric, categorical = prepare_static(train, name, sets)
-        held, _, _ = prepare_static(test, name, sets)
-        fitted = fit_static(rows, numeric, categorical)
-        for model in models:
-            trained = fit_model(model, rows, fitted, (params or {}).get(model), seed)
+        return rows, prepare_static(test, name, sets)[0], fit_static(rows, numeric, categorical)
+
+    def evaluated(name: str, model: str, rows: DataFrame, unseen: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        trained = fit_model(model, rows, fitted, (params or {}).get(model), seed)
 
-            def judged(df):
-                scored = trained.score(df).select(F.col(schema.LABEL).alias("y_true"), "y_score")
-                return scored.withColumn("y_pred", (F.col("y_score") >= 0.5).cast("int"))
+        def judged(df):
+            scored = trained.score(df).select(F.col(schema.LABEL).alias("y_true"), "y_score")
+            return scored.withColumn("y_pred", (F.col("y_score") >= 0.5).cast("int"))
 
-            accuracy = judged(rows).agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("int"))).first()[0]
-            predicted = judged(held)
+        accuracy = judged(rows).agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("int"))).first()[0]
+        with held(judged(unseen)) as predicted:
             part = with_row(metrics.static_metrics(predicted), metrics.ranking(predicted)).withColumns({
                 "feature_set": F.lit(name), "model": F.lit(model), "train_accuracy": F.lit(accuracy)})
-            out = part if out is None else out.unionByName(part)
-    return out
+            return spark.createDataFrame(part.collect(), part.schema)
+
+    parts = dict(zip(sets, at_once(spark, [lambda name=name: prepared(name) for name in sets])))
+    return reduce(DataFrame.unionByName, at_once(spark, [
+        lambda name=name, model=model: evaluated(name, model, *parts[name]) for name in sets for model in models]))
 
 
 def validate_table(df: DataFrame, expected: Sequence[str] = tuple(schema.STATIC_COLUMNS), label: str = schema.LABEL,
