@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch.operators import audit, cusum, failure, running
-from tidewatch.plans import experiment
+from tidewatch.plans import adaptation, experiment, static_eval
 from tidewatch.session import ROWS_PER_SLICE_KEY
 
 
@@ -119,3 +119,14 @@ def test_independent_fits_run_at_once_and_never_more_than_a_few(spark):
     got = experiment.at_once(spark, [lambda i=i: sweep(i) for i in range(6)])
     assert got == [[(i, k) for k in range(3)] for i in range(6)]
     assert 1 < most[0] <= experiment.PARALLEL
+
+
+def test_the_strategies_of_a_study_and_the_models_of_a_grid_run_at_once(spark, monkeypatch):
+    seen = []
+    for module in (adaptation, static_eval):
+        monkeypatch.setattr(module, "at_once", lambda s, tasks, f=experiment.at_once: seen.append(len(tasks)) or f(s, tasks))
+    rows = spark.range(300).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    out = static_eval.evaluate_grid(rows, rows, ["majority", "logistic_regression"], {"X": ["a"]}, {"logistic_regression": {"max_iter": 3}})
+    assert [(r.feature_set, r.model) for r in out.collect()] == [("X", "majority"), ("X", "logistic_regression")]
+    entry.queries()["adaptation_study"](spark, "/root/testdata/sf0.001")
+    assert seen == [1, 2, len(adaptation.STRATEGIES)]
