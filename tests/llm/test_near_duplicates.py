@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import candidates, components, line_dedup, ngram_join, passages, runs, shingles
+from tidewatch.llm import candidates, components, line_dedup, ngram_join, passages, runs, shingles, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, h string, key int"
 
@@ -249,3 +250,81 @@ def test_runs_inside_paragraphs_match_brute_force(spark):
     assert all(r.n_words == len(re.findall(r"\w+", docs[r.doc_id][r.start:r.stop].lower())) for r in got)
     whole = {r.doc_id for r in passages.repeats(frame(spark, docs)).collect()}
     assert whole == {d for d, _, _ in want}
+
+
+def packed_rows(key, uid, size, pieces):
+    """Batches (part, rows) as the bucketing task gets them: packed by several tasks, sorted by part."""
+    parts = []
+    for some in np.array_split(np.arange(len(key)), pieces):
+        part, rows = candidates.packed(key[some], uid[some], size[some])
+        parts += zip(part.to_pylist(), rows.to_pylist())
+    parts.sort(key=lambda x: x[0])
+    for a in range(0, len(parts), 700):
+        part, rows = zip(*parts[a:a + 700])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(rows, pa.binary())], ["part", "rows"])
+
+
+@pytest.mark.parametrize("held, many", [(4_000_000, 256), (50, 3)])
+def test_packed_buckets_hold_all_of_about_one_size(held, many, monkeypatch):
+    monkeypatch.setattr(candidates, "HELD", held)
+    monkeypatch.setattr(candidates, "MANY", many)
+    rng = np.random.default_rng(5)
+    uid = rng.integers(-1 << 63, 1 << 63, 3000)
+    length = rng.integers(20, 2000, 3000)
+    key = np.r_[rng.integers(-1 << 63, 1 << 63, 400)[rng.integers(0, 400, 6000)], np.full(900, 77), rng.integers(-1 << 63, 1 << 63, 3000)]
+    piece = rng.integers(0, 3000, len(key))
+    packed = list(packed_rows(key, uid[piece], candidates.size_class(length)[piece], 7))
+    assert sum(len(r) for b in packed for r in b.column(1).to_pylist()) == 10 * len(key)
+    groups = {}
+    for b in candidates._buckets(0.8)(iter(packed)):
+        for k, s, at in zip(*(c.to_pylist() for c in b.columns)):
+            groups.setdefault(k, {}).setdefault(at, set()).add(s)
+    together = {(a, b) for g in groups.values() for a in set().union(*g.values()) for b in set().union(*g.values())}
+    short = (uid.view(np.uint64) >> np.uint64(24)).astype(int)
+    members = {}
+    for k, p in zip(key.tolist(), piece.tolist()):
+        members.setdefault(k, set()).add(p)
+    for m in members.values():
+        for a in m:
+            for b in m:
+                if a != b and min(length[a], length[b]) >= 0.8 * max(length[a], length[b]):
+                    assert (short[a], short[b]) in together
+    if held > 1000:  # numbered without gaps, and pieces of one size only in a small bucket stay out
+        assert all(sorted(g) == list(range(len(g))) and len(g) > 1 for g in groups.values())
+
+
+def test_sketches_differ_no_more_than_their_sets():
+    rng = random.Random(8)
+    windows = shingles.CharShingles(3).begin()
+    base = " ".join(words(rng, 400))
+    texts = []
+    for n in (1, 2, 3, 40, 255, 256, 300, 700, 1400):
+        texts += [base[:n], base[:n // 2] + "#" + base[n // 2:n], " ".join(words(rng, n))[:n]]
+    texts = [line_dedup.SHINGLER.normal(t) for t in texts]
+    sizes, sketched = candidates.sketches(*windows(texts))
+    sets = sets_of(texts, shingles.CharShingles(3))
+    assert sizes.tolist() == [len(s) for s in sets]
+    left, right = np.triu_indices(len(texts), 1)
+    apart = candidates._distances(sketched)(left, right)
+    for a, b, d in zip(left, right, apart):
+        assert d <= len(sets[a] ^ sets[b]) and (d - len(sets[a] ^ sets[b])) % 2 == 0
+    unlike = [d for a, b, d in zip(left, right, apart) if b == a + 2 and a % 3 == 0 and len(texts[a]) >= 255]
+    assert all(d > (sizes[a] + sizes[a + 2]) / 9 for a, d in zip(range(12, 27, 3), unlike))  # long ones are told apart too
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_lines_of_large_classes(spark, block, monkeypatch):
+    monkeypatch.setattr(units, "BLOCK", block)
+    rng = random.Random(13)
+    lines = [" ".join(words(rng, 25)) for _ in range(6)]
+    docs = []
+    for line in lines[:3]:
+        for i in range(12):  # a chain: neighbours are alike, the ends need not be
+            docs.append(line)
+            at = rng.randrange(len(line))
+            line = line[:at] + "#" + line[at + 1:]
+    docs += lines[3:]
+    sets = sets_of(docs, line_dedup.SHINGLER)
+    root = classes_of(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if alike(sets[a], sets[b])])
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.removals(frame(spark, docs)).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i}

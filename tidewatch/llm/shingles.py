@@ -58,6 +58,15 @@ def _windows(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.nda
     return mix(total[at]), starts
 
 
+def distinct(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, value) of the distinct shingles of fewer than 2 ** 20 texts, told apart by the first 44 bits of their hashes."""
+    text = np.repeat(np.arange(len(starts), dtype=U64), np.diff(np.r_[starts, len(hashes)]))
+    both = text << U64(44) | hashes >> U64(20)
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    return (both >> U64(44)).astype(np.int64), (both & U64((1 << 44) - 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class WordShingles:
     """Runs of ``size`` words, lower case and without punctuation; a shorter text is one shingle."""
