@@ -328,3 +328,15 @@ def test_lines_of_large_classes(spark, block, monkeypatch):
     root = classes_of(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if alike(sets[a], sets[b])])
     got = {r.doc_id: r.kept_doc_id for r in line_dedup.removals(frame(spark, docs)).collect()}
     assert got == {i: r for i, r in enumerate(root) if r != i}
+
+
+def test_paragraph_bands_leave_a_task_packed():
+    rng = random.Random(17)
+    lines = [" ".join(words(rng, 12)) for _ in range(40)]
+    texts = ["\n".join(rng.choices(lines, k=9)) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    run = units._banded(passages.paragraphs, passages.SHINGLER, passages.SHINGLER, passages.BANDS, False)
+    out = list(run(iter([batch])))
+    distinct = {x for t in texts for x in t.split("\n")}
+    assert sum(len(r) for b in out for r in b.column("rows").to_pylist()) == 10 * passages.BANDS.bands * len(distinct)
+    assert all(b.column("uid").null_count == b.num_rows for b in out)
