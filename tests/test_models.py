@@ -81,6 +81,20 @@ def test_ablations(bench):
         ablation.run_ablations(bench, ["majority"], ["id"], ["nope"])
 
 
+def test_a_failed_sweep_fails_the_table_after_the_others_ended(bench, monkeypatch):
+    ended = []
+
+    def broken(bench, model, keys):
+        raise ValueError(f"no rows for {model}")
+    monkeypatch.setitem(ablation.ABLATIONS, "split_mode", broken)
+    monkeypatch.setitem(ablation.ABLATIONS, "target_fpr", lambda bench, model, keys: ended.append(model) or [{"variant": "fpr_0.01"}])
+    with pytest.raises(ablation.AblationError) as error:
+        ablation.run_ablations(bench, ["majority", "random_forest"], ["id"], ["split_mode", "target_fpr"])
+    assert all(f"{m}/split_mode: ValueError: no rows for {m}" in str(error.value) for m in ("majority", "random_forest"))
+    assert sorted(ended) == ["majority", "random_forest"]
+    assert ablation.run_ablations(bench, ["majority"], ["id"], ["target_fpr"]).first().variant == "fpr_0.01"
+
+
 def test_importances(bench):
     ranked = bench.fit("random_forest").importances()
     assert ranked[0][0] in ("flow_duration", "total_packets") and sum(v for _, v in ranked) == pytest.approx(1.0)
