@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.stats import kolmogorov_quantile, ks_critical, ks_p_value
 from tidewatch.operators import cusum, drift, windows
 from tidewatch.operators import sequential as sq
-from tidewatch.session import ROWS_PER_SLICE_KEY
+from tidewatch.session import FREE_SHUFFLES_KEY, ROWS_PER_SLICE_KEY
 from tidewatch.operators.sequential import sequential_cusum
 
 HOUR = windows.HOUR
@@ -270,3 +270,48 @@ def test_python_holds_short_slices_only(spark, monkeypatch):
     assert sizes == [[100] * 9]
     want = sequential_loop(x, 4.0, 50)
     assert np.allclose(got.statistic, [w[0] for w in want], atol=1e-9) and got.alert.tolist() == [w[1] for w in want]
+
+
+def test_large_inputs_are_counted_a_few_features_at_a_time_and_leave_no_shuffles(spark, monkeypatch):
+    _, _, R, T = frames(spark)
+    settings = drift.DriftSettings(window=3 * HOUR, min_samples=100, methods=drift.METHODS, cusum_threshold=5.0,
+                                   cusum_block=4, tiebreak=("id",), features=(*FEATURES, "twice"))
+
+    def derive(df):
+        return df.withColumn("twice", F.col("total_bytes") * 2)
+    want = drift.drift_events(derive(R), derive(T), settings).toPandas()
+    counted, once = [], []
+    monkeypatch.setattr(drift, "VALUES_PER_BATCH", 2400)
+    monkeypatch.setattr(drift.ts2, "pooled_counts", lambda r, w, names, f=drift.ts2.pooled_counts: counted.append(list(names)) or f(r, w, names))
+    for module in (drift, cusum):
+        monkeypatch.setattr(module, "run_once", lambda df, f=module.run_once: once.append(f(df)) or once[-1])
+    spark.conf.set(ROWS_PER_SLICE_KEY, "2000")
+    try:
+        got = drift.drift_events(R, T, settings, derive).toPandas()
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_KEY)
+    assert counted == [["flow_duration"], ["total_bytes"], ["twice"]]
+    assert len(once) >= 2 * len(counted)
+    assert all(df._jdf.queryExecution().shuffleCleanupMode().toString() == "RemoveShuffleFiles" for df in once)
+    assert spark.conf.get(FREE_SHUFFLES_KEY) == "false"
+    key = ["window_start", "feature", "method"]
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+
+
+def test_features_that_follow_from_others_are_not_shuffled(spark):
+    rows = spark.range(900).select(F.lit(0).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"), "id",
+                                   F.sin(F.col("id") * 1.0).alias("a"))
+
+    def derive(df):
+        return df.withColumns({f"f{i}": F.col("a") * i for i in range(1, 9)})
+    names = [f"f{i}" for i in range(1, 9)]
+    spark.conf.set(ROWS_PER_SLICE_KEY, "899")
+    try:
+        late = cusum.sequence_means(rows, names, ["id"], 4, 898, derive=derive)
+        plain = cusum.sequence_means(derive(rows), names, ["id"], 4, 898)
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_KEY)
+    first = [p._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1].splitlines()[1:] for p in (late, plain)]
+    assert not any("f8" in line for line in first[0]) and any("f8" in line for line in first[1])
+    a, b = (sorted(map(tuple, p.select("k", "feature", "step", "x").collect())) for p in (late, plain))
+    assert a == b and len(a) == 8 * 225
